@@ -1,0 +1 @@
+"""Multilingual message-risk detection as Spark DataFrame transformations."""
