@@ -7,6 +7,9 @@ Four things differ between the two and all of them change results here:
   non-ASCII letter to an ASCII one;
 * ``\\s`` includes the no-break space and other Unicode blanks;
 * ``.`` stops at the two Unicode line separators, but not at U+0085.
+
+The patterns scan for their start, so what runs at every character is kept
+small: a lookahead for the first letter and a one-sided boundary.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ from functools import lru_cache
 from lumenward.functions.lexicon import Entry
 from lumenward.functions.text import WHITESPACE
 
-_WORD = "[0-9A-Za-z_]"
-BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+# Java's \w, unlike its \b, is ASCII.
+BOUNDARY = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+# The boundary before a letter or a group; all such groups start with letters.
+OPENING = r"(?<!\w)"
 ANY_CHAR = r"[^\n\r\u2028\u2029]"
 
 
@@ -36,20 +41,40 @@ def _case_variants(letter: str) -> str:
     return "".join(_case_groups()[letter.upper()]) or letter
 
 
+def first_letters(pattern: str) -> str:
+    """The characters a match can start with, as written in the pattern."""
+    letters, groups, at_start = set(), [True], True
+    for char in pattern.replace(r"\b", ""):
+        if char == "(":
+            groups.append(at_start)
+        elif char == ")":
+            groups.pop()
+            at_start = False
+        elif char == "|":
+            at_start = groups[-1]
+        else:
+            if at_start:
+                letters.add(char)
+            at_start = False
+    return "".join(sorted(letters))
+
+
 def to_java(pattern: str, ignore_case: bool) -> str:
     """The Java pattern that matches what the ECMAScript one matches."""
-    out = ["(?i:" if ignore_case else "(?:"]
+    first = first_letters(pattern)
+    out = ["(?i:" if ignore_case else "(?:", f"(?=[{first}])" if first.isascii() else "", "(?:"]
     in_class = False
-    chars = iter(pattern)
-    for char in chars:
-        if char == "\\":
-            escaped = next(chars)
-            if escaped == "b" and not in_class:
-                out.append(BOUNDARY)
-            elif escaped == "s":
-                out.append(WHITESPACE if in_class else f"[{WHITESPACE}]")
-            else:
-                out.append(char + escaped)
+    for at, char in enumerate(pattern):
+        before, after = pattern[at - 1:at], pattern[at + 1:at + 2]
+        if before == "\\":
+            continue
+        if char == "\\" and after == "b" and not in_class:
+            opens = pattern[at + 2:at + 3]
+            out.append(OPENING if opens == "(" or opens.isalpha() else BOUNDARY)
+        elif char == "\\" and after == "s":
+            out.append(WHITESPACE if in_class else f"[{WHITESPACE}]")
+        elif char == "\\":
+            out.append(char + after)
         elif char in "[]":
             in_class = char == "["
             out.append(char)
@@ -60,7 +85,7 @@ def to_java(pattern: str, ignore_case: bool) -> str:
             out.append(variants if in_class or len(variants) == 1 else f"[{variants}]")
         else:
             out.append(char)
-    out.append(")")
+    out.append("))")
     return "".join(out)
 
 
@@ -72,3 +97,8 @@ def entry_regex(entry: Entry) -> str:
 def before_match(regex: str) -> str:
     """A pattern whose group 1 is everything before the leftmost match."""
     return rf"(?s)\A(.*?){regex}"
+
+
+def match_after_one(regex: str) -> str:
+    """A pattern whose group 1 is the match right after the first character."""
+    return rf"\A(?s:.)({regex})"

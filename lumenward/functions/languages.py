@@ -47,27 +47,31 @@ COUNTED_WORDS = {lang: [w for w in words.split() if len(w) > 1] for lang, words
 ALL_COUNTED_WORDS = sorted({w for words in COUNTED_WORDS.values() for w in words})
 
 TOKEN = r"[\p{L}']+"
+_BETWEEN_TOKENS = r"[^\p{L}']+"
+# No script starts before the first or lies between the two spans, while
+# accented Latin letters and typographic punctuation do.
+_MAYBE_SCRIPT = f"[{chr(0x0370)}-{chr(0x1FFF)}{chr(0x3040)}-{chr(0xD7FF)}]"
 
 
 def language_name(code: str) -> str:
     return f"coalesce({lookup(NAMES, code)}, {code})"
 
 
-def script_language(text: str) -> str:
-    """Language code by script, null for Latin text.
+def maybe_script(text: str) -> str:
+    """False where the text can have no character of any script listed."""
+    return f"(octet_length({text}) <> length({text}) AND {text} RLIKE '{_MAYBE_SCRIPT}')"
+
 
-    One pass over the whole range set settles the common Latin case; the
-    ordered tests run only for text that has some such character."""
-    spans = {code: f"{chr(low)}-{chr(high)}" for code, _, low, high in SCRIPTS}
-    any_script = f"[{''.join(spans.values())}]"
-    ordered = " ".join(f"WHEN {text} RLIKE '[{span}]' THEN '{code}'" for code, span in spans.items())
-    not_ascii = f"octet_length({text}) <> length({text})"
-    return f"CASE WHEN {not_ascii} AND {text} RLIKE '{any_script}' THEN CASE {ordered} END END"
+def script_language(text: str) -> str:
+    """Language code by script, null for Latin text."""
+    ordered = " ".join(
+        f"WHEN {text} RLIKE '[{chr(low)}-{chr(high)}]' THEN '{code}'" for code, _, low, high in SCRIPTS)
+    return f"if({maybe_script(text)}, CASE {ordered} END, NULL)"
 
 
-def words_of(text: str) -> str:
-    """Lower-case runs of letters and apostrophes."""
-    return f"regexp_extract_all(lower({text}), {quote(TOKEN)}, 0)"
+def words_of(lowered: str) -> str:
+    """Runs of letters and apostrophes; splitting is cheaper than extracting."""
+    return f"array_remove(split({lowered}, {quote(_BETWEEN_TOKENS)}), '')"
 
 
 def listed_words(words: str) -> str:

@@ -19,18 +19,19 @@ REMOTE_MAX_CHARS = 5000
 
 
 def with_words(messages: DataFrame) -> DataFrame:
-    """Add ``script``, the language by script, and ``words`` of Latin text."""
+    """Add ``script``, the language by script, and ``words`` of other text."""
     return messages.selectExpr("*", f"{script_language('text')} AS script").selectExpr(
-        "*", f"if(script IS NULL, {words_of('text')}, {empty_array('array<string>')}) AS words")
+        "*", f"if(script IS NULL, {words_of('lower(text)')}, {empty_array('array<string>')}) AS words")
 
 
-def with_stopword_counts(worded: DataFrame) -> DataFrame:
+def with_stopword_counts(messages: DataFrame) -> DataFrame:
     """Add ``n_words`` and ``counts``, the function words per language.
 
     The words are narrowed to listed ones first, so that each language counts
     over a short array."""
     return (
-        worded.selectExpr("*", "size(words) AS n_words", f"{listed_words('words')} AS listed")
+        with_words(messages)
+        .selectExpr("*", "size(words) AS n_words", f"{listed_words('words')} AS listed")
         .selectExpr("*", f"{stopword_counts('listed')} AS counts")
     )
 
@@ -38,7 +39,7 @@ def with_stopword_counts(worded: DataFrame) -> DataFrame:
 def with_language(messages: DataFrame) -> DataFrame:
     """Detect each message's language from its own text."""
     counts = [f"counts.{lang}" for lang in COUNTED_WORDS]
-    counted = with_stopword_counts(with_words(messages)).selectExpr(
+    counted = with_stopword_counts(messages).selectExpr(
         "*", f"greatest({', '.join(counts)}) AS best", f"{' + '.join(counts)} AS total")
     by_count = " ".join(f"WHEN counts.{lang} = best THEN '{lang}'" for lang in COUNTED_WORDS)
     decided = counted.selectExpr(

@@ -1,8 +1,8 @@
 """Matching the lexicon, in two narrow steps.
 
 1. *Candidates*: one bit per lexicon entry, set where the entry applies to the
-   message and the text holds the strings the pattern cannot do without.  Plain
-   ``contains`` tests over the lower-case text.
+   message and the text holds a word the pattern cannot do without.  The text is
+   split once, and one lookup per word finds the few that matter.
 2. *Hits*: the regexes of the set bits only, with the span of the first match.
 
 Nothing is shuffled and the lexicon is part of the plan, not a joined table.
@@ -12,52 +12,81 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from lumenward.functions.dialect import before_match, entry_regex
+from lumenward.functions.dialect import before_match, entry_regex, match_after_one
+from lumenward.functions.languages import maybe_script
 from lumenward.functions.lexicon import ALWAYS_LANGUAGE, ANY_LANGUAGE, ENTRIES, OUTGOING_ONLY_CATEGORY, Entry
 from lumenward.functions.scoring import is_unsure
-from lumenward.functions.text import empty_array, quote, quoted_list
+from lumenward.functions.text import empty_array, let, quote, quoted_list
 from lumenward.operators.pinning import with_pinned
 from lumenward.schema import HIT_TYPE
 
+NON_WORD = r"\W+"
 _EVERYWHERE = (ANY_LANGUAGE, ALWAYS_LANGUAGE)
 _HITS_TYPE = f"array<{HIT_TYPE}>"
 
 
-def _candidate_bit(entry: Entry, lowered: str) -> str:
-    held = " AND ".join(
-        "(" + " OR ".join(f"contains({lowered}, {quote(word)})" for word in clause) + ")"
-        for clause in entry.needs)
-    return f"if({held}, {1 << entry.ord}L, 0L)"
+def _mask(entries) -> str:
+    return f"{sum(1 << e.ord for e in entries)}L"
 
 
-def candidate_bits(lowered: str, direction: str, language: str | None, confidence: str | None) -> str:
-    """Bit set of the entries worth trying; every language's without a language.
+def trigger_words(text: str) -> str:
+    """The words of the text that some entry needs, as runs of ASCII word
+    characters in lower case.
 
-    Entries are grouped by what they require of the message, so that one test
-    skips the whole group."""
-    groups: dict[str, list[Entry]] = {}
+    The two replaced characters are the only others with an ASCII letter as
+    their lower case, which the patterns do not take them for."""
+    needed = sorted({word for entry in ENTRIES for word in entry.words.split()})
+    no_lookalikes = f"replace(replace({text}, '{chr(0x212A)}', ' '), '{chr(0x130)}', ' ')"
+    words = f"split(lower({no_lookalikes}), {quote(NON_WORD)})"
+    return f"filter({words}, w -> w IN ({quoted_list(needed)}))"
+
+
+def triggered_bits(text: str, has_script: str) -> str:
+    """Bit set of the entries whose words or parts the text holds.
+
+    ``has_script`` is false only for text without characters of any script that
+    the parts are written in."""
+    by_word: dict[str, list[Entry]] = {}
     for entry in ENTRIES:
-        conditions = []
-        if language is not None and entry.lang not in _EVERYWHERE:
-            conditions.append(f"({is_unsure(confidence)} OR {language} = '{entry.lang}')")
-        if entry.category == OUTGOING_ONLY_CATEGORY:
-            conditions.append(f"{direction} = 'outgoing'")
-        groups.setdefault(" AND ".join(conditions) or "true", []).append(entry)
-    return " | ".join(
-        f"if({condition}, {' | '.join(_candidate_bit(e, lowered) for e in entries)}, 0L)"
-        for condition, entries in groups.items())
+        for word in entry.words.split():
+            by_word.setdefault(word, []).append(entry)
+    bits = ", ".join(f"{quote(word)}, {_mask(entries)}" for word, entries in sorted(by_word.items()))
+    by_words = f"aggregate({trigger_words(text)}, 0L, (bits, w) -> bits | element_at(map({bits}), w))"
+    by_parts = " | ".join(
+        f"if({' OR '.join(f'contains(lowered, {quote(part)})' for part in e.parts)}, {_mask([e])}, 0L)"
+        for e in ENTRIES if e.parts)
+    return f"({by_words} | if({has_script}, {let('lowered', f'lower({text})', by_parts)}, 0L))"
+
+
+def applicable_bits(direction: str, language: str | None, confidence: str | None) -> str:
+    """Bit set of the entries that apply to a message; with no language given,
+    to a message of any language."""
+    everywhere = _mask(e for e in ENTRIES if e.lang in _EVERYWHERE)
+    by_language = _mask(ENTRIES)
+    if language is not None:
+        languages = sorted({e.lang for e in ENTRIES} - set(_EVERYWHERE))
+        cases = " ".join(f"WHEN '{lang}' THEN {_mask(e for e in ENTRIES if e.lang == lang)}" for lang in languages)
+        by_language = (f"if({is_unsure(confidence)}, {by_language},"
+                       f" {everywhere} | CASE {language} {cases} ELSE 0L END)")
+    incoming = _mask(e for e in ENTRIES if e.category != OUTGOING_ONLY_CATEGORY)
+    return f"({by_language} & if({direction} = 'outgoing', {_mask(ENTRIES)}, {incoming}))"
 
 
 def first_match(entry: Entry, text: str) -> str:
-    """The entry's leftmost match as a struct, null where it does not match."""
+    """The entry's leftmost match as a struct, null where it does not match.
+
+    One pass over the text finds the start.  Without a match it finds 0, as it
+    does for a match at the very start; matching there tells which, and gives
+    the length.  The character before the start goes along for the boundary."""
     regex = entry_regex(entry)
     start = f"length(regexp_extract({text}, {quote(before_match(regex))}, 1))"
-    length = f"length(regexp_extract({text}, {quote(regex)}, 0))"
+    rest = f"concat(if(start > 0, substring({text}, start, 1), ' '), substring({text}, start + 1))"
+    length = f"length(regexp_extract({rest}, {quote(match_after_one(regex))}, 1))"
     signal = quote(entry.signal) if entry.signal else "cast(NULL AS string)"
-    return (
-        f"CASE WHEN {text} RLIKE {quote(regex)} THEN named_struct('ord', {entry.ord},"
-        f" 'category', '{entry.category}', 'signal', {signal}, 'lang', '{entry.lang}',"
-        f" 'weight', {entry.weight}D, 'start', {start}, 'end', {start} + {length}) END")
+    hit = (
+        f"named_struct('ord', {entry.ord}, 'category', '{entry.category}', 'signal', {signal},"
+        f" 'lang', '{entry.lang}', 'weight', {entry.weight}D, 'start', start, 'end', start + chars)")
+    return let("start", start, let("chars", length, f"if(chars > 0, {hit}, NULL)"))
 
 
 def with_hits(messages: DataFrame, any_language: bool = False) -> DataFrame:
@@ -67,12 +96,15 @@ def with_hits(messages: DataFrame, any_language: bool = False) -> DataFrame:
     for all of them, to be narrowed by :func:`gated_hits` once it is known."""
     chosen = (None, None) if any_language else ("language", "languageConfidence")
     tried = ", ".join(f"if(_bits & {1 << e.ord}L <> 0, {first_match(e, 'text')}, NULL)" for e in ENTRIES)
-    matched = messages.selectExpr("*", "lower(text) AS _lowered").selectExpr(
-        "*", f"{candidate_bits('_lowered', 'direction', *chosen)} AS _bits")
+    # Such a character decides the local language, so the language tells.
+    scripts = quoted_list(sorted({e.lang for e in ENTRIES if e.parts}))
+    has_script = maybe_script("text") if any_language else f"language IN ({scripts})"
+    matched = messages.selectExpr(
+        "*", f"{triggered_bits('text', has_script)} & {applicable_bits('direction', *chosen)} AS _bits")
     return with_pinned(matched, {
         "hits": f"if(_bits = 0, {empty_array(_HITS_TYPE)},"
                 f" cast(filter(array({tried}), h -> h IS NOT NULL) AS {_HITS_TYPE}))",
-    }).drop("_lowered", "_bits")
+    }).drop("_bits")
 
 
 def gated_hits(hits: str, language: str, confidence: str) -> str:

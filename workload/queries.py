@@ -72,7 +72,7 @@ def tokens(spark, sf_dir):
 
 
 def stopword_scores(spark, sf_dir):
-    counted = with_stopword_counts(with_words(_documents(spark, sf_dir)))
+    counted = with_stopword_counts(_documents(spark, sf_dir))
     pairs = ", ".join(f"'{lang}', counts.{lang}" for lang in COUNTED_WORDS)
     return counted.selectExpr("doc_id", "n_words", f"stack({len(COUNTED_WORDS)}, {pairs}) AS (lang, hits)")
 
