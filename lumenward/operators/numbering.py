@@ -15,11 +15,14 @@ def with_row_numbers(df: DataFrame, order_by, name: str = "number") -> DataFrame
 
     The rows are range-partitioned and sorted, and written down with their
     place; the number is that place plus the sizes of the earlier partitions.
-    The only small table is one row per shuffle partition."""
+    The only small table is one row per shuffle partition.  The rows are written
+    once before that too: finding the ranges reads them a second time, and what
+    made them is not to run twice."""
     keys = [f"`{c}`" for c in order_by]
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(df, "unnumbered")
     placed = materialize(
-        df.repartitionByRange(partitions, *order_by).sortWithinPartitions(*order_by)
+        rows.repartitionByRange(partitions, *order_by).sortWithinPartitions(*order_by)
         .selectExpr("*", "monotonically_increasing_id() AS _position"),
         "numbered")
     placed = placed.selectExpr(

@@ -21,12 +21,15 @@ def read_jsonl(spark: SparkSession, path) -> DataFrame:
 
 
 def read_jsonl_with_rejects(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
-    """Raw messages, and the lines that are not JSON with their place."""
+    """Raw messages, and the lines that are not JSON with their place.
+
+    The bad lines keep the id too, where it could be read: Spark does not let
+    the bad line be the only thing read from a file."""
     lines = (
         spark.read.schema(f"{RAW_SCHEMA}, {_CORRUPT} string")
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
         .json(path).selectExpr(_PLACE, *RAW_FIELDS, _CORRUPT)
     )
     good = lines.where(f"{_CORRUPT} IS NULL").drop(_CORRUPT)
-    bad = lines.where(f"{_CORRUPT} IS NOT NULL").selectExpr(POSITION, f"{_CORRUPT} AS line")
+    bad = lines.where(f"{_CORRUPT} IS NOT NULL").selectExpr(POSITION, "id", f"{_CORRUPT} AS line")
     return good, bad

@@ -274,6 +274,8 @@ def jsonl_round_trip(spark, sf_dir):
 def _conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read_table(spark, sf_dir, "conversations").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    # The whole table is one file of one row group, so one task would get it all.
+    stream = stream.repartition(4 * spark.sparkContext.defaultParallelism)
     return process_message_stream(as_raw_messages(stream, CONVERSATION_FIELDS, CONVERSATION_KEY), CONVERSATION_KEY)
 
 
