@@ -9,8 +9,8 @@ from lumenward.functions.lexicon import ALWAYS_LANGUAGE, ANY_LANGUAGE, CATEGORIE
 from lumenward.functions.redaction import redact_excerpt
 from lumenward.functions.scoring import MIN_CONFIDENCE, final_confidence, is_unsure, noisy_or, sender_adjusted
 from lumenward.functions.text import empty_array, quote, quoted_list
-from lumenward.operators.pinning import with_pinned
-from lumenward.schema import FINDING_TYPE
+from lumenward.operators.pinning import with_columns
+from lumenward.schema import FINDING_TYPE, LANGUAGE_COLUMNS
 
 _FINDINGS_TYPE = f"array<{FINDING_TYPE}>"
 
@@ -38,7 +38,7 @@ def category_buckets(hits: str) -> str:
 
 def with_buckets(matched: DataFrame) -> DataFrame:
     """Add ``buckets``: the hits of a message gathered by category."""
-    return with_pinned(matched, {"buckets": category_buckets("hits")})
+    return with_columns(matched, {"buckets": category_buckets("hits")})
 
 
 def scored_buckets(buckets: str) -> str:
@@ -64,7 +64,8 @@ def ranked_findings(hits: str) -> str:
 
 def with_findings(matched: DataFrame) -> DataFrame:
     """Replace ``hits`` by ``findings``; rows without hits cost nothing."""
-    return with_pinned(matched, {
+    return with_columns(matched, {
+        **{c: c for c in LANGUAGE_COLUMNS},
         "findings": f"if(size(hits) = 0, {empty_array(_FINDINGS_TYPE)},"
                     f" cast({ranked_findings('hits')} AS {_FINDINGS_TYPE}))",
     }).drop("hits")

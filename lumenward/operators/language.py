@@ -11,9 +11,9 @@ from lumenward.functions.languages import (
     script_language, stopword_confidence, stopword_counts, words_of,
 )
 from lumenward.functions.text import empty_array, is_blank, lookup, round2, trim_all
-from lumenward.operators.pinning import with_pinned
+from lumenward.operators.pinning import with_columns
+from lumenward.schema import LANGUAGE_COLUMNS
 
-LANGUAGE_COLUMNS = ("language", "languageName", "languageConfidence")
 # Longest text the remote labelling service takes.
 REMOTE_MAX_CHARS = 5000
 
@@ -36,7 +36,7 @@ def with_stopword_counts(messages: DataFrame) -> DataFrame:
     )
 
 
-def with_language(messages: DataFrame) -> DataFrame:
+def with_language(messages: DataFrame, pinned: bool = True) -> DataFrame:
     """Detect each message's language from its own text."""
     counts = [f"counts.{lang}" for lang in COUNTED_WORDS]
     counted = with_stopword_counts(messages).selectExpr(
@@ -47,13 +47,13 @@ def with_language(messages: DataFrame) -> DataFrame:
         f"CASE WHEN script IS NOT NULL THEN script WHEN n_words = 0 THEN '{UNDETERMINED}'"
         f" WHEN best = 0 THEN '{DEFAULT_LANGUAGE}' {by_count} END AS code")
     names = lookup([(code, name) for code, name, *_ in SCRIPTS], "script")
-    return with_pinned(decided, {
+    return with_columns(decided, {
         "language": "code",
         "languageName": f"coalesce({names}, {language_name('code')})",
         "languageConfidence":
             f"CASE WHEN script IS NOT NULL THEN {SCRIPT_CONFIDENCE}D WHEN n_words = 0 THEN 0D"
             f" WHEN best = 0 THEN {DEFAULT_CONFIDENCE}D ELSE {stopword_confidence('best', 'total', 'n_words')} END",
-    }).select(*messages.columns, *LANGUAGE_COLUMNS)
+    }, pinned).select(*messages.columns, *LANGUAGE_COLUMNS)
 
 
 def check_detector(detector: str) -> str:
@@ -97,7 +97,7 @@ def with_remote_language(messages: DataFrame, candidates: DataFrame) -> DataFram
     decided = joined.selectExpr(
         "*", f"if(blank, '{UNDETERMINED}', {code}) AS code", f"{local} AS is_local",
         f"if(blank, 0D, {round2('label.score')}) AS score")
-    return with_pinned(decided, {
+    return with_columns(decided, {
         "language": "if(is_local, language, code)",
         "languageName": f"if(is_local, languageName, {language_name('code')})",
         "languageConfidence": "if(is_local, languageConfidence, score)",

@@ -17,8 +17,8 @@ from lumenward.functions.languages import maybe_script
 from lumenward.functions.lexicon import ALWAYS_LANGUAGE, ANY_LANGUAGE, ENTRIES, OUTGOING_ONLY_CATEGORY, Entry
 from lumenward.functions.scoring import is_unsure
 from lumenward.functions.text import empty_array, let, quote, quoted_list
-from lumenward.operators.pinning import with_pinned
-from lumenward.schema import HIT_TYPE
+from lumenward.operators.pinning import with_columns
+from lumenward.schema import HIT_TYPE, LANGUAGE_COLUMNS
 
 NON_WORD = r"\W+"
 _EVERYWHERE = (ANY_LANGUAGE, ALWAYS_LANGUAGE)
@@ -89,7 +89,7 @@ def first_match(entry: Entry, text: str) -> str:
     return let("start", start, let("chars", length, f"if(chars > 0, {hit}, NULL)"))
 
 
-def with_hits(messages: DataFrame, any_language: bool = False) -> DataFrame:
+def with_hits(messages: DataFrame, any_language: bool = False, pinned: bool = True) -> DataFrame:
     """Add ``hits``, in lexicon order.
 
     Entries are chosen by the message's language, unless ``any_language`` asks
@@ -101,10 +101,12 @@ def with_hits(messages: DataFrame, any_language: bool = False) -> DataFrame:
     has_script = maybe_script("text") if any_language else f"language IN ({scripts})"
     matched = messages.selectExpr(
         "*", f"{triggered_bits('text', has_script)} & {applicable_bits('direction', *chosen)} AS _bits")
-    return with_pinned(matched, {
+    seen = {} if any_language else {c: c for c in LANGUAGE_COLUMNS}
+    return with_columns(matched, {
+        **seen,
         "hits": f"if(_bits = 0, {empty_array(_HITS_TYPE)},"
                 f" cast(filter(array({tried}), h -> h IS NOT NULL) AS {_HITS_TYPE}))",
-    }).drop("_bits")
+    }, pinned).drop("_bits")
 
 
 def gated_hits(hits: str, language: str, confidence: str) -> str:

@@ -12,10 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def with_pinned(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Add columns, given as name and SQL expression, that stay computed once.
+def with_columns(df: DataFrame, columns: dict[str, str], pinned: bool = True) -> DataFrame:
+    """Add columns, given as name and SQL expression; ones already there are replaced.
 
-    Columns already there are replaced."""
+    Pinning costs a generator step per row, so steps in a row are pinned once:
+    the last one re-emits what the others leave unpinned."""
     kept = [f"`{c}`" for c in df.columns if c not in columns]
-    fields = ", ".join(f"{expression} AS `{name}`" for name, expression in columns.items())
-    return df.selectExpr(*kept, f"inline(array(struct({fields})))")
+    fields = [f"{expression} AS `{name}`" for name, expression in columns.items()]
+    if pinned:
+        fields = [f"inline(array(struct({', '.join(fields)})))"]
+    return df.selectExpr(*kept, *fields)

@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 
 from lumenward.functions.scoring import is_immediate
 from lumenward.functions.wording import alert_text
-from lumenward.operators.pinning import with_pinned
 
 
 def with_routes(classified: DataFrame) -> DataFrame:
     """Replace ``findings`` by ``immediate`` and ``batch``, and add ``alerts``."""
-    split = with_pinned(classified, {
-        "immediate": f"filter(findings, f -> {is_immediate('f.confidence')})",
-        "batch": f"filter(findings, f -> NOT {is_immediate('f.confidence')})",
-    }).drop("findings")
-    return with_pinned(split, {"alerts": f"transform(immediate, f -> {alert_text('f')})"})
+    others = [f"`{c}`" for c in classified.columns if c != "findings"]
+    return classified.selectExpr(
+        *others,
+        f"filter(findings, f -> {is_immediate('f.confidence')}) AS immediate",
+        f"filter(findings, f -> NOT {is_immediate('f.confidence')}) AS batch",
+    ).selectExpr("*", f"transform(immediate, f -> {alert_text('f')}) AS alerts")
 
 
 def immediate_alerts(results: DataFrame, order_by) -> DataFrame:

@@ -14,28 +14,32 @@ from lumenward.operators.findings import with_findings
 from lumenward.operators.language import check_detector, with_language, with_remote_language
 from lumenward.operators.matching import gated_hits, with_hits
 from lumenward.operators.normalize import normalize_messages
-from lumenward.operators.pinning import with_pinned
+from lumenward.operators.pinning import with_columns
 from lumenward.operators.routing import with_routes
-from lumenward.schema import CANDIDATES_SCHEMA
+from lumenward.schema import CANDIDATES_SCHEMA, LANGUAGE_COLUMNS
 
 
 def match_messages(messages: DataFrame, detector: str | None = None,
-                   candidates: DataFrame | None = None) -> DataFrame:
+                   candidates: DataFrame | None = None, pinned: bool = True) -> DataFrame:
     """Add the language columns and ``hits`` to normalized messages."""
     if detector is None:
-        return with_hits(with_language(messages))
+        return with_hits(with_language(messages, pinned=False), pinned=pinned)
     if check_detector(detector) == LOCAL_DETECTOR:
-        return match_messages(messages).selectExpr(
+        return match_messages(messages, pinned=pinned).selectExpr(
             "*", f"'{LOCAL_SOURCE}' AS languageSource", "cast(NULL AS string) AS fallback")
     if candidates is None:
         candidates = messages.sparkSession.createDataFrame([], CANDIDATES_SCHEMA)
     # The language is not known before the join, so all entries are tried here
     # and the text goes through the shuffle only where one of them matched.
-    tried = with_hits(with_language(messages), any_language=True)
-    others = [f"`{c}`" for c in tried.columns if c != "text"]
-    narrow = tried.selectExpr(*others, f"{is_blank('text')} AS blank", "if(size(hits) > 0, text, NULL) AS text")
+    tried = with_hits(with_language(messages, pinned=False), any_language=True, pinned=False)
+    others = [f"`{c}`" for c in tried.columns if c not in ("text", "hits", *LANGUAGE_COLUMNS)]
+    narrow = with_columns(tried.selectExpr(*others, "text AS _text", "hits AS _hits", *LANGUAGE_COLUMNS), {
+        **{c: c for c in LANGUAGE_COLUMNS}, "hits": "_hits", "blank": is_blank("_text"),
+        "text": "if(size(_hits) > 0, _text, NULL)"}).drop("_text", "_hits")
     labelled = with_remote_language(narrow, candidates)
-    return with_pinned(labelled, {"hits": gated_hits("hits", "language", "languageConfidence")})
+    return with_columns(labelled, {
+        **{c: c for c in LANGUAGE_COLUMNS}, "hits": gated_hits("hits", "language", "languageConfidence"),
+    }, pinned)
 
 
 def classify_messages(messages: DataFrame, detector: str | None = None,
@@ -45,7 +49,7 @@ def classify_messages(messages: DataFrame, detector: str | None = None,
     ``detector`` is "local" or the remote labels' name, which then come from
     ``candidates``; both add where the language came from.  None is local too,
     without the extra columns."""
-    return with_findings(match_messages(messages, detector, candidates)).drop("text")
+    return with_findings(match_messages(messages, detector, candidates, pinned=False)).drop("text")
 
 
 def process_messages(raw: DataFrame, keep=(), strict: bool = True, detector: str | None = None,
