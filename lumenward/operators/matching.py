@@ -22,6 +22,7 @@ from lumenward.schema import HIT_TYPE, LANGUAGE_COLUMNS
 
 NON_WORD = r"\W+"
 _EVERYWHERE = (ANY_LANGUAGE, ALWAYS_LANGUAGE)
+_TRIGGERED = "_triggered"
 _HITS_TYPE = f"array<{HIT_TYPE}>"
 
 
@@ -89,6 +90,15 @@ def first_match(entry: Entry, text: str) -> str:
     return let("start", start, let("chars", length, f"if(chars > 0, {hit}, NULL)"))
 
 
+def triggered_messages(messages: DataFrame) -> DataFrame:
+    """Only the messages that some entry might match, in any language.
+
+    Where nothing but findings is wanted, the other messages, which are nearly
+    all, then need no language.  The bits are kept for :func:`with_hits`."""
+    bits = triggered_bits("text", maybe_script("text"))
+    return with_columns(messages, {_TRIGGERED: bits}).where(f"{_TRIGGERED} <> 0")
+
+
 def with_hits(messages: DataFrame, any_language: bool = False, pinned: bool = True) -> DataFrame:
     """Add ``hits``, in lexicon order.
 
@@ -96,17 +106,19 @@ def with_hits(messages: DataFrame, any_language: bool = False, pinned: bool = Tr
     for all of them, to be narrowed by :func:`gated_hits` once it is known."""
     chosen = (None, None) if any_language else ("language", "languageConfidence")
     tried = ", ".join(f"if(_bits & {1 << e.ord}L <> 0, {first_match(e, 'text')}, NULL)" for e in ENTRIES)
-    # Such a character decides the local language, so the language tells.
-    scripts = quoted_list(sorted({e.lang for e in ENTRIES if e.parts}))
-    has_script = maybe_script("text") if any_language else f"language IN ({scripts})"
-    matched = messages.selectExpr(
-        "*", f"{triggered_bits('text', has_script)} & {applicable_bits('direction', *chosen)} AS _bits")
+    if _TRIGGERED in messages.columns:
+        triggered = _TRIGGERED
+    else:
+        # Such a character decides the local language, so the language tells.
+        scripts = quoted_list(sorted({e.lang for e in ENTRIES if e.parts}))
+        triggered = triggered_bits("text", maybe_script("text") if any_language else f"language IN ({scripts})")
+    matched = messages.selectExpr("*", f"{triggered} & {applicable_bits('direction', *chosen)} AS _bits")
     seen = {} if any_language else {c: c for c in LANGUAGE_COLUMNS}
     return with_columns(matched, {
         **seen,
         "hits": f"if(_bits = 0, {empty_array(_HITS_TYPE)},"
                 f" cast(filter(array({tried}), h -> h IS NOT NULL) AS {_HITS_TYPE}))",
-    }, pinned).drop("_bits")
+    }, pinned).drop("_bits", _TRIGGERED)
 
 
 def gated_hits(hits: str, language: str, confidence: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lumenward.storage import materialize
 
@@ -15,7 +16,7 @@ def with_row_numbers(df: DataFrame, order_by, name: str = "number") -> DataFrame
 
     The rows are range-partitioned and sorted, and written down with their
     place; the number is that place plus the sizes of the earlier partitions.
-    The only small table is one row per shuffle partition.  The rows are written
+    The sizes are one row per shuffle partition, so they can be broadcast.  The rows are written
     once before that too: finding the ranges reads them a second time, and what
     made them is not to run twice."""
     keys = [f"`{c}`" for c in order_by]
@@ -31,4 +32,4 @@ def with_row_numbers(df: DataFrame, order_by, name: str = "number") -> DataFrame
     before = placed.groupBy("_part").count().selectExpr(
         "_part", "sum(count) OVER (ORDER BY _part) - count AS _before")
     others = [f"`{c}`" for c in df.columns]
-    return placed.join(before, "_part").selectExpr(*others, f"_before + _row + 1 AS `{name}`")
+    return placed.join(F.broadcast(before), "_part").selectExpr(*others, f"_before + _row + 1 AS `{name}`")

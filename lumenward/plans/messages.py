@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 
 from lumenward.functions.languages import LOCAL_DETECTOR, LOCAL_SOURCE
 from lumenward.functions.text import is_blank
-from lumenward.operators.findings import with_findings
+from lumenward.operators.findings import exploded_findings, with_findings
 from lumenward.operators.language import check_detector, with_language, with_remote_language
-from lumenward.operators.matching import gated_hits, with_hits
+from lumenward.operators.matching import gated_hits, triggered_messages, with_hits
 from lumenward.operators.normalize import normalize_messages
 from lumenward.operators.pinning import with_columns
 from lumenward.operators.routing import with_routes
@@ -52,6 +52,15 @@ def classify_messages(messages: DataFrame, detector: str | None = None,
     return with_findings(match_messages(messages, detector, candidates, pinned=False)).drop("text")
 
 
+def find_risks(messages: DataFrame, detector: str | None = None,
+               candidates: DataFrame | None = None) -> DataFrame:
+    """One row per finding of normalized messages, best first within a message.
+
+    Messages without any trigger word are dropped before their language is
+    looked at."""
+    return exploded_findings(classify_messages(triggered_messages(messages), detector, candidates))
+
+
 def process_messages(raw: DataFrame, keep=(), strict: bool = True, detector: str | None = None,
                      candidates: DataFrame | None = None) -> DataFrame:
     """One nested result row per raw message."""

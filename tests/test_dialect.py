@@ -10,7 +10,10 @@ from hypothesis import strategies as st
 from lumenward.functions.dialect import first_letters, to_java
 from lumenward.functions.lexicon import ENTRIES
 from lumenward.functions.text import quote
+from lumenward.operators.findings import exploded_findings
 from lumenward.operators.matching import with_hits
+from lumenward.operators.normalize import normalize_messages
+from lumenward.plans.messages import classify_messages, find_risks
 
 LATIN = [e for e in ENTRIES if e.words]
 
@@ -113,3 +116,14 @@ def test_gated_matching_equals_trying_every_pattern(spark):
     for n, text in enumerate(texts):
         assert got[n] == expected_hits(text), text
     assert len({o for hits in got.values() for o, _, _ in hits}) > 45
+
+
+def test_dropping_messages_early_loses_no_finding(spark):
+    texts = random_texts(1000) + ["nothing here", ""]
+    table = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    messages = normalize_messages(table.selectExpr("*", "if(id % 2 = 0, 'outgoing', 'incoming') AS direction",
+                                                   "'2024-01-01T00:00:00Z' AS timestamp"))
+    want = sorted(map(str, exploded_findings(classify_messages(messages)).collect()))
+    got = find_risks(messages)
+    assert sorted(map(str, got.select(*exploded_findings(classify_messages(messages)).columns).collect())) == want
+    assert len(want) > 500

@@ -148,18 +148,18 @@ _CANDIDATES = """candidate_rows AS (
       {'code': 'pt-BR', 'score': (doc_id % 100) / 100::DOUBLE, 'place': 0},
       {'code': upper(lang), 'score': (n_chars % 97) / 100::DOUBLE, 'place': 1},
       {'code': lang || '-XX', 'score': (doc_id % 100) / 100::DOUBLE, 'place': 2}]) AS c
-  FROM documents WHERE doc_id % 4 <> 0 AND NOT (doc_id % 4 = 1 AND doc_id % 3 = 0)),
-labels AS (
+  FROM documents JOIN labels USING (doc_id) WHERE quality <> 0),
+answers AS (
   SELECT id, c.code AS code, c.score AS score FROM candidate_rows
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY c.score DESC, c.place) = 1
   UNION ALL
-  SELECT 'd' || doc_id, 'und', 0::DOUBLE FROM documents WHERE doc_id % 4 = 1 AND doc_id % 3 = 0)"""
+  SELECT 'd' || doc_id, 'und', 0::DOUBLE FROM labels WHERE quality = 0)"""
 
 _REMOTE = f"""{_LANGUAGE}, {_CANDIDATES},
 labelled AS (
   SELECT l.*, b.score, split_part(b.code, '-', 1) AS code, NOT regexp_matches(l.text, '[^{_WS}]') AS blank,
     b.code IS NULL AND regexp_matches(l.text, '[^{_WS}]') AS is_local
-  FROM local_lang l LEFT JOIN labels b ON b.id = l.id),
+  FROM local_lang l LEFT JOIN answers b ON b.id = l.id),
 lang AS (
   SELECT * EXCLUDE (score, code, blank, is_local) REPLACE (
     CASE WHEN blank THEN 'und' WHEN is_local THEN language ELSE code END AS language,

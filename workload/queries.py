@@ -10,14 +10,15 @@ from lumenward.functions.scoring import final_confidence, noisy_or, sender_adjus
 from lumenward.functions.text import lookup
 from lumenward.functions.wording import alert_text, context_line, digest_item, suggested_action
 from lumenward.operators.digest import digest_lines, digest_pages, message_digest
-from lumenward.operators.findings import exploded_findings, with_buckets, with_findings
+from lumenward.operators.findings import with_buckets, with_findings
 from lumenward.operators.language import with_language, with_stopword_counts, with_words
-from lumenward.operators.matching import with_hits
+from lumenward.operators.matching import triggered_messages, with_hits
 from lumenward.operators.normalize import accepted_messages, normalize_messages, refused_messages
 from lumenward.operators.routing import batched_findings, immediate_alerts, stream_counts
-from lumenward.plans.messages import classify_messages, match_messages, process_messages
+from lumenward.plans.messages import find_risks, match_messages, process_messages
 from lumenward.plans.stream import process_stream, report_lines
 from lumenward.sources.jsonl import read_jsonl
+from lumenward.sources.tables import as_raw_messages
 from lumenward.storage import new_table_path
 from lumenward.streaming.alerts import (
     alert_stream, digest_count_stream, digest_item_stream, process_message_stream, to_table,
@@ -26,7 +27,6 @@ from workload.tables import (
     CONVERSATION_FIELDS, CONVERSATION_KEY, DOCUMENT_KEY, conversation_messages, document_messages, documents,
     label_candidates, read_table,
 )
-from lumenward.sources.tables import as_raw_messages
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded_findings(classify_messages(_documents(spark, sf_dir)))
+    return find_risks(_documents(spark, sf_dir))
 
 
 def _document_results(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -107,12 +107,12 @@ def lexicon_hits(spark, sf_dir):
 
 
 def hits_gated(spark, sf_dir):
-    return _hit_rows(match_messages(_documents(spark, sf_dir)))
+    return _hit_rows(match_messages(triggered_messages(_documents(spark, sf_dir))))
 
 
 def category_buckets(spark, sf_dir):
     return (
-        with_buckets(match_messages(_documents(spark, sf_dir))).selectExpr("doc_id", "explode(buckets) AS b")
+        with_buckets(match_messages(triggered_messages(_documents(spark, sf_dir)))).selectExpr("doc_id", "explode(buckets) AS b")
         .selectExpr("doc_id", "b.category AS category",
                     "array_join(transform(b.weights, w -> format_string('%.2f', w)), ',') AS weights",
                     "array_join(b.signals, ',') AS signals", "b.first.start AS first_start",
@@ -123,7 +123,7 @@ def category_confidence(spark, sf_dir):
     """Confidence of every category with a hit, also below the threshold."""
     confidence = final_confidence(sender_adjusted(noisy_or("b.weights"), "b.category", "senderRelationship"))
     return (
-        with_buckets(match_messages(_documents(spark, sf_dir)))
+        with_buckets(match_messages(triggered_messages(_documents(spark, sf_dir))))
         .selectExpr("doc_id", "senderRelationship", "explode(buckets) AS b")
         .selectExpr("doc_id", "b.category AS category", f"{noisy_or('b.weights')} AS combined",
                     f"{confidence} AS confidence"))
@@ -151,8 +151,8 @@ def redacted_excerpts(spark, sf_dir):
 
 
 def classify_remote(spark, sf_dir):
-    classified = classify_messages(_documents(spark, sf_dir), REMOTE_DETECTOR, label_candidates(spark, sf_dir))
-    return exploded_findings(classified).selectExpr(*_FINDING)
+    found = find_risks(_documents(spark, sf_dir), REMOTE_DETECTOR, label_candidates(spark, sf_dir))
+    return found.selectExpr(*_FINDING)
 
 
 # ---- routing, alerts, digest ----

@@ -72,11 +72,12 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language labels for three in four documents, some of them empty."""
+    """Language labels for the documents in ``labels``, none for those of low quality."""
     table = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return table.where("doc_id % 4 <> 0").selectExpr(
+    rated = table.join(read_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return rated.selectExpr(
         "concat('d', doc_id) AS id",
-        """if(doc_id % 4 = 1 AND doc_id % 3 = 0, cast(array() AS array<struct<code:string,score:double>>), array(
+        """if(quality = 0, cast(array() AS array<struct<code:string,score:double>>), array(
              named_struct('code', 'pt-BR', 'score', (doc_id % 100) / 100D),
              named_struct('code', upper(lang), 'score', (n_chars % 97) / 100D),
              named_struct('code', concat(lang, '-XX'), 'score', (doc_id % 100) / 100D))) AS candidates""")
