@@ -19,40 +19,41 @@ REMOTE_MAX_CHARS = 5000
 
 
 def with_words(messages: DataFrame) -> DataFrame:
-    """Add ``script``, the language by script, and ``words`` of other text."""
-    return messages.selectExpr("*", f"{script_language('text')} AS script").selectExpr(
-        "*", f"if(script IS NULL, {words_of('lower(text)')}, {empty_array('array<string>')}) AS words")
+    """Add ``_script``, the language by script, and ``_words`` of other text."""
+    return messages.selectExpr("*", f"{script_language('text')} AS _script").selectExpr(
+        "*", f"if(_script IS NULL, {words_of('lower(text)')}, {empty_array('array<string>')}) AS _words")
 
 
 def with_stopword_counts(messages: DataFrame) -> DataFrame:
-    """Add ``n_words`` and ``counts``, the function words per language.
+    """Add ``_n_words`` and ``_counts``, the function words per language.
 
     The words are narrowed to listed ones first, so that each language counts
     over a short array."""
     return (
         with_words(messages)
-        .selectExpr("*", "size(words) AS n_words", f"{listed_words('words')} AS listed")
-        .selectExpr("*", f"{stopword_counts('listed')} AS counts")
+        .selectExpr("*", "size(_words) AS _n_words", f"{listed_words('_words')} AS _listed")
+        .selectExpr("*", f"{stopword_counts('_listed')} AS _counts")
     )
 
 
 def with_language(messages: DataFrame, pinned: bool = True) -> DataFrame:
     """Detect each message's language from its own text."""
-    counts = [f"counts.{lang}" for lang in COUNTED_WORDS]
+    counts = [f"_counts.{lang}" for lang in COUNTED_WORDS]
     counted = with_stopword_counts(messages).selectExpr(
-        "*", f"greatest({', '.join(counts)}) AS best", f"{' + '.join(counts)} AS total")
-    by_count = " ".join(f"WHEN counts.{lang} = best THEN '{lang}'" for lang in COUNTED_WORDS)
+        "*", f"greatest({', '.join(counts)}) AS _best", f"{' + '.join(counts)} AS _total")
+    by_count = " ".join(f"WHEN _counts.{lang} = _best THEN '{lang}'" for lang in COUNTED_WORDS)
     decided = counted.selectExpr(
         "*",
-        f"CASE WHEN script IS NOT NULL THEN script WHEN n_words = 0 THEN '{UNDETERMINED}'"
-        f" WHEN best = 0 THEN '{DEFAULT_LANGUAGE}' {by_count} END AS code")
-    names = lookup([(code, name) for code, name, *_ in SCRIPTS], "script")
+        f"CASE WHEN _script IS NOT NULL THEN _script WHEN _n_words = 0 THEN '{UNDETERMINED}'"
+        f" WHEN _best = 0 THEN '{DEFAULT_LANGUAGE}' {by_count} END AS _code")
+    names = lookup([(code, name) for code, name, *_ in SCRIPTS], "_script")
+    by_words = stopword_confidence("_best", "_total", "_n_words")
     return with_columns(decided, {
-        "language": "code",
-        "languageName": f"coalesce({names}, {language_name('code')})",
+        "language": "_code",
+        "languageName": f"coalesce({names}, {language_name('_code')})",
         "languageConfidence":
-            f"CASE WHEN script IS NOT NULL THEN {SCRIPT_CONFIDENCE}D WHEN n_words = 0 THEN 0D"
-            f" WHEN best = 0 THEN {DEFAULT_CONFIDENCE}D ELSE {stopword_confidence('best', 'total', 'n_words')} END",
+            f"CASE WHEN _script IS NOT NULL THEN {SCRIPT_CONFIDENCE}D WHEN _n_words = 0 THEN 0D"
+            f" WHEN _best = 0 THEN {DEFAULT_CONFIDENCE}D ELSE {by_words} END",
     }, pinned).select(*messages.columns, *LANGUAGE_COLUMNS)
 
 
@@ -79,28 +80,26 @@ def with_remote_language(messages: DataFrame, candidates: DataFrame) -> DataFram
     """Replace the local language by the labels of ``candidates``, joined on id.
 
     ``messages`` holds the local result, used where the id has no row there,
-    and ``blank``, whether the text is.  Callers drop the text before this join
+    and ``_blank``, whether the text is.  Callers drop the text before this join
     wherever they no longer need it: it is the only shuffle of the message
     path.  ``candidates`` has one row per id.  Messages without an id cannot
     match; each gets a key of its own, so that they spread over all partitions.
     A hot id is left to AQE's skew join."""
     labels = candidates.selectExpr(
-        "id AS label_id",
+        "id AS _label_id",
         f"coalesce({best_candidate('candidates')},"
-        f" named_struct('score', 0D, 'place', 0, 'code', '{UNDETERMINED}')) AS label")
+        f" named_struct('score', 0D, 'place', 0, 'code', '{UNDETERMINED}')) AS _label")
     keyed = messages.selectExpr(
-        "*", "coalesce(id, concat('no id ', monotonically_increasing_id())) AS join_key")
-    joined = keyed.join(
-        labels, (F.col("join_key") == F.col("label_id")) & F.col("id").isNotNull(), "left")
-    code = f"split_part(coalesce(label.code, '{UNDETERMINED}'), '-', 1)"
-    local = "label IS NULL AND NOT blank"
+        "*", "coalesce(id, concat('no id ', monotonically_increasing_id())) AS _key")
+    joined = keyed.join(labels, (F.col("_key") == F.col("_label_id")) & F.col("id").isNotNull(), "left")
+    code = f"split_part(coalesce(_label.code, '{UNDETERMINED}'), '-', 1)"
     decided = joined.selectExpr(
-        "*", f"if(blank, '{UNDETERMINED}', {code}) AS code", f"{local} AS is_local",
-        f"if(blank, 0D, {round2('label.score')}) AS score")
+        "*", f"if(_blank, '{UNDETERMINED}', {code}) AS _code", "_label IS NULL AND NOT _blank AS _is_local",
+        f"if(_blank, 0D, {round2('_label.score')}) AS _score")
     return with_columns(decided, {
-        "language": "if(is_local, language, code)",
-        "languageName": f"if(is_local, languageName, {language_name('code')})",
-        "languageConfidence": "if(is_local, languageConfidence, score)",
-        "languageSource": f"if(is_local, '{LOCAL_SOURCE}', '{REMOTE_DETECTOR}')",
-        "fallback": f"if(is_local, '{REMOTE_DETECTOR} unavailable: no label for this message', NULL)",
-    }).drop("blank", "join_key", "label_id", "label", "code", "is_local", "score")
+        "language": "if(_is_local, language, _code)",
+        "languageName": f"if(_is_local, languageName, {language_name('_code')})",
+        "languageConfidence": "if(_is_local, languageConfidence, _score)",
+        "languageSource": f"if(_is_local, '{LOCAL_SOURCE}', '{REMOTE_DETECTOR}')",
+        "fallback": f"if(_is_local, '{REMOTE_DETECTOR} unavailable: no label for this message', NULL)",
+    }).drop("_blank", "_key", "_label_id", "_label", "_code", "_is_local", "_score")

@@ -34,7 +34,7 @@ def match_messages(messages: DataFrame, detector: str | None = None,
     tried = with_hits(with_language(messages, pinned=False), any_language=True, pinned=False)
     others = [f"`{c}`" for c in tried.columns if c not in ("text", "hits", *LANGUAGE_COLUMNS)]
     narrow = with_columns(tried.selectExpr(*others, "text AS _text", "hits AS _hits", *LANGUAGE_COLUMNS), {
-        **{c: c for c in LANGUAGE_COLUMNS}, "hits": "_hits", "blank": is_blank("_text"),
+        **{c: c for c in LANGUAGE_COLUMNS}, "hits": "_hits", "_blank": is_blank("_text"),
         "text": "if(size(_hits) > 0, _text, NULL)"}).drop("_text", "_hits")
     labelled = with_remote_language(narrow, candidates)
     return with_columns(labelled, {

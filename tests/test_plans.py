@@ -73,6 +73,15 @@ def test_remote_labels_shuffle_no_text_without_hits(spark, stored):
     assert "CASE WHEN (size(hits" in plan or "if ((size(hits" in plan
 
 
+def test_carried_columns_may_have_any_name(spark, raw):
+    names = ("words", "counts", "best", "total", "code", "score", "label", "script", "rest", "start", "excerpt", "w", "h")
+    table = raw({"id": "a", "text": "add me on snapchat"}).selectExpr("*", *[f"'x' AS {n}" for n in names])
+    for detector in (None, "local", "aws-comprehend"):
+        row = process_messages(table, names, detector=detector).first()
+        assert [row[n] for n in names] == ["x"] * len(names) and row.batch[0].confidence == 0.5
+        assert row.batch[0].excerpt == "▇▇▇"
+
+
 def test_numbers(spark):
     df = spark.range(0, 5000, 1, 7).selectExpr("(id * 7919) % 5003 AS k", "id % 3 AS other")
     got = with_row_numbers(df, ["k"], "n").orderBy("n").collect()

@@ -62,19 +62,20 @@ def refused(spark, sf_dir):
 # ---- language ----
 
 def script_detect(spark, sf_dir):
-    names = lookup([(code, name) for code, name, *_ in SCRIPTS], "script")
-    return with_words(_documents(spark, sf_dir)).selectExpr("doc_id", "script", f"{names} AS script_name")
+    names = lookup([(code, name) for code, name, *_ in SCRIPTS], "_script")
+    return with_words(_documents(spark, sf_dir)).selectExpr(
+        "doc_id", "_script AS script", f"{names} AS script_name")
 
 
 def tokens(spark, sf_dir):
     return with_words(_documents(spark, sf_dir)).selectExpr(
-        "doc_id", "size(words) AS n_words", "md5(array_join(words, ' ')) AS words_md5")
+        "doc_id", "size(_words) AS n_words", "md5(array_join(_words, ' ')) AS words_md5")
 
 
 def stopword_scores(spark, sf_dir):
     counted = with_stopword_counts(_documents(spark, sf_dir))
-    pairs = ", ".join(f"'{lang}', counts.{lang}" for lang in COUNTED_WORDS)
-    return counted.selectExpr("doc_id", "n_words", f"stack({len(COUNTED_WORDS)}, {pairs}) AS (lang, hits)")
+    pairs = ", ".join(f"'{lang}', _counts.{lang}" for lang in COUNTED_WORDS)
+    return counted.selectExpr("doc_id", "_n_words AS n_words", f"stack({len(COUNTED_WORDS)}, {pairs}) AS (lang, hits)")
 
 
 def detect_language(spark, sf_dir):
