@@ -13,13 +13,13 @@ from lumenward.operators.routing import batched_findings
 PAGE_LINES = 1000
 
 
-def digest_lines(results: DataFrame, order_by, period: str = "daily") -> DataFrame:
-    """The whole digest as ``(line_no, line)``, however long it gets.
+def digest_of_findings(findings: DataFrame, order_by, period: str = "daily") -> DataFrame:
+    """The whole digest of a table of findings as ``(line_no, line)``, however long.
 
-    Line 0 is the heading, then come the numbered items and the footer; with
-    nothing to review the heading is the only line."""
-    findings = batched_findings(results, order_by)
-    items = with_row_numbers(findings, [*order_by, "rank"], "line_no").selectExpr(
+    Line 0 is the heading, then come the numbered items in the order of the
+    ``order_by`` columns, unique together, and the footer; with nothing to
+    review the heading is the only line."""
+    items = with_row_numbers(findings, order_by, "line_no").selectExpr(
         "line_no", f"{digest_item('finding', 'line_no')} AS line")
     heading = f"struct(0L AS line_no, {digest_heading(period, 'n')} AS line)"
     foot = f"struct(n + 1 AS line_no, {quote(DIGEST_FOOT)} AS line)"
@@ -28,6 +28,11 @@ def digest_lines(results: DataFrame, order_by, period: str = "daily") -> DataFra
     return items.unionByName(frame)
 
 
+def digest_lines(results: DataFrame, order_by, period: str = "daily") -> DataFrame:
+    """The digest of the borderline findings of processed messages."""
+    return digest_of_findings(batched_findings(results, order_by), [*order_by, "rank"], period)
+
+
 def digest_pages(lines: DataFrame, page_lines: int = PAGE_LINES) -> DataFrame:
     """The digest as text, ``page_lines`` lines to a page.
 

@@ -38,8 +38,8 @@ def alert_stream(results: DataFrame, keep=()) -> DataFrame:
 def digest_item_stream(results: DataFrame, keep=()) -> DataFrame:
     """One row per borderline finding with the day it belongs to; keeps no state.
 
-    Written by day, a closed day's items are the input of its digest, so that
-    no window has to hold its lines in memory."""
+    Written by day, a closed day's items are the input of its digest
+    (``digest_of_findings``), so that no window has to hold its lines in memory."""
     return results.selectExpr(
         *keep, "message.id AS id", EVENT_TIME, f"to_date({EVENT_TIME}) AS day",
         "posexplode(batch) AS (place, finding)")

@@ -99,3 +99,16 @@ def test_details(find):
 def test_matches_beyond_the_basic_plane_are_counted_in_code_points(find):
     got = find({"text": "😀😀 you loser 😀"})["0"]["harassment"]
     assert got.excerpt == f"😀😀 you {MASK} 😀"
+
+
+def test_strangers_never_score_below_contacts(find):
+    texts = [text for text, _, _ in CASES if text.strip()]
+    relations = ("mutual", "unknown", "not-mutual")
+    got = find(*[{"text": t, "direction": "outgoing", "senderRelationship": r} for t in texts for r in relations])
+    for i in range(0, 3 * len(texts), 3):
+        contact, unknown, stranger = (got[str(i + k)] for k in range(3))
+        for category, finding in contact.items():
+            assert 0.45 <= finding.confidence <= unknown[category].confidence
+        for category, finding in unknown.items():
+            assert finding.confidence <= stranger[category].confidence <= 0.99
+            assert MASK in finding.excerpt and len(finding.excerpt) <= 70
