@@ -10,7 +10,7 @@ from lumenward.functions.scoring import final_confidence, noisy_or, sender_adjus
 from lumenward.functions.text import lookup
 from lumenward.functions.wording import alert_text, context_line, digest_item, suggested_action
 from lumenward.operators.digest import digest_lines, digest_pages, message_digest
-from lumenward.operators.findings import with_buckets, with_findings
+from lumenward.operators.findings import with_buckets
 from lumenward.operators.language import with_language, with_stopword_counts, with_words
 from lumenward.operators.matching import triggered_messages, with_hits
 from lumenward.operators.normalize import accepted_messages, normalize_messages, refused_messages
@@ -236,13 +236,14 @@ def stream_report(spark, sf_dir):
 
 def toxicity_precision_recall(spark, sf_dir):
     """How well harassment findings agree with the labels."""
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    ids = read_table(spark, sf_dir, "documents").select("doc_id")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").join(ids, "doc_id", "left_semi")
     messages = documents(spark, sf_dir).selectExpr(
         "doc_id", "text", "'incoming' AS direction", "'unknown' AS senderRelationship")
-    flagged = with_findings(match_messages(messages)).selectExpr(
-        "doc_id", "exists(findings, f -> f.category = 'harassment') AS flagged")
+    # A document has at most one finding of a category.
+    flagged = find_risks(messages).where("finding.category = 'harassment'").selectExpr("doc_id", "true AS flagged")
     return (
-        flagged.join(labels, "doc_id")
+        labels.join(flagged, "doc_id", "left").selectExpr("toxic", "coalesce(flagged, false) AS flagged")
         .selectExpr("count_if(flagged AND toxic = 1) AS hits", "count_if(flagged AND toxic = 0) AS false_alarms",
                     "count_if(NOT flagged AND toxic = 1) AS misses",
                     "count_if(NOT flagged AND toxic = 0) AS passed")
