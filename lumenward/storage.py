@@ -36,3 +36,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table of this engine's own making that nothing will read again."""
+    if not path.startswith(shared_folder(spark).rstrip("/") + "/"):
+        raise ValueError(f"not in the shared folder: {path}")
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Intermediate tables that belong together and go together.
+
+    As a context manager it deletes them on leaving, in success and failure."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def path(self, name: str) -> str:
+        self.paths.append(new_table_path(self.spark, name))
+        return self.paths[-1]
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Like :func:`materialize`, the table being one of these."""
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        while self.paths:
+            drop_table(self.spark, self.paths.pop())
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()

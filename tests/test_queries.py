@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from check_oracle import TABLES, _rows
+from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,10 +26,10 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(QUERIES) <= set(entry_module.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     df = entry_module.queries()[name](spark, SF)
     result = duck.execute(entry_module.oracle_sql()[name])
