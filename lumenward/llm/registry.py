@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenward.llm import op8_quality_rules
+from lumenward.llm import op3_byte_bpe, op8_quality_rules
 
 _MODULES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
 
