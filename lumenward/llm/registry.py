@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenward.llm import op2_mixing, op3_byte_bpe, op4_lm_scoring, op5_minhash, op6_url_filter, op7_pu_quality, op8_quality_rules, op9_secret_scan
+from lumenward.llm import op10_chat_format, op2_mixing, op3_byte_bpe, op4_lm_scoring, op5_minhash, op6_url_filter, op7_pu_quality, op8_quality_rules, op9_secret_scan
 
 _MODULES = {
     "op2_mixing": op2_mixing,
@@ -13,6 +13,7 @@ _MODULES = {
     "op7_pu_quality": op7_pu_quality,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
+    "op10_chat_format": op10_chat_format,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
