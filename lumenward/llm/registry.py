@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenward.llm import op10_chat_format, op2_mixing, op3_byte_bpe, op4_lm_scoring, op5_minhash, op6_url_filter, op7_pu_quality, op8_quality_rules, op9_secret_scan
+from lumenward.llm import op10_chat_format, op1_itq_dedup, op2_mixing, op3_byte_bpe, op4_lm_scoring, op5_minhash, op6_url_filter, op7_pu_quality, op8_quality_rules, op9_secret_scan
 
 _MODULES = {
+    "op1_itq_dedup": op1_itq_dedup,
     "op2_mixing": op2_mixing,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_lm_scoring": op4_lm_scoring,
