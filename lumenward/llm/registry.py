@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from lumenward.llm import op10_chat_format, op1_itq_dedup, op2_mixing, op3_byte_bpe, op4_lm_scoring, op5_minhash, op6_url_filter, op7_pu_quality, op8_quality_rules, op9_secret_scan
+import corpus_pipeline
+from lumenward.llm import (
+    op1_itq_dedup, op2_mixing, op3_byte_bpe, op4_lm_scoring, op5_minhash, op6_url_filter, op7_pu_quality,
+    op8_quality_rules, op9_secret_scan, op10_chat_format,
+)
 
 _MODULES = {
     "op1_itq_dedup": op1_itq_dedup,
@@ -17,5 +21,5 @@ _MODULES = {
     "op10_chat_format": op10_chat_format,
 }
 
-QUERIES = {name: module.query for name, module in _MODULES.items()}
+QUERIES = {**{name: module.query for name, module in _MODULES.items()}, "pipeline": corpus_pipeline.run}
 ORACLE_SQL = {name: module.ORACLE_SQL for name, module in _MODULES.items() if getattr(module, "ORACLE_SQL", None)}
