@@ -10,8 +10,9 @@ no group of copies is expanded into pairs:
 
 1. Equal sets are one *class*, found by a digest of the whole set.
 2. In every bucket each class is compared with the smallest one only.
-3. Only buckets whose classes are still in different components after that are
-   looked at again, and only pairs across components are compared.
+3. Classes in buckets that hold different components after that, the rest, are
+   joined on their rarest shingles, an exact condition for a link, and compared
+   across components.
 
 Comparison reads both texts again and intersects their full sets.
 
@@ -160,6 +161,45 @@ def confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_compared(settings), "a bigint, b bigint")
 
 
+def _sets(settings: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 2 << 20):
+            shingles, sizes = shingle_sets(part.column(1), settings.width)
+            offsets = np.zeros(len(sizes) + 1, np.int32)
+            np.cumsum(sizes, out=offsets[1:])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingles.view(np.int64)))],
+                names=["doc_id", "component", "shingles"])
+    return run
+
+
+def _rare_shingle_pairs(nodes: DataFrame, texts: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
+    """Every pair (a, b) of nodes in different components that can be similar enough.
+
+    A set that shares a given part of its shingles with another must share one of
+    the few that are left out of that part, whichever they are; taking the rarest
+    ones, a passage that many texts have in common brings none of them together.
+    Nothing is lost: this is a condition that every link meets."""
+    joined = texts.join(nodes.selectExpr("doc_id AS _node", "component"), F.col("doc_id") == F.col("_node"))
+    sets = scratch.table(
+        joined.select("doc_id", "text", "component").mapInArrow(
+            _sets(settings), "doc_id bigint, component bigint, shingles array<bigint>"), "open_sets")
+    entries = sets.selectExpr("doc_id", "explode(shingles) AS shingle")
+    spread = entries.groupBy("shingle").agg(F.count("*").alias("df")).selectExpr("shingle AS _shingle", "df")
+    ranked = entries.join(spread, F.col("shingle") == F.col("_shingle")).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("rarest"))
+    needed = f"({settings.percent} * size(rarest) + 99) div 100"
+    prefixes = scratch.table(
+        ranked.selectExpr("doc_id AS _doc", "size(rarest) AS n", f"inline(slice(rarest, 1, cast(size(rarest) - {needed} + 1 AS int)))")
+        .where("df > 1").join(sets.select("doc_id", "component"), F.col("_doc") == F.col("doc_id"))
+        .select("shingle", "doc_id", "n", "component"), "prefixes")
+    a = prefixes.selectExpr("shingle AS _s", "doc_id AS a", "n AS n_a", "component AS c_a")
+    b = prefixes.selectExpr("shingle", "doc_id AS b", "n AS n_b", "component AS c_b")
+    return a.join(b, F.expr(
+        f"shingle = _s AND a < b AND c_a <> c_b AND 100 * least(n_a, n_b) >= {settings.percent} * greatest(n_a, n_b)"
+    )).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, a row for each row of ``docs``."""
     texts = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "coalesce(cast(text AS string), '') AS text")
@@ -186,16 +226,14 @@ def near_duplicates(docs: DataFrame, settings: Settings, scratch: Scratch) -> Da
     links = scratch.table(confirmed(stars, class_texts, settings), "links")
     found = components(links, scratch)
 
-    placed = in_buckets.join(found, F.col("doc_id") == F.col("node"), "left").selectExpr(
-        "key", "doc_id", "n", "first", "coalesce(component, doc_id) AS component")
-    placed = scratch.table(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(
-        "lo <> hi").selectExpr("key AS _key")
-    open_ = placed.join(mixed, F.col("key") == F.col("_key"), "left_semi")
-    left = open_.selectExpr("key AS _key", "doc_id AS a", "n AS n_a", "component AS c_a")
-    right = open_.selectExpr("key", "doc_id AS b", "n AS n_b", "component AS c_b", "first")
-    across = left.join(right, F.expr(
-        f"key = _key AND a < b AND c_a <> c_b AND a <> first AND {fits.format('n_a', 'n_b')}")).select("a", "b").distinct()
+    placed = scratch.table(in_buckets.join(found, F.col("doc_id") == F.col("node"), "left").selectExpr(
+        "key", "doc_id", "coalesce(component, doc_id) AS component"), "placed")
+    # The only pair of a bucket of two has been compared.
+    mixed = placed.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where(
+        "lo <> hi AND c > 2").selectExpr("key AS _key")
+    open_ = placed.join(mixed, F.col("key") == F.col("_key"), "left_semi").select("doc_id", "component").distinct()
+    across = _rare_shingle_pairs(open_, class_texts, settings, scratch)
     more = scratch.table(confirmed(across, class_texts, settings), "more_links")
     if more.limit(1).count():
         found = components(links.unionByName(more), scratch)
@@ -204,7 +242,7 @@ def near_duplicates(docs: DataFrame, settings: Settings, scratch: Scratch) -> Da
     named = classes.selectExpr("digest", "doc_id AS class_id").join(
         found, F.col("class_id") == F.col("node"), "left").selectExpr(
         "digest AS _digest", "coalesce(component, class_id) AS component_id")
-    members = signed.select("doc_id", "n_shingles", "digest").join(
+    members = signed.selectExpr("doc_id", "n_shingles", "if(doc_id IS NULL, NULL, digest) AS digest").join(
         named, F.col("digest") == F.col("_digest"), "left")
     return members.selectExpr(
         "doc_id", "n_shingles", "coalesce(component_id, doc_id) AS component_id",
