@@ -31,7 +31,7 @@ WORD = r"[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
 SEED = 20240
-#: Sums that the knapsack looks at beyond the longest document it may use.
+#: Budgets up to this are a knapsack throughout; of larger ones, half of it is.
 KNAPSACK_SUMS = 1 << 16
 #: Documents of one (source, length) to a hash range; only one range of each is ranked.
 RANGE_DOCUMENTS = 512
@@ -66,9 +66,10 @@ def capped_targets(sizes: DataFrame, weights=WEIGHTS, most: float = MAX_REPEATS)
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take, for a sum as near to ``budget`` as found.
 
-    The proportional part leaves less than one document of each length; going
-    down the lengths takes what fits of that; then a knapsack over what is left
-    finds the reachable sum nearest to the gap."""
+    A large budget is first shared out over the lengths in proportion, which
+    leaves less than one document of each, and filled up going down the lengths;
+    the knapsack then closes the gap that was left open for it, exactly if any
+    choice of the documents left does."""
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     taken = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
@@ -76,60 +77,56 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return taken
     if budget >= total:
         return np.where(lengths > 0, counts, 0)
-    taken = np.where(lengths > 0, (counts.astype(object) * budget // total).astype(np.int64), 0)
-    gap = budget - int((lengths * taken).sum())
-    order = [i for i in np.argsort(-lengths, kind="stable") if lengths[i] > 0]
-    for i in order:
-        # Leave a gap that the knapsack can still close with the shorter ones.
-        if gap - lengths[i] >= 4 * lengths[order[0]] and taken[i] < counts[i]:
-            more = min(int(counts[i] - taken[i]), int((gap - 4 * lengths[order[0]]) // lengths[i]))
-            taken[i] += more
-            gap -= more * int(lengths[i])
+    gap = budget
+    if budget > KNAPSACK_SUMS:
+        shared = budget - KNAPSACK_SUMS // 2
+        taken = np.where(lengths > 0, (counts.astype(object) * shared // total).astype(np.int64), 0)
+        gap -= int((lengths * taken).sum())
+        for i in np.argsort(-lengths, kind="stable"):
+            if lengths[i] > 0 and gap > KNAPSACK_SUMS // 2:
+                more = min(int(counts[i] - taken[i]), (gap - KNAPSACK_SUMS // 2) // int(lengths[i]))
+                taken[i] += more
+                gap -= more * int(lengths[i])
     return taken + _knapsack(lengths, counts - taken, gap)
 
 
+def _bits(number: int, n: int) -> np.ndarray:
+    """Places of the ones among the lowest n bits."""
+    raw = np.frombuffer(number.to_bytes(n // 8 + 1, "little"), np.uint8)
+    return np.flatnonzero(np.unpackbits(raw, bitorder="little")[:n])
+
+
 def _knapsack(lengths: np.ndarray, left: np.ndarray, gap: int) -> np.ndarray:
-    """Bounded knapsack: counts whose sum is the reachable one nearest to ``gap``."""
+    """Bounded knapsack: counts whose sum is the reachable one nearest to ``gap``.
+
+    A length's count is split into parts of 1, 2, 4, ... documents.  The sums that
+    are reachable are the ones of a long integer; adding a part is a shift.  A sum
+    remembers the part that reached it first, and the sum before it was reached by
+    earlier parts only, so walking back uses no part twice."""
     out = np.zeros(len(lengths), np.int64)
-    while True:
-        limit = min(gap, KNAPSACK_SUMS) if gap > KNAPSACK_SUMS else gap
-        usable = [i for i in range(len(lengths)) if 0 < lengths[i] and left[i] > 0]
-        if gap <= 0 or not usable:
-            return out
-        # A document above the gap may still come nearer than staying below it.
-        limit = max(limit, min(int(min(lengths[i] for i in usable)), 2 * gap))
-        items = []
-        for i in sorted(usable, key=lambda i: (-lengths[i], i)):
-            n, part = min(int(left[i]), limit // int(lengths[i])), 1
-            while n > 0:
-                part = min(part, n)
-                items.append((int(lengths[i]) * part, i, part))
-                n -= part
-                part *= 2
-        reached, full, via = 1, (1 << (limit + 1)) - 1, np.full(limit + 1, -1, np.int32)
-        goal = min(gap, limit)
-        for k, (weight, _, _) in enumerate(items):
-            if weight > limit:
-                continue
+    usable = [i for i in np.argsort(-lengths, kind="stable") if lengths[i] > 0 and left[i] > 0]
+    if gap <= 0 or not usable:
+        return out
+    # The nearest sum may lie above the gap, by less than the longest document.
+    limit = gap + min(gap, int(lengths[usable[0]]))
+    reached, full, via, parts = 1, (1 << (limit + 1)) - 1, np.full(limit + 1, -1, np.int32), []
+    for i in usable:
+        n, size = min(int(left[i]), limit // int(lengths[i])), 1
+        while n > 0 and not (reached >> gap) & 1:
+            size = min(size, n)
+            weight = int(lengths[i]) * size
             new = (reached << weight) & full & ~reached
-            if new:
-                raw = np.frombuffer(new.to_bytes(limit // 8 + 1, "little"), np.uint8)
-                via[np.flatnonzero(np.unpackbits(raw, bitorder="little")[:limit + 1])] = k
-                reached |= new
-                if (reached >> goal) & 1:
-                    break
-        sums = np.flatnonzero(np.unpackbits(np.frombuffer(reached.to_bytes(limit // 8 + 1, "little"), np.uint8), bitorder="little")[:limit + 1])
-        best = int(sums[np.argmin(np.abs(sums - goal))])
-        at = best
-        while at > 0:  # a sum's first item came after those of the sum before it, so none is used twice
-            weight, i, part = items[via[at]]
-            out[i] += part
-            left = left.copy()
-            left[i] -= part
-            at -= weight
-        gap -= best
-        if best == 0 or gap <= 0 or goal == gap + best:
-            return out
+            via[_bits(new, limit + 1)] = len(parts)
+            parts.append((weight, i, size))
+            reached |= new
+            n, size = n - size, size * 2
+    sums = _bits(reached, limit + 1)
+    at = int(sums[np.argmin(np.abs(sums - gap))])
+    while at > 0:
+        weight, i, size = parts[via[at]]
+        out[i] += size
+        at -= weight
+    return out
 
 
 def _fit_source(counts: pd.DataFrame) -> pd.DataFrame:
