@@ -14,6 +14,7 @@ small: a lookahead for the first letter and a one-sided boundary.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from functools import lru_cache
 
@@ -94,9 +95,70 @@ def entry_regex(entry: Entry) -> str:
     return to_java(entry.pattern, entry.ignore_case)
 
 
-def before_match(regex: str) -> str:
-    """A pattern whose group 1 is everything before the leftmost match."""
-    return rf"(?s)\A(.*?){regex}"
+# Gaps between the words that open a match and those that close it, as written
+# in the patterns, and the class of characters each may hold.
+_GAPS = {".*": ANY_CHAR, "[^.!?]*": "[^.!?]"}
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The pattern cut at its outermost bars."""
+    out, depth, in_class = [""], 0, False
+    for at, char in enumerate(pattern):
+        escaped = pattern[at - 1:at] == "\\"
+        if not escaped:
+            in_class = char == "[" or (in_class and char != "]")
+            depth += (char == "(") - (char == ")") if not in_class else 0
+            if char == "|" and not depth and not in_class:
+                out.append("")
+                continue
+        out[-1] += char
+    return out
+
+
+def opener_and_gap(alternative: str) -> tuple[str, str] | None:
+    """What stands before the gap of a pattern without outer bars, and the gap's class."""
+    for gap, allowed in _GAPS.items():
+        opener, found, _ = alternative.partition(gap)
+        if found:
+            if opener.count("(") != opener.count(")"):
+                raise ValueError(f"a gap inside a group: {alternative}")
+            return opener, allowed
+    return None
+
+
+def before_match(entry: Entry) -> str:
+    """A pattern whose group 1 is everything before the leftmost match.
+
+    It walks over the text with possessive steps, which neither back up nor use
+    the stack.  An opener whose gap reaches no closer costs a look over the gap;
+    no later opener in the same gap can do better, so the step then goes to the
+    end of the gap, and a text is looked at a bounded number of times however
+    often it repeats an opener.  The step stops early where something begins that
+    does not depend on this gap: another alternative, or an opener that itself
+    runs across the gap's end."""
+    regex = entry_regex(entry)
+    first = first_letters(entry.pattern)
+    gapped = [(part, opener_and_gap(part)) for part in alternatives(entry.pattern)]
+    if not any(found for _, found in gapped):
+        return rf"(?s)\A(.*?){regex}"
+    if not (first.isascii() and first.isalpha()):
+        raise ValueError(f"a pattern with a gap must start with ASCII letters: {entry.pattern}")
+    case = "(?i:" if entry.ignore_case else "(?:"
+    others = [to_java(part, entry.ignore_case) for part, found in gapped if not found]
+    skips = []
+    for part, found in gapped:
+        if not found:
+            continue
+        opener, allowed = found
+        stops = list(others)
+        if r"\s" in opener and allowed == ANY_CHAR:
+            # With the white space that may stand in the opener holding the end of the gap.
+            across = re.sub(r"\(\\s\+([^()]*)\)\?", lambda m: rf"(\s*[\n\r\u2028\u2029]\s*{m[1]})", opener)
+            stops.append(to_java(across, entry.ignore_case))
+        guard = f"(?!{'|'.join(stops)})" if stops else ""
+        skips.append(f"(?={to_java(opener, entry.ignore_case)}){allowed}(?:{guard}{allowed})*+")
+    step = "|".join([f"{case}[^{first}]++)", f"(?!{regex})(?:{'|'.join(skips)}|(?s:.))"])
+    return rf"\A((?:{step})*+)(?={regex})"
 
 
 def match_after_one(regex: str) -> str:

@@ -80,7 +80,7 @@ def first_match(entry: Entry, text: str) -> str:
     does for a match at the very start; matching there tells which, and gives
     the length.  The character before the start goes along for the boundary."""
     regex = entry_regex(entry)
-    start = f"length(regexp_extract({text}, {quote(before_match(regex))}, 1))"
+    start = f"length(regexp_extract({text}, {quote(before_match(entry))}, 1))"
     rest = f"concat(if(start > 0, substring({text}, start, 1), ' '), substring({text}, start + 1))"
     length = f"length(regexp_extract({rest}, {quote(match_after_one(regex))}, 1))"
     signal = quote(entry.signal) if entry.signal else "cast(NULL AS string)"

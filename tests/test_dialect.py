@@ -2,16 +2,19 @@
 
 import random
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from lumenward.functions.dialect import first_letters, to_java
+from lumenward.functions.dialect import (
+    alternatives, before_match, entry_regex, first_letters, opener_and_gap, to_java,
+)
 from lumenward.functions.lexicon import ENTRIES
 from lumenward.functions.text import quote
 from lumenward.operators.findings import exploded_findings
-from lumenward.operators.matching import with_hits
+from lumenward.operators.matching import first_match, with_hits
 from lumenward.operators.normalize import normalize_messages
 from lumenward.plans.messages import classify_messages, find_risks
 
@@ -127,3 +130,58 @@ def test_dropping_messages_early_loses_no_finding(spark):
     got = find_risks(messages)
     assert sorted(map(str, got.select(*exploded_findings(classify_messages(messages)).columns).collect())) == want
     assert len(want) > 500
+
+
+def _fragment_texts(entry, n, rng):
+    """Texts of pieces of a gapped pattern, in and out of order."""
+    pieces = {
+        1: ["mándame", "manda", "enviame", "foto", "fotos", "desnuda", "fotografia"],
+        2: ["envoie", "envoie-moi", "montre", "photo", "nues", "nu", "envoiemoi"],
+        3: ["manda", "envie", "mostra", "foto", "pelada", "nu", "mandar"],
+        4: ["schick", "zeig", "mir", "bild", "nackt", "schick mir", "zeig\n mir", "schick\nmir", "bilder"],
+        8: ["never tell", "don't", "do not say it to", "mom", "parents", "parental", "never"],
+        10: ["no le digas", "no cuentes", "nuestro secreto", "padres", "nadie", "no"],
+        12: ["não conta", "nao fala", "nosso segredo", "mae", "ninguém", "não"],
+        16: ["add me on", "let's talk on", "hop on", "snap", "kik", "snapchatty", "do you have"],
+        17: ["pasa a", "hablamos por", "escribeme en", "snap", "whatsapp", "kik"],
+    }[entry.ord]
+    glue = [" ", " ", "\n", ". ", "x", " \n ", "!", " ", "  "]
+    return ["".join(rng.choice(pieces + ["word"]) + rng.choice(glue) for _ in range(rng.randrange(1, 14))) for _ in range(n)]
+
+
+GAPPED = [e for e in ENTRIES if any(opener_and_gap(a) for a in alternatives(e.pattern))]
+
+
+def test_stepping_over_gaps_finds_the_leftmost_match(spark):
+    rng = random.Random(5)
+    for entry in GAPPED:
+        texts = [(t,) for t in _fragment_texts(entry, 1500, rng)]
+        plain = quote(rf"(?s)\A(.*?){entry_regex(entry)}")
+        df = spark.createDataFrame(texts, "text string").selectExpr(
+            "text", f"regexp_extract(text, {plain}, 1) AS want", f"regexp_extract(text, {quote(before_match(entry))}, 1) AS got",
+            f"text RLIKE {quote(entry_regex(entry))} AS matches")
+        rows = df.collect()
+        assert all(r.want == r.got for r in rows), entry
+        assert 0 < sum(r.matches for r in rows) < len(rows)
+
+
+def test_repeated_openers_take_linear_time(spark):
+    """A text that repeats an opener without a closer; quadratic time would be minutes."""
+    openers = {1: "envíame ", 2: "envoie ", 3: "manda ", 4: "zeig\nmir schick mir ", 8: "never tell ", 10: "no cuentes ",
+               12: "não conta ", 16: "dm me on ", 17: "pasa a "}
+    assert set(openers) == {e.ord for e in GAPPED}
+    started = time.monotonic()
+    for entry in GAPPED:
+        text = openers[entry.ord] * 64_000
+        hit = f"{first_match(entry, 'text')} AS hit"
+        rows = spark.createDataFrame([(text,), (text + "\n. foto mom photos bild snap kik padres pais",)], "text string")
+        assert [r.hit for r in rows.selectExpr(hit).collect()] == [None, None]
+    assert time.monotonic() - started < 60
+
+
+def test_gaps_must_be_outside_groups_and_start_with_letters():
+    assert alternatives(r"a(b|c)[|]|d\|e") == [r"a(b|c)[|]", r"d\|e"]
+    with pytest.raises(ValueError):
+        opener_and_gap(r"(a.*b)c")
+    with pytest.raises(ValueError):
+        before_match(ENTRIES[1]._replace(pattern=r"á.*b"))
