@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenward.functions.text import quote
+from lumenward.functions.times import UTC, day_of, event_time
 from lumenward.functions.wording import DIGEST_FOOT, digest_heading, digest_item
 from lumenward.operators.numbering import with_row_numbers
 from lumenward.operators.routing import batched_findings
+from lumenward.storage import Scratch
 
 PAGE_LINES = 1000
 
 
-def digest_of_findings(findings: DataFrame, order_by, period: str = "daily") -> DataFrame:
+def digest_of_findings(findings: DataFrame, order_by, period: str = "daily", scratch: Scratch | None = None) -> DataFrame:
     """The whole digest of a table of findings as ``(line_no, line)``, however long.
 
     Line 0 is the heading, then come the numbered items in the order of the
     ``order_by`` columns, unique together, and the footer; with nothing to
-    review the heading is the only line."""
-    items = with_row_numbers(findings, order_by, "line_no").selectExpr(
+    review the heading is the only line.  ``findings`` should be a table, as it is
+    read more than once; the numbered items go to ``scratch``."""
+    items = with_row_numbers(findings, order_by, "line_no", scratch).selectExpr(
         "line_no", f"{digest_item('finding', 'line_no')} AS line")
     heading = f"struct(0L AS line_no, {digest_heading(period, 'n')} AS line)"
     foot = f"struct(n + 1 AS line_no, {quote(DIGEST_FOOT)} AS line)"
@@ -28,9 +31,20 @@ def digest_of_findings(findings: DataFrame, order_by, period: str = "daily") ->
     return items.unionByName(frame)
 
 
-def digest_lines(results: DataFrame, order_by, period: str = "daily") -> DataFrame:
-    """The digest of the borderline findings of processed messages."""
-    return digest_of_findings(batched_findings(results, order_by), [*order_by, "rank"], period)
+def digest_lines(results: DataFrame, order_by, period: str = "daily", scratch: Scratch | None = None) -> DataFrame:
+    """The digest of the borderline findings of processed messages that are a table."""
+    return digest_of_findings(batched_findings(results, order_by), [*order_by, "rank"], period, scratch)
+
+
+def days_of_findings(results: DataFrame, order_by, zone: str = UTC) -> DataFrame:
+    """The borderline findings of processed messages with their ``day`` in a zone.
+
+    One day's or week's rows are the input of :func:`digest_of_findings`; messages
+    whose time cannot be read have no day."""
+    keys = [f"`{c}`" for c in order_by]
+    day = day_of(event_time("message.timestamp", zone), zone)
+    return results.selectExpr(*keys, f"{day} AS day", "posexplode(batch) AS (_place, finding)").selectExpr(
+        *keys, "day", "_place + 1 AS rank", "finding")
 
 
 def digest_pages(lines: DataFrame, page_lines: int = PAGE_LINES) -> DataFrame:

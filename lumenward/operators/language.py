@@ -14,10 +14,6 @@ from lumenward.functions.text import empty_array, is_blank, lookup, round2, trim
 from lumenward.operators.pinning import with_columns
 from lumenward.schema import LANGUAGE_COLUMNS
 
-# Longest text the remote labelling service takes.
-REMOTE_MAX_CHARS = 5000
-
-
 def with_words(messages: DataFrame) -> DataFrame:
     """Add ``_script``, the language by script, and ``_words`` of other text."""
     return messages.selectExpr("*", f"{script_language('text')} AS _script").selectExpr(
@@ -64,10 +60,15 @@ def check_detector(detector: str) -> str:
     return detector
 
 
-def remote_requests(messages: DataFrame) -> DataFrame:
-    """What the labelling service is sent: id and the text it accepts."""
+def remote_requests(messages: DataFrame, max_chars: int | None = None, keep=()) -> DataFrame:
+    """What the labelling service is sent: id and text, the whole text by default.
+
+    ``max_chars`` is the longest text the service accepts, if it has a limit;
+    the one whose labels this package can read takes 5,000 characters."""
+    text = trim_all("text")
+    sent = text if max_chars is None else f"substring({text}, 1, {int(max_chars)})"
     return messages.where(f"NOT ({is_blank('text')})").selectExpr(
-        "id", f"substring({trim_all('text')}, 1, {REMOTE_MAX_CHARS}) AS text")
+        *[f"`{k}`" for k in keep], "id", f"{sent} AS text")
 
 
 def best_candidate(candidates: str) -> str:
@@ -76,23 +77,38 @@ def best_candidate(candidates: str) -> str:
     return f"array_max({ranked})"
 
 
+def merged_labels(candidates: DataFrame) -> DataFrame:
+    """One row per id, (_label_id, _label), from any table of candidates; none without id."""
+    none = f"named_struct('score', 0D, 'place', 0, 'code', '{UNDETERMINED}')"
+    return (
+        candidates.where("id IS NOT NULL").selectExpr("id AS _label_id", f"{best_candidate('candidates')} AS _best")
+        .groupBy("_label_id").agg(F.max("_best").alias("_best"))
+        .selectExpr("_label_id", f"coalesce(_best, {none}) AS _label"))
+
+
 def with_remote_language(messages: DataFrame, candidates: DataFrame) -> DataFrame:
     """Replace the local language by the labels of ``candidates``, joined on id.
 
     ``messages`` holds the local result, used where the id has no row there,
     and ``_blank``, whether the text is.  Callers drop the text before this join
     wherever they no longer need it: it is the only shuffle of the message
-    path.  ``candidates`` has one row per id.  Messages without an id cannot
-    match; each gets a key of its own, so that they spread over all partitions.
-    A hot id is left to AQE's skew join."""
-    labels = candidates.selectExpr(
-        "id AS _label_id",
-        f"coalesce({best_candidate('candidates')},"
-        f" named_struct('score', 0D, 'place', 0, 'code', '{UNDETERMINED}')) AS _label")
-    keyed = messages.selectExpr(
-        "*", "coalesce(id, concat('no id ', monotonically_increasing_id())) AS _key")
+    path.  Messages without an id cannot match; each gets a key of its own, so
+    that they spread over all partitions.  A hot id of the messages is left to
+    AQE's skew join, which splits it once it is larger than its thresholds.
+
+    ``candidates`` may hold several rows for an id, whose best candidates count:
+    the highest score, then the earlier place in its row, then the later code in
+    alphabetical order.  They are merged before the join, so a message stays one
+    row whatever the table holds.  The keys of the join are made after that, so
+    that the merged labels, which are narrow, are shuffled for it by themselves: a
+    join right on top of an aggregate could not be split at a hot id."""
+    labels = merged_labels(candidates).selectExpr("concat('id ', _label_id) AS _label_id", "_label")
+    # Row numbers are not to be had on streams; there the row's content spreads those without an id.
+    others = ", ".join(f"`{c}`" for c in messages.columns)
+    number = f"xxhash64({others})" if messages.isStreaming else "monotonically_increasing_id()"
+    keyed = messages.selectExpr("*", f"coalesce(concat('id ', id), concat('no id ', {number})) AS _key")
     joined = keyed.join(labels, (F.col("_key") == F.col("_label_id")) & F.col("id").isNotNull(), "left")
-    code = f"split_part(coalesce(_label.code, '{UNDETERMINED}'), '-', 1)"
+    code = f"split_part(coalesce(nullif(_label.code, ''), '{UNDETERMINED}'), '-', 1)"
     decided = joined.selectExpr(
         "*", f"if(_blank, '{UNDETERMINED}', {code}) AS _code", "_label IS NULL AND NOT _blank AS _is_local",
         f"if(_blank, 0D, {round2('_label.score')}) AS _score")

@@ -5,30 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenward.storage import materialize
+from lumenward.storage import Scratch
 
 # monotonically_increasing_id() keeps the partition above the lower 33 bits.
 _ROW_BITS = 33
 
 
-def with_row_numbers(df: DataFrame, order_by, name: str = "number") -> DataFrame:
+def with_row_numbers(df: DataFrame, order_by, name: str = "number", scratch: Scratch | None = None) -> DataFrame:
     """Number the rows from 1 in the order of ``order_by``, unique together.
 
     The rows are range-partitioned and sorted, and written down with their
     place; the number is that place plus the sizes of the earlier partitions.
-    The sizes are one row per shuffle partition, so they can be broadcast.  The rows are written
-    once before that too: finding the ranges reads them a second time, and what
-    made them is not to run twice."""
-    keys = [f"`{c}`" for c in order_by]
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(df, "unnumbered")
-    placed = materialize(
-        rows.repartitionByRange(partitions, *order_by).sortWithinPartitions(*order_by)
-        .selectExpr("*", "monotonically_increasing_id() AS _position"),
-        "numbered")
-    placed = placed.selectExpr(
-        "*", f"shiftright(_position, {_ROW_BITS}) AS _part",
-        f"_position & {(1 << _ROW_BITS) - 1}L AS _row")
+    The sizes are one row per partition, so they can be broadcast.  Finding the
+    ranges reads ``df`` a second time: it should be a table, or cheap to make."""
+    scratch = scratch or Scratch(df.sparkSession)
+    placed = scratch.table(
+        df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+        .selectExpr("*", "monotonically_increasing_id() AS _position"), "numbered").selectExpr(
+        "*", f"shiftright(_position, {_ROW_BITS}) AS _part", f"_position & {(1 << _ROW_BITS) - 1}L AS _row")
     before = placed.groupBy("_part").count().selectExpr(
         "_part", "sum(count) OVER (ORDER BY _part) - count AS _before")
     others = [f"`{c}`" for c in df.columns]

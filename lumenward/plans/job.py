@@ -5,12 +5,13 @@ from __future__ import annotations
 import argparse
 
 from lumenward.functions.languages import LOCAL_DETECTOR, REMOTE_DETECTOR
-from lumenward.operators.normalize import accepted_messages, refused_messages
+from lumenward.operators.normalize import is_sanctioned, refused_messages
 from lumenward.plans.stream import process_stream
 from lumenward.schema import CANDIDATES_SCHEMA
 from lumenward.session import build_session
-from lumenward.sources.jsonl import POSITION, read_jsonl, read_jsonl_with_rejects
+from lumenward.sources.jsonl import POSITION, read_jsonl, read_jsonl_tagged
 from lumenward.sources.sinks import write_report_json, write_report_text
+from lumenward.storage import Scratch
 
 
 def parse_options(argv=None) -> argparse.Namespace:
@@ -23,23 +24,34 @@ def parse_options(argv=None) -> argparse.Namespace:
                         help="where languages come from")
     parser.add_argument("--candidates", help="parquet table of language labels by message id")
     parser.add_argument("--quarantine", help="folder for bad lines and refused messages; without it they fail the job")
-    return parser.parse_args(argv)
+    options = parser.parse_args(argv)
+    if options.candidates and options.detector != REMOTE_DETECTOR:
+        parser.error(f"--candidates needs --detector {REMOTE_DETECTOR}")
+    return options
 
 
 def run(spark, options: argparse.Namespace) -> None:
-    if options.quarantine:
-        raw, rejects = read_jsonl_with_rejects(spark, options.file)
-        rejects.write.json(f"{options.quarantine}/bad_lines")
-        refused_messages(raw).write.json(f"{options.quarantine}/refused")
-        raw = accepted_messages(raw)
-    else:
-        raw = read_jsonl(spark, options.file)
+    """One pass over the input; intermediate tables are gone afterwards."""
     candidates = None
     if options.candidates:
         candidates = spark.read.schema(CANDIDATES_SCHEMA).parquet(options.candidates)
-    report = process_stream(raw, (POSITION,), options.period, detector=options.detector, candidates=candidates)
-    write = write_report_json if options.json else write_report_text
-    write(report, options.output)
+    with Scratch(spark) as scratch:
+        if options.quarantine:
+            # Each line is parsed once and written by its fate, which is read back apart.
+            sanctioned = is_sanctioned("source")
+            fate = f"CASE WHEN bad_line IS NOT NULL THEN 'bad' WHEN {sanctioned} THEN 'accepted' ELSE 'refused' END"
+            tagged = read_jsonl_tagged(spark, options.file).selectExpr("*", f"{fate} AS fate")
+            path = scratch.path("lines")
+            tagged.write.partitionBy("fate").parquet(path)
+            lines = spark.read.schema(tagged.schema).parquet(path)
+            lines.where("fate = 'bad'").selectExpr(POSITION, "bad_line AS line").write.json(f"{options.quarantine}/bad_lines")
+            refused_messages(lines.where("fate = 'refused'").drop("fate", "bad_line")).write.json(f"{options.quarantine}/refused")
+            raw = lines.where("fate = 'accepted'").drop("fate", "bad_line")
+        else:
+            raw = read_jsonl(spark, options.file)
+        with process_stream(raw, (POSITION,), options.period, detector=options.detector, candidates=candidates) as report:
+            write = write_report_json if options.json else write_report_text
+            write(report, options.output)
 
 
 def main(argv=None) -> None:

@@ -19,6 +19,24 @@ from lumenward.operators.routing import with_routes
 from lumenward.schema import CANDIDATES_SCHEMA, LANGUAGE_COLUMNS
 
 
+def label_messages(messages: DataFrame, detector: str | None = None,
+                   candidates: DataFrame | None = None) -> DataFrame:
+    """Only the language columns, and where the language came from, of normalized
+    messages; nothing is matched, and no text goes through the join."""
+    if detector is None:
+        return with_language(messages)
+    if check_detector(detector) == LOCAL_DETECTOR:
+        return with_language(messages).selectExpr(
+            "*", f"'{LOCAL_SOURCE}' AS languageSource", "cast(NULL AS string) AS fallback")
+    local = with_columns(with_language(messages, pinned=False), {
+        **{c: c for c in LANGUAGE_COLUMNS}, "_blank": is_blank("text")}).drop("text")
+    return with_remote_language(local, _or_none(candidates, messages))
+
+
+def _or_none(candidates: DataFrame | None, messages: DataFrame) -> DataFrame:
+    return messages.sparkSession.createDataFrame([], CANDIDATES_SCHEMA) if candidates is None else candidates
+
+
 def match_messages(messages: DataFrame, detector: str | None = None,
                    candidates: DataFrame | None = None, pinned: bool = True) -> DataFrame:
     """Add the language columns and ``hits`` to normalized messages."""
@@ -27,8 +45,7 @@ def match_messages(messages: DataFrame, detector: str | None = None,
     if check_detector(detector) == LOCAL_DETECTOR:
         return match_messages(messages, pinned=pinned).selectExpr(
             "*", f"'{LOCAL_SOURCE}' AS languageSource", "cast(NULL AS string) AS fallback")
-    if candidates is None:
-        candidates = messages.sparkSession.createDataFrame([], CANDIDATES_SCHEMA)
+    candidates = _or_none(candidates, messages)
     # The language is not known before the join, so all entries are tried here
     # and the text goes through the shuffle only where one of them matched.
     tried = with_hits(with_language(messages, pinned=False), any_language=True, pinned=False)

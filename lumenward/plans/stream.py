@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,27 +10,47 @@ from pyspark.sql import functions as F
 from lumenward.operators.digest import digest_lines
 from lumenward.operators.routing import immediate_alerts, stream_counts
 from lumenward.plans.messages import process_messages
-from lumenward.storage import materialize
+from lumenward.storage import Scratch
 
 
-@dataclass(frozen=True)
 class StreamReport:
-    results: DataFrame
-    immediate_alerts: DataFrame
-    summary: DataFrame
-    counts: DataFrame
-    order_by: tuple[str, ...]
+    """Results that are a table, and what is made of them when asked for.
+
+    As a context manager it deletes its intermediate tables on leaving; until
+    then, or until :meth:`close`, they stay in the shared folder."""
+
+    def __init__(self, results: DataFrame, order_by, period: str = "daily", scratch: Scratch | None = None):
+        self.results = results
+        self.order_by = tuple(order_by)
+        self.period = period
+        self._scratch = scratch or Scratch(results.sparkSession)
+
+    @property
+    def immediate_alerts(self) -> DataFrame:
+        return immediate_alerts(self.results, self.order_by)
+
+    @property
+    def counts(self) -> DataFrame:
+        return stream_counts(self.results)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        """The lines of the digest; the first use numbers them, which writes a table."""
+        return digest_lines(self.results, self.order_by, self.period, self._scratch)
+
+    def close(self) -> None:
+        self._scratch.drop()
+
+    def __enter__(self) -> StreamReport:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
 
 def report_on(results: DataFrame, order_by, period: str = "daily") -> StreamReport:
     """Alerts, digest and counts of results that are already a table."""
-    return StreamReport(
-        results=results,
-        immediate_alerts=immediate_alerts(results, order_by),
-        summary=digest_lines(results, order_by, period),
-        counts=stream_counts(results),
-        order_by=tuple(order_by),
-    )
+    return StreamReport(results, order_by, period)
 
 
 def process_stream(raw: DataFrame, order_by, period: str = "daily", strict: bool = True,
@@ -42,7 +62,12 @@ def process_stream(raw: DataFrame, order_by, period: str = "daily", strict: bool
     label.  The results are written to the shared folder first, so that the
     matching runs once for all four outputs."""
     results = process_messages(raw, tuple(order_by), strict, detector, candidates)
-    return report_on(materialize(results, "results"), order_by, period)
+    scratch = Scratch(raw.sparkSession)
+    try:
+        return StreamReport(scratch.table(results, "results"), order_by, period, scratch)
+    except BaseException:
+        scratch.drop()
+        raise
 
 
 def report_lines(report: StreamReport) -> DataFrame:

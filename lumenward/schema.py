@@ -6,8 +6,6 @@ from __future__ import annotations
 RAW_FIELDS = ("id", "text", "content", "direction", "senderRelationship", "platform", "source", "timestamp")
 RAW_SCHEMA = ", ".join(f"{name} string" for name in RAW_FIELDS)
 
-MESSAGE_FIELDS = ("id", "text", "direction", "senderRelationship", "platform", "source", "timestamp")
-
 LANGUAGE_COLUMNS = ("language", "languageName", "languageConfidence")
 
 HIT_TYPE = "struct<ord:int,category:string,signal:string,lang:string,weight:double,start:int,end:int>"

@@ -19,14 +19,3 @@ def as_raw_messages(table: DataFrame, fields: dict[str, str], keep=()) -> DataFr
         *[f"`{k}`" for k in keep],
         *[f"cast({fields.get(f, 'NULL')} AS string) AS {f}" for f in RAW_FIELDS])
 
-
-def spread(table: DataFrame) -> DataFrame:
-    """Deal the rows of a few small files out to all cores.
-
-    Matching is bound by the processor, and a file of one row group is read by
-    one task however many splits it has.  A scan with a file per core, or with
-    several splits per core, is left alone."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if len(table.inputFiles()) >= cores or table.rdd.getNumPartitions() >= 4 * cores:
-        return table
-    return table.repartition(4 * cores)

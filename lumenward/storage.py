@@ -8,17 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def check_shared_folder(spark: SparkSession) -> None:
+    """Refuse a cluster session without a folder for intermediate tables, or with a
+    folder of one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.master.startswith("local"):
+        return
+    if not folder or folder.startswith("file:"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     Only a local session, which has a single machine, gets one of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        check_shared_folder(spark)
         return configured
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        check_shared_folder(spark)
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lumenward-"))
     return context.getCheckpointDir()
 

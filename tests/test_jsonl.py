@@ -1,0 +1,91 @@
+"""Lines and fields of JSON input, and what is left behind."""
+
+import json
+from pathlib import Path
+
+import pytest
+
+from lumenward.functions.lexicon import ENTRIES
+from lumenward.plans.job import main, parse_options, run
+from lumenward.plans.messages import process_messages
+from lumenward.plans.stream import process_stream
+from lumenward.sources.jsonl import POSITION, read_jsonl, read_jsonl_with_rejects
+from lumenward.storage import Scratch, drop_table, shared_folder
+from tests.sample import SAMPLE
+
+# line, the text it gives (None: a bad line)
+LINES = [
+    ('{"text": false, "content": "kill yourself"}', "kill yourself"), ('{"text": 0, "content": "a"}', "a"),
+    ('{"text": -0.0, "content": "a"}', "a"), ('{"text": "0", "content": "a"}', "0"), ('{"text": 7}', "7"),
+    ('{"text": true}', "true"), ('{"text": null}', None or ""), ('{"text": ""}', ""), ('{"text": [1, "x"]}', '[1,"x"]'),
+    ("[]", ""), ("[{}, {}]", ""), ("5", ""), ("null", ""), ('"text"', ""), ('  {"text": "trimmed"}\t', "trimmed"),
+]
+BAD = ["{", '{"a":1} x', '{"a":1},{"b":2}', "[1", "1]", '1} {"a":2', "nope", '{"text":"a","text":"b"}']
+
+
+def _write(tmp_path, lines):
+    path = tmp_path / "in.jsonl"
+    path.write_text("\n".join(lines) + "\n\n  \n")
+    return str(path)
+
+
+def test_each_line_is_one_message(spark, tmp_path):
+    path = _write(tmp_path, [line for line, _ in LINES])
+    got = read_jsonl(spark, path).selectExpr(f"{POSITION}.row AS row", "coalesce(text, content, '') AS text", "id").orderBy("row")
+    assert [(r.row, r.text) for r in got.collect()] == [(i, t) for i, (_, t) in enumerate(LINES)]
+    hits = process_messages(read_jsonl(spark, path)).where("size(batch) + size(immediate) > 0").collect()
+    assert [r.batch[0].category for r in hits] == ["harassment"]
+
+
+def test_bad_lines_have_a_place(spark, tmp_path):
+    lines = [x for bad in BAD for x in ('{"text": "good"}', bad)]
+    path = _write(tmp_path, lines)
+    good, bad = read_jsonl_with_rejects(spark, path)
+    assert good.count() == len(BAD)
+    got = bad.selectExpr(f"{POSITION}.row AS row", f"{POSITION}.file AS file", "line").orderBy("row").collect()
+    assert [(r.row, r.line) for r in got] == [(2 * i + 1, b) for i, b in enumerate(BAD)]
+    assert all(r.file.endswith("in.jsonl") for r in got)
+    with pytest.raises(Exception, match="Invalid JSON in .* line 2"):
+        read_jsonl(spark, path).collect()
+
+
+def _left(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    return {p.name for p in folder.iterdir()} if folder.exists() else set()
+
+
+def test_nothing_is_left_behind(spark, raw, tmp_path):
+    before = _left(spark)
+    with process_stream(raw(*SAMPLE), ("id",)) as report:
+        assert len(_left(spark) - before) == 1          # the results; nobody has asked for the digest
+        assert report.summary.count() > 0 and len(_left(spark) - before) == 2
+    assert _left(spark) == before
+    with pytest.raises(Exception, match="Refusing"):
+        process_stream(raw({"text": "x", "source": "scraping"}), ("id",))
+    assert _left(spark) == before
+    path = _write(tmp_path, [json.dumps(m) for m in SAMPLE] + ["bad", '{"text":"x","source":"scraping"}'])
+    for more in ([], ["--json"]):
+        out = str(tmp_path / f"out{len(more)}")
+        run(spark, parse_options(["--file", path, "--output", out, "--quarantine", out + "-aside", *more]))
+        assert _left(spark) == before
+        assert [r.line for r in spark.read.json(out + "-aside/bad_lines").collect()] == ["bad"]
+        assert [r.source for r in spark.read.json(out + "-aside/refused").collect()] == ["scraping"]
+    with pytest.raises(Exception, match="Invalid JSON"):
+        run(spark, parse_options(["--file", path, "--output", str(tmp_path / "failed")]))
+    assert _left(spark) == before
+
+
+def test_only_own_tables_are_deleted(spark, tmp_path):
+    with pytest.raises(ValueError):
+        drop_table(spark, str(tmp_path / "x"))
+    with Scratch(spark) as scratch:
+        table = scratch.table(spark.range(3), "numbers")
+        assert table.count() == 3 and len(scratch.paths) == 1
+    assert not scratch.paths
+
+
+def test_labels_without_the_detector_are_an_error(capsys):
+    with pytest.raises(SystemExit):
+        main(["--file", "x", "--output", "y", "--candidates", "z"])
+    assert "--candidates needs --detector" in capsys.readouterr().err
+    assert len(ENTRIES) == 53

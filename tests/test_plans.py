@@ -5,9 +5,10 @@ import pytest
 from lumenward.functions.lexicon import ENTRIES
 from lumenward.operators.digest import digest_lines, digest_pages
 from lumenward.operators.numbering import with_row_numbers
-from lumenward.plans.messages import classify_messages, process_messages
+from lumenward.plans.messages import classify_messages, label_messages, process_messages
 from lumenward.operators.normalize import normalize_messages
 from lumenward.storage import shared_folder
+from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,7 +70,8 @@ def test_remote_labels_shuffle_no_text_without_hits(spark, stored):
         plan = plan_of(process_messages(stored, ("doc_id",), detector="aws-comprehend", candidates=candidates))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert plan.count("Exchange hashpartitioning") == 2
+    # The two sides of the join, and the merging of labels below one of them.
+    assert plan.count("Exchange hashpartitioning") == 3
     assert "CASE WHEN (size(hits" in plan or "if ((size(hits" in plan
 
 
@@ -105,6 +107,12 @@ def test_the_shared_folder_is_the_configured_one(spark):
     class Configured:
         conf = {"spark.checkpoint.dir": "hdfs:///shared"}
 
+        class sparkContext:
+            master = "yarn"
+
+    class OneMachine(Configured):
+        conf = {"spark.checkpoint.dir": "file:/tmp/own"}
+
     class Cluster:
         conf = {}
 
@@ -115,4 +123,33 @@ def test_the_shared_folder_is_the_configured_one(spark):
     assert shared_folder(Configured) == "hdfs:///shared"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(Cluster)
+    with pytest.raises(RuntimeError, match="all executors"):
+        shared_folder(OneMachine)
     assert shared_folder(spark) == shared_folder(spark)
+
+
+TEXT_QUERIES = ("normalize_messages", "detect_language", "tokens", "lexicon_hits", "hits_gated", "findings", "finding_texts",
+                "process_messages", "process_messages_local", "formatted_alerts", "digest_items", "digest_per_message")
+
+
+@pytest.mark.parametrize("name", TEXT_QUERIES)
+def test_registered_text_queries_shuffle_nothing(spark, name):
+    plan = plan_of(QUERIES[name](spark, SF))
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_the_language_step_runs_no_pattern(spark, stored):
+    labels = stored.selectExpr("id", "array(named_struct('code', 'en', 'score', 0.9D)) AS candidates")
+    labelled = label_messages(normalize_messages(stored), "aws-comprehend", labels)
+    plan = plan_of(labelled, "optimizedPlan")
+    assert "regexp_extract" not in plan and "worthless" not in plan
+    assert "text" not in labelled.columns
+
+
+def test_streams_read_a_table_of_one_file_and_of_many(spark, tmp_path):
+    table = spark.read.parquet(f"{SF}/conversations.parquet")
+    table.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    for name in ("stream_alerts", "stream_digest_items", "stream_daily_counts"):
+        one = sorted(map(str, QUERIES[name](spark, SF).collect()))
+        many = sorted(map(str, QUERIES[name](spark, str(tmp_path)).collect()))
+        assert one == many and one

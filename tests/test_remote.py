@@ -4,7 +4,7 @@ import pytest
 
 from lumenward.operators.findings import exploded_findings
 from lumenward.operators.normalize import normalize_messages
-from lumenward.plans.messages import classify_messages, match_messages, process_messages
+from lumenward.plans.messages import classify_messages, label_messages, match_messages, process_messages
 from lumenward.schema import CANDIDATES_SCHEMA
 from tests.sample import SAMPLE
 
@@ -93,3 +93,27 @@ def test_a_hot_id_is_split(spark, raw, labels):
     assert len(got) == 30000
     assert sum(r.language == "zh" for r in got) == 10000
     assert "skew=true" in plan
+
+
+def test_any_label_table_leaves_one_row_per_message(raw, spark):
+    rows = [("a", [("en", .3)]), ("a", [("fr", .9), ("de", .9)]), ("a", []), ("b", [("", .8)]), ("c", [(None, .8)]),
+            ("d", [("es", .5)]), ("d", [("pt", .5)]), ("e", None), ("e", None), (None, [("it", 1.0)])]
+    table = spark.createDataFrame(rows, CANDIDATES_SCHEMA)
+    messages = normalize_messages(raw(*[{"id": i, "text": "you are a loser"} for i in "abcdef"], {"text": "no id"}))
+    for run in (match_messages, label_messages):
+        got = {r.id: (r.language, r.languageConfidence, r.languageSource) for r in run(messages, "aws-comprehend", table).collect()}
+        remote = "aws-comprehend"
+        assert len(got) == 7
+        assert got["a"] == ("fr", 0.9, remote) and got["b"] == ("und", 0.8, remote) and got["c"] == ("und", 0.8, remote)
+        assert got["d"] == ("pt", 0.5, remote) and got["e"] == ("und", 0.0, remote)
+        assert got["f"][2] == got[None][2] == "local-heuristic"
+    assert len(process_messages(raw({"id": "a", "text": "x"}), detector="aws-comprehend", candidates=table).collect()) == 1
+
+
+def test_the_language_step_alone_gives_the_same(raw, labels):
+    messages = normalize_messages(raw(*SAMPLE, {"id": "top", "text": "abc"}, {"id": "tie", "text": " "}))
+    for detector in (None, "local", "aws-comprehend"):
+        alone = label_messages(messages, detector, labels)
+        names = [c for c in alone.columns if c.startswith("language") or c in ("id", "fallback")]
+        whole = match_messages(messages, detector, labels)
+        assert sorted(map(str, alone.select(names).collect())) == sorted(map(str, whole.select(names).collect()))

@@ -10,7 +10,7 @@ from lumenward.operators.language import best_candidate, check_detector, remote_
 from lumenward.operators.normalize import (
     SANCTIONED_SOURCES, accepted_messages, normalize_messages, refused_messages,
 )
-from lumenward.sources.tables import as_raw_messages, spread
+from lumenward.sources.tables import as_raw_messages
 
 
 def value(spark, expression):
@@ -156,15 +156,7 @@ def test_detector_names():
 
 
 def test_remote_requests(spark, raw):
-    rows = remote_requests(normalize_messages(raw(
-        {"id": "a", "text": "  " + "x" * 6000}, {"id": "b", "text": " "}))).collect()
-    assert [(r.id, len(r.text)) for r in rows] == [("a", 5000)]
+    messages = normalize_messages(raw({"id": "a", "text": "  " + "x" * 6000}, {"id": "b", "text": " "}))
+    assert [(r.id, len(r.text)) for r in remote_requests(messages).collect()] == [("a", 6000)]
+    assert [(r.id, len(r.text)) for r in remote_requests(messages, max_chars=5000).collect()] == [("a", 5000)]
     assert value(spark, trim_all(quote("　 a b\t"))) == "a b"
-
-
-def test_only_small_scans_are_dealt_out(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
-    spark.range(100).repartition(8).write.parquet(str(tmp_path / "many"))
-    one, many = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "many"))
-    assert spread(one).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
-    assert spread(many) is many

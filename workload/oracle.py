@@ -17,7 +17,7 @@ from lumenward.functions.wording import (
     ACTIONS, DEFAULT_ACTION, DIGEST_EMPTY, DIGEST_FOOT, DIGEST_HEAD, SENDERS,
 )
 from lumenward.operators.normalize import REFUSAL, SANCTIONED_SOURCES
-from workload.phrases import PHRASES
+from workload.phrases import PHRASES, SHORT_TEXTS
 from workload.tables import SOURCES
 
 
@@ -74,13 +74,18 @@ _RAW_DOCUMENTS = f"""raw AS (
     strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 37 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') AS ts
   FROM documents)"""
 
+# Of every seventeen messages one has no time, one none that can be read and one a time far ahead.
+_FORM = "(conv_id * 5 + turn) % 17"
 _RAW_CONVERSATIONS = f"""raw AS (
   SELECT conv_id, turn, [conv_id, turn] AS key, 'c' || conv_id || '-' || turn AS id,
     {_dressed('conv_id * 5 + turn')} AS text,
     CASE WHEN role = 'user' THEN 'outgoing' ELSE 'incoming' END AS direction,
     ['mutual', 'not-mutual', 'unknown'][conv_id % 3 + 1] AS relationship,
-    'chat' AS platform, 'family-link' AS source,
-    strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id * 90 + turn AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') AS ts
+    'chat' AS platform, CASE WHEN (conv_id * 3 + turn) % 13 = 0 THEN 'scraping' ELSE 'family-link' END AS source,
+    CASE WHEN {_FORM} NOT IN (0, 1, 6)
+      THEN TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id * 90 + turn AS BIGINT)) END AS ts,
+    CASE {_FORM} WHEN 0 THEN 'missing' WHEN 1 THEN 'unreadable' WHEN 6 THEN 'future' END AS undated,
+    CASE WHEN {_FORM} = 6 THEN TIMESTAMP '2999-01-01' ELSE ts END AS given_ts
   FROM conversations)"""
 
 _RAW_PLAIN = """raw AS (
@@ -148,12 +153,18 @@ _CANDIDATES = """candidate_rows AS (
       {'code': 'pt-BR', 'score': (doc_id % 100) / 100::DOUBLE, 'place': 0},
       {'code': upper(lang), 'score': (n_chars % 97) / 100::DOUBLE, 'place': 1},
       {'code': lang || '-XX', 'score': (doc_id % 100) / 100::DOUBLE, 'place': 2}]) AS c
-  FROM documents JOIN labels USING (doc_id) WHERE quality <> 0),
-answers AS (
+  FROM documents JOIN labels USING (doc_id) WHERE quality <> 0 AND doc_id % 29 <> 0
+  UNION ALL
+  SELECT 'd' || doc_id, {'code': ['', NULL, 'it-IT', 'it-IT'][doc_id % 4 + 1], 'score': (doc_id % 89) / 100::DOUBLE, 'place': 0}
+  FROM documents JOIN labels USING (doc_id) WHERE doc_id % 3 = 0),
+picked AS (
   SELECT id, c.code AS code, c.score AS score FROM candidate_rows
-  QUALIFY row_number() OVER (PARTITION BY id ORDER BY c.score DESC, c.place) = 1
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY c.score DESC, c.place, c.code DESC NULLS LAST) = 1),
+answers AS (
+  SELECT id, coalesce(nullif(code, ''), 'und') AS code, score FROM picked
   UNION ALL
-  SELECT 'd' || doc_id, 'und', 0::DOUBLE FROM labels WHERE quality = 0)"""
+  SELECT DISTINCT 'd' || doc_id, 'und', 0::DOUBLE FROM labels JOIN documents USING (doc_id)
+  WHERE quality = 0 AND doc_id % 29 <> 0 AND 'd' || doc_id NOT IN (SELECT id FROM picked))"""
 
 _REMOTE = f"""{_LANGUAGE}, {_CANDIDATES},
 labelled AS (
@@ -291,11 +302,52 @@ def _per_message(*extra: str) -> str:
 _REFUSED = (f"{_q(REFUSAL[0])} || source || "
             f"{_q(REFUSAL[1] + ', '.join(SANCTIONED_SOURCES) + REFUSAL[2])}")
 
-_DAY_COUNTS = """SELECT ts[1:10] AS day, count(DISTINCT l.key) AS messages,
+_DAY_COUNTS = """SELECT strftime(l.ts, '%Y-%m-%d') AS day, count(DISTINCT l.key) AS messages,
     count(t.tier) FILTER (WHERE t.tier = 'immediate') AS immediate,
     count(t.tier) FILTER (WHERE t.tier = 'review') AS batched
   FROM lang l LEFT JOIN texts t ON t.key = l.key GROUP BY 1"""
-_DAY_COUNTS = _DAY_COUNTS.replace("ts[1:10]", "l.ts[1:10]")
+
+_REPORT = f"""{_digest('DAILY')},
+  tiers AS (SELECT count(*) FILTER (WHERE tier = 'immediate') AS i, count(*) FILTER (WHERE tier = 'review') AS b FROM texts),
+  report AS (
+    SELECT 0 AS section, NULL::BIGINT AS conv_id, NULL::BIGINT AS turn, 0::BIGINT AS line_no,
+      'Scanned ' || (SELECT count(*) FROM lang) || ' message(s): ' || i || ' immediate, ' || b || ' batched.'
+        AS line FROM tiers
+    UNION ALL SELECT 1, NULL, NULL, 0, chr(10) || '══ IMMEDIATE ALERTS ══' FROM tiers WHERE i > 0
+    UNION ALL SELECT 2, key[1], key[2], tier_rank, chr(10) || alert FROM texts WHERE tier = 'immediate'
+    UNION ALL SELECT 3, NULL, NULL, line_no, CASE WHEN line_no = 0 THEN chr(10) ELSE '' END || line FROM digest)"""
+
+# The items of one day of Tokyo, numbered anew.
+_DAY_DIGEST = f"""today AS (
+  SELECT item, row_number() OVER (ORDER BY t.key, t.rank) AS no FROM texts t
+  WHERE tier = 'review' AND CAST(given_ts + INTERVAL 9 HOUR AS DATE) = DATE '2024-01-03')
+SELECT no::BIGINT AS line_no, '  ' || no || item AS line FROM today
+UNION ALL SELECT 0::BIGINT, CASE WHEN count(*) = 0 THEN {_q('DAILY' + DIGEST_EMPTY)}
+  ELSE {_q('DAILY' + DIGEST_HEAD[0])} || count(*) || {_q(DIGEST_HEAD[1])} END FROM today
+UNION ALL SELECT count(*) + 1, {_q(DIGEST_FOOT)} FROM today HAVING count(*) > 0"""
+
+
+def _span_excerpt(context: int, most: int) -> str:
+    lo, hi = f"greatest(0, first - {context})", f"least(length(text), last + {context})"
+    around = (f"trim(CASE WHEN {lo} > 0 THEN '…' ELSE '' END || {_part(lo, 'first')} || '▇▇▇' || {_part('last', hi)}"
+              f" || CASE WHEN {hi} < length(text) THEN '…' ELSE '' END)")
+    head = f"trim({_part('0', str(context))})"
+    return (f"CASE WHEN first >= 0 AND last <= length(text) AND first < last THEN"
+            f" CASE WHEN length({around}) > {most} THEN rtrim(substring({around}, 1, {most - 1})) || '…' ELSE {around} END"
+            f" WHEN {head} = '' THEN '▇▇▇' ELSE {head} || ' ▇▇▇' END")
+
+
+_RAW_PHRASES = f"""raw AS (
+  SELECT doc_id, [doc_id] AS key, NULL AS id, coalesce({_list((*PHRASES, *SHORT_TEXTS))}[doc_id % {len(PHRASES) + len(SHORT_TEXTS)} + 1], '')
+    AS text, 'incoming' AS direction, 'unknown' AS relationship, NULL AS platform, NULL AS source, '' AS ts
+  FROM documents)"""
+
+# What each odd line comes to: whether it is bad, its id, whether it holds the text, its platform.
+_ODD = """odd(form, bad, has_id, has_text) AS (VALUES (0, false, 0, 1), (1, false, 1, 1), (2, false, 1, 1), (3, false, 1, 1),
+  (4, false, 0, 0), (5, false, 0, 0), (6, false, 0, 0), (7, false, 0, 0), (8, false, 1, 2), (9, false, 2, 1),
+  (10, true, 0, 0), (11, true, 0, 0), (12, true, 0, 0), (13, true, 0, 0))"""
+
+_STREAM_ALERTS = "(tier_rank - 1)::INTEGER AS place, alert FROM texts WHERE tier = 'immediate'"
 
 ORACLE_SQL = {
     "normalize_messages": f"""{_DOCUMENTS} SELECT doc_id, id, text, direction,
@@ -355,15 +407,34 @@ ORACLE_SQL = {
         {_per_message('l.language_source AS "languageSource"', 'l.fallback')}""",
     "process_messages_remote": f"""{_DOC_REMOTE}
         {_per_message('l.language_source AS "languageSource"', 'l.fallback')}""",
-    "stream_report": f"""{_CONV_FINDINGS}, {_digest('DAILY')},
-        tiers AS (SELECT count(*) FILTER (WHERE tier = 'immediate') AS i,
-          count(*) FILTER (WHERE tier = 'review') AS b FROM texts)
-        SELECT 0 AS section, NULL::BIGINT AS conv_id, NULL::BIGINT AS turn, 0::BIGINT AS line_no,
-          'Scanned ' || (SELECT count(*) FROM lang) || ' message(s): ' || i || ' immediate, ' || b || ' batched.'
-            AS line FROM tiers
-        UNION ALL SELECT 1, NULL, NULL, 0, chr(10) || '══ IMMEDIATE ALERTS ══' FROM tiers WHERE i > 0
-        UNION ALL SELECT 2, key[1], key[2], tier_rank, chr(10) || alert FROM texts WHERE tier = 'immediate'
-        UNION ALL SELECT 3, NULL, NULL, line_no, CASE WHEN line_no = 0 THEN chr(10) ELSE '' END || line FROM digest""",
+    "stream_report": f"{_CONV_FINDINGS}, {_REPORT} SELECT * FROM report",
+    "job_text_report": f"""{_CONV_FINDINGS}, {_REPORT}, split AS (SELECT unnest(string_split(line, chr(10))) AS line FROM report)
+        SELECT line, count(*) AS lines FROM split GROUP BY 1""",
+    "job_json_results": f"""{_CONV_FINDINGS} SELECT id, language, immediate_categories, alerts
+        FROM ({_per_message().replace('l.doc_id, ', '')})""",
+    "job_refused": f"WITH {_RAW_CONVERSATIONS} SELECT id, source, {_REFUSED} AS reason FROM raw WHERE NOT {_SANCTIONED}",
+    "digest_of_a_day": f"{_CONV_FINDINGS}, {_DAY_DIGEST}",
+    "redacted_spans": f"""WITH spans AS (SELECT doc_id, text, doc_id * 37 % (length(text) + 20) - 5 AS first,
+          doc_id * 37 % (length(text) + 20) - 5 + doc_id % 40 - 3 AS last FROM documents)
+        SELECT doc_id, {_span_excerpt(22, 70)} AS excerpt, {_span_excerpt(60, 70)} AS wide, {_span_excerpt(60, 1000)} AS long
+        FROM spans""",
+    "phrase_language": f"""WITH {_RAW_PHRASES}, {_MESSAGES}, {_LOCAL} SELECT doc_id, language,
+        language_name AS "languageName", language_conf AS "languageConfidence" FROM lang""",
+    "remote_requests": f"""{_DOCUMENTS}, sent AS (
+          SELECT doc_id, regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g') AS text FROM msg)
+        SELECT doc_id, md5(text) AS text_md5, least(length(text), 5000)::INTEGER AS sent_chars FROM sent WHERE text <> ''""",
+    "jsonl_lines": f"""WITH {_RAW_CONVERSATIONS}, {_ODD}, lines AS (
+          SELECT o.*, text, conv_id * 10 + turn AS n FROM raw JOIN odd o ON o.form = (conv_id * 10 + turn) % 16)
+        SELECT bad, CASE has_id WHEN 1 THEN n::VARCHAR WHEN 2 THEN n || '.5' END AS id,
+          md5(CASE has_text WHEN 1 THEN text WHEN 2 THEN '0' ELSE '' END) AS text_md5,
+          NULL::VARCHAR AS platform, NULL::VARCHAR AS direction, count(*) AS lines
+        FROM lines GROUP BY ALL""",
+    "jsonl_rejects": f"""WITH {_RAW_CONVERSATIONS}, kinds AS (
+          SELECT (conv_id * 10 + turn) % 16 AS form, conv_id * 10 + turn AS n, to_json(text)::VARCHAR AS t FROM raw),
+        bad AS (SELECT CASE form WHEN 10 THEN '{{"id":"' || n || '","text":' || t
+            WHEN 11 THEN '{{"id":"' || n || '","text":' || t || '}} x'
+            WHEN 12 THEN '{{"id":"' || n || '","text":' || t || '}},{{"id":"y"}}' WHEN 13 THEN 'not json' END AS line FROM kinds)
+        SELECT line, count(*) AS lines, count(*) AS places FROM bad WHERE line IS NOT NULL GROUP BY 1""",
     "toxicity_precision_recall": f"""WITH {_RAW_PLAIN}, {_MESSAGES}, {_LOCAL}, {_GATED}, {_FINDINGS},
         flagged AS (SELECT DISTINCT key[1] AS doc_id FROM findings WHERE category = 'harassment'),
         judged AS (
@@ -379,11 +450,23 @@ ORACLE_SQL = {
     "daily_digest_counts": f"{_CONV_FINDINGS} {_DAY_COUNTS}",
     "jsonl_round_trip": f"""{_CONV_FINDINGS} SELECT id, language, n_immediate, n_batch, alerts
         FROM ({_per_message().replace('l.doc_id, ', '')})""",
-    "stream_alerts": f"""{_CONV_FINDINGS} SELECT key[1] AS conv_id, key[2] AS turn, id,
-        (tier_rank - 1)::INTEGER AS place, alert FROM texts WHERE tier = 'immediate'""",
-    "stream_digest_items": f"""{_CONV_FINDINGS} SELECT key[1] AS conv_id, key[2] AS turn, ts[1:10] AS day,
+    "stream_alerts": f"{_CONV_FINDINGS} SELECT key[1] AS conv_id, key[2] AS turn, id, {_STREAM_ALERTS}",
+    "stream_alerts_jsonl": f"{_CONV_FINDINGS} SELECT id, {_STREAM_ALERTS}",
+    "stream_alerts_remote": f"""{_CONVERSATIONS}, {_LANGUAGE}, lang AS (
+          SELECT * REPLACE (CASE WHEN turn % 2 = 0 THEN 'de' ELSE language END AS language,
+            CASE WHEN turn % 2 = 0 THEN 'German' ELSE language_name END AS language_name,
+            CASE WHEN turn % 2 = 0 THEN 0.9::DOUBLE ELSE language_conf END AS language_conf) FROM local_lang),
+        {_GATED}, {_FINDINGS} SELECT key[1] AS conv_id, key[2] AS turn, language, {_STREAM_ALERTS}""",
+    "stream_undated": f"""{_CONV_FINDINGS} SELECT key[1] AS conv_id, key[2] AS turn, id, reason,
+          immediate::INTEGER AS immediate, batched::INTEGER AS batched FROM (
+        SELECT l.key, l.id, l.undated AS reason, count(t.tier) FILTER (WHERE t.tier = 'immediate') AS immediate,
+          count(t.tier) FILTER (WHERE t.tier = 'review') AS batched
+        FROM lang l LEFT JOIN texts t ON t.key = l.key WHERE l.ts IS NULL GROUP BY ALL)""",
+    "stream_refused": f"""WITH {_RAW_CONVERSATIONS} SELECT conv_id, turn, id, source, {_REFUSED} AS reason
+        FROM raw WHERE NOT {_SANCTIONED}""",
+    "stream_digest_items": f"""{_CONV_FINDINGS} SELECT key[1] AS conv_id, key[2] AS turn, strftime(ts, '%Y-%m-%d') AS day,
         (tier_rank - 1)::INTEGER AS place, category, confidence, excerpt FROM texts WHERE tier = 'review'""",
     "stream_daily_counts": f"""{_CONV_FINDINGS} SELECT * FROM ({_DAY_COUNTS})
         WHERE strptime(day, '%Y-%m-%d') + INTERVAL 1 DAY
-          <= (SELECT max(strptime(ts, '%Y-%m-%dT%H:%M:%SZ')) FROM msg) - INTERVAL 1 HOUR""",
+          <= (SELECT max(ts) FROM msg) - INTERVAL 1 HOUR""",
 }

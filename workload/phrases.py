@@ -26,3 +26,9 @@ PHRASES = (
     "vamos al cine el sábado con el grupo", "kill yourself", "漢字とかな", "send\t me a\n nude", "te mato",
     "i got some drugs for you", "",
 )
+
+# Messages without letters, blank ones, scripts beyond those above, and more than one script.
+SHORT_TEXTS = (
+    " \n\t", "\u00a0\u3000", "123 456!", "😀 👍", "...", "안녕하세요", "こんにちは", "カタカナ", "שלום לך", "สวัสดีครับ",
+    "γεια σου", "привет κόσμε", "漢字 한글", "hola שלום", "o a e y", "the", "le la les", "ça où", "per con sono ti",
+)

@@ -7,25 +7,30 @@ from pyspark.sql import functions as F
 
 from lumenward.functions.languages import COUNTED_WORDS, LOCAL_DETECTOR, REMOTE_DETECTOR, SCRIPTS
 from lumenward.functions.scoring import final_confidence, noisy_or, sender_adjusted, tier
+from lumenward.functions.redaction import redact_excerpt
 from lumenward.functions.text import lookup
+from lumenward.functions.times import day_of, usable_event_time
 from lumenward.functions.wording import alert_text, context_line, digest_item, suggested_action
-from lumenward.operators.digest import digest_lines, digest_pages, message_digest
+from lumenward.operators.digest import days_of_findings, digest_of_findings, digest_pages, message_digest
 from lumenward.operators.findings import with_buckets
-from lumenward.operators.language import with_language, with_stopword_counts, with_words
+from lumenward.operators.language import remote_requests, with_language, with_stopword_counts, with_words
 from lumenward.operators.matching import triggered_messages, with_hits
 from lumenward.operators.normalize import accepted_messages, normalize_messages, refused_messages
 from lumenward.operators.routing import batched_findings, immediate_alerts, stream_counts
-from lumenward.plans.messages import find_risks, match_messages, process_messages
-from lumenward.plans.stream import process_stream, report_lines
-from lumenward.sources.jsonl import read_jsonl
+from lumenward.plans.messages import find_risks, label_messages, match_messages, process_messages
+from lumenward.plans.job import parse_options
+from lumenward.plans.job import run as run_job
+from lumenward.plans.stream import StreamReport, process_stream, report_lines
+from lumenward.sources.jsonl import POSITION, read_jsonl, read_jsonl_tagged, read_jsonl_with_rejects
 from lumenward.sources.tables import as_raw_messages
 from lumenward.storage import new_table_path
 from lumenward.streaming.alerts import (
-    alert_stream, digest_count_stream, digest_item_stream, process_message_stream, to_table,
+    alert_stream, digest_count_stream, digest_item_stream, process_message_stream, read_message_stream,
+    refused_message_stream, to_table, undated_stream,
 )
 from workload.tables import (
-    CONVERSATION_FIELDS, CONVERSATION_KEY, DOCUMENT_KEY, conversation_messages, document_messages, documents,
-    label_candidates, read_table,
+    CONVERSATION_FIELDS, CONVERSATION_KEY, DOCUMENT_KEY, PHRASE_FIELDS, conversation_messages, document_messages,
+    documents, label_candidates, read_table,
 )
 
 
@@ -33,10 +38,6 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_messages(document_messages(spark, sf_dir), DOCUMENT_KEY, strict=False)
 
 
-def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize_messages(conversation_messages(spark, sf_dir), CONVERSATION_KEY)
-
-
 def _document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_risks(_documents(spark, sf_dir))
 
@@ -45,6 +46,10 @@ def _document_results(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return process_messages(document_messages(spark, sf_dir), DOCUMENT_KEY, strict=False, **options)
 
 
+def _conversation_report(spark: SparkSession, sf_dir: str) -> StreamReport:
+    return process_stream(conversation_messages(spark, sf_dir), CONVERSATION_KEY, strict=False)
+
+
 # ---- normalization ----
 
 def normalized(spark, sf_dir):
@@ -91,7 +96,7 @@ def language_vs_label(spark, sf_dir):
 
 
 def remote_language_enrich(spark, sf_dir):
-    return match_messages(_documents(spark, sf_dir), REMOTE_DETECTOR, label_candidates(spark, sf_dir)).selectExpr(
+    return label_messages(_documents(spark, sf_dir), REMOTE_DETECTOR, label_candidates(spark, sf_dir)).selectExpr(
         "doc_id", "language", "languageName", "languageConfidence", "languageSource", "fallback")
 
 
@@ -188,12 +193,17 @@ def digest_item_lines(spark, sf_dir):
 
 
 def digest(spark, sf_dir):
-    return digest_lines(_document_results(spark, sf_dir), DOCUMENT_KEY, "weekly")
+    return process_stream(document_messages(spark, sf_dir), DOCUMENT_KEY, "weekly", strict=False).summary
 
 
 def digest_text(spark, sf_dir):
-    results = process_messages(conversation_messages(spark, sf_dir), CONVERSATION_KEY)
-    return digest_pages(digest_lines(results, CONVERSATION_KEY), 100)
+    return digest_pages(_conversation_report(spark, sf_dir).summary, 100)
+
+
+def digest_of_a_day(spark, sf_dir):
+    """The digest of one day of Tokyo, from batch results."""
+    findings = days_of_findings(_conversation_report(spark, sf_dir).results, CONVERSATION_KEY, "Asia/Tokyo")
+    return digest_of_findings(findings.where("day = DATE'2024-01-03'"), [*CONVERSATION_KEY, "rank"])
 
 
 def digest_per_message(spark, sf_dir):
@@ -230,8 +240,7 @@ def processed_remote(spark, sf_dir):
 
 def stream_report(spark, sf_dir):
     """Lines of the text report of a whole run."""
-    report = process_stream(conversation_messages(spark, sf_dir), CONVERSATION_KEY)
-    return report_lines(report)
+    return report_lines(_conversation_report(spark, sf_dir))
 
 
 def toxicity_precision_recall(spark, sf_dir):
@@ -253,32 +262,132 @@ def toxicity_precision_recall(spark, sf_dir):
 
 
 def daily_digest_counts(spark, sf_dir):
-    results = process_messages(conversation_messages(spark, sf_dir), CONVERSATION_KEY)
+    """Counts by day, messages without a usable time having none."""
+    raw = conversation_messages(spark, sf_dir).selectExpr("*", f"{day_of(usable_event_time('timestamp'))} AS day")
     return (
-        results.selectExpr("substring(message.timestamp, 1, 10) AS day", "size(immediate) AS immediate",
-                           "size(batch) AS batched")
+        process_messages(raw, ("day",), strict=False)
+        .selectExpr("cast(day AS string) AS day", "size(immediate) AS immediate", "size(batch) AS batched")
         .groupBy("day").agg(F.count("*").alias("messages"), F.sum("immediate").alias("immediate"),
                             F.sum("batched").alias("batched"))
     )
 
 
+def redacted_spans(spark, sf_dir):
+    """Excerpts around spans anywhere in the texts, valid or not, with usual and wide context."""
+    spans = documents(spark, sf_dir).selectExpr(
+        "doc_id", "text", "cast(doc_id * 37 % (length(text) + 20) - 5 AS int) AS first",
+        "cast(doc_id * 37 % (length(text) + 20) - 5 + doc_id % 40 - 3 AS int) AS last")
+    return spans.selectExpr(
+        "doc_id", f"{redact_excerpt('text', 'first', 'last')} AS excerpt",
+        f"{redact_excerpt('text', 'first', 'last', 60)} AS wide", f"{redact_excerpt('text', 'first', 'last', 60, 1000)} AS long")
+
+
+def phrase_language(spark, sf_dir):
+    """Languages of short messages, among them blank ones, some without letters, and nine scripts."""
+    raw = as_raw_messages(read_table(spark, sf_dir, "documents").select("doc_id"), PHRASE_FIELDS, DOCUMENT_KEY)
+    return with_language(normalize_messages(raw, DOCUMENT_KEY)).selectExpr(
+        "doc_id", "language", "languageName", "languageConfidence")
+
+
+def requests(spark, sf_dir):
+    """What a labelling service is sent: whole texts, and as much as one with a limit takes."""
+    messages = _documents(spark, sf_dir)
+    whole = remote_requests(messages, keep=DOCUMENT_KEY).selectExpr("doc_id", "md5(text) AS text_md5")
+    cut = remote_requests(messages, 5000, keep=DOCUMENT_KEY).selectExpr("doc_id AS cut_id", "length(text) AS sent_chars")
+    return whole.join(cut, F.col("doc_id") == F.col("cut_id")).select("doc_id", "text_md5", "sent_chars")
+
+
 # ---- files and streams ----
 
-def jsonl_round_trip(spark, sf_dir):
-    """Messages written as JSON lines, read back and processed."""
+# Lines that are odd in one way each, made of every message by its number.
+_ODD_LINES = (
+    """concat('{"id":0,"text":0,"content":', t, ',"platform":false}')""",
+    """concat('{"id":"', n, '","text":false,"content":', t, ',"direction":null}')""",
+    """concat('{"id":', n, ',"text":null,"content":', t, '}')""",
+    """concat('  {"id":"', n, '","text":', t, ',"extra":{"a":[1]}}  ')""",
+    "'[]'", """concat('[{"text":', t, '},{"text":', t, '}]')""", "'null'", "'12.5'",
+    """concat('{"id":"', n, '","text":"0"}')""", """concat('{"id":', n, '.5,"text":', t, '}')""",
+    """concat('{"id":"', n, '","text":', t)""", """concat('{"id":"', n, '","text":', t, '} x')""",
+    """concat('{"id":"', n, '","text":', t, '},{"id":"y"}')""", "'not json'", "' '", "''",
+)
+
+
+def _odd_lines(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of such lines."""
+    cases = " ".join(f"WHEN {i} THEN {line}" for i, line in enumerate(_ODD_LINES))
+    path = new_table_path(spark, "lines")
+    conversation_messages(spark, sf_dir).selectExpr(
+        "conv_id * 10 + turn AS n", "substring(to_json(struct(text)), 9, length(to_json(struct(text))) - 9) AS t").selectExpr(
+        f"CASE n % {len(_ODD_LINES)} {cases} END AS value").write.text(path)
+    return path
+
+
+def jsonl_lines(spark, sf_dir):
+    """What becomes of each kind of line."""
+    tagged = read_jsonl_tagged(spark, _odd_lines(spark, sf_dir))
+    return tagged.selectExpr(
+        "bad_line IS NOT NULL AS bad", "id", "md5(coalesce(text, content, '')) AS text_md5", "platform", "direction").groupBy(
+        "bad", "id", "text_md5", "platform", "direction").agg(F.count("*").alias("lines"))
+
+
+def jsonl_rejects(spark, sf_dir):
+    """The bad lines; each has a place of its own."""
+    messages, bad = read_jsonl_with_rejects(spark, _odd_lines(spark, sf_dir))
+    placed = bad.selectExpr("line", f"{POSITION}.row AS row", f"{POSITION}.file AS file", f"{POSITION}.block AS block")
+    return placed.groupBy("line").agg(F.count("*").alias("lines"), F.countDistinct("file", "block", "row").alias("places"))
+
+
+def _message_lines(spark: SparkSession, sf_dir: str) -> str:
     path = new_table_path(spark, "jsonl")
     conversation_messages(spark, sf_dir).drop(*CONVERSATION_KEY).write.json(path)
-    return process_messages(read_jsonl(spark, path)).selectExpr(
+    return path
+
+
+def jsonl_round_trip(spark, sf_dir):
+    """Messages written as JSON lines, read back and processed."""
+    return process_messages(read_jsonl(spark, _message_lines(spark, sf_dir)), strict=False).selectExpr(
         "message.id AS id", "language", "size(immediate) AS n_immediate", "size(batch) AS n_batch",
         "array_join(alerts, '\\n\\n') AS alerts")
 
 
-def _conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _job(spark: SparkSession, sf_dir: str, *more: str) -> tuple[str, str]:
+    """Run the batch job on the messages as JSON lines; the folders it wrote."""
+    output, aside = new_table_path(spark, "report"), new_table_path(spark, "aside")
+    run_job(spark, parse_options(["--file", _message_lines(spark, sf_dir), "--output", output, "--quarantine", aside, *more]))
+    return output, aside
+
+
+def job_text_report(spark, sf_dir):
+    """The lines of the job's text report, counted."""
+    output, _ = _job(spark, sf_dir)
+    return spark.read.text(output).groupBy("value").agg(F.count("*").alias("lines")).selectExpr("value AS line", "lines")
+
+
+def job_json_results(spark, sf_dir):
+    """The job's nested results, read back."""
+    output, _ = _job(spark, sf_dir, "--json")
+    nested = "message struct<id:string>, language string, immediate array<struct<category:string>>, alerts array<string>"
+    return spark.read.schema(nested).json(f"{output}/results").selectExpr(
+        "message.id AS id", "language", "array_join(transform(coalesce(immediate, array()), f -> f.category), ',') AS immediate_categories",
+        "array_join(coalesce(alerts, array()), '\\n\\n') AS alerts")
+
+
+def job_refused(spark, sf_dir):
+    """What the job set aside."""
+    _, aside = _job(spark, sf_dir)
+    return spark.read.schema("id string, source string, reason string").json(f"{aside}/refused")
+
+
+def _raw_conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read_table(spark, sf_dir, "conversations").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
-    # The whole table is one file of one row group, so one task would get it all.
-    stream = stream.repartition(4 * spark.sparkContext.defaultParallelism)
-    return process_message_stream(as_raw_messages(stream, CONVERSATION_FIELDS, CONVERSATION_KEY), CONVERSATION_KEY)
+    # A pattern for the table's own name: a stream takes a folder of files by its
+    # name, but a single file only by a pattern.
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parque[t]")
+    return as_raw_messages(stream, CONVERSATION_FIELDS, CONVERSATION_KEY)
+
+
+def _conversation_stream(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return process_message_stream(_raw_conversation_stream(spark, sf_dir), CONVERSATION_KEY, **options)
 
 
 def _run(stream: DataFrame, name: str) -> DataFrame:
@@ -294,6 +403,21 @@ def stream_alerts(spark, sf_dir):
         *CONVERSATION_KEY, "id", "place", "alert")
 
 
+def stream_alerts_remote(spark, sf_dir):
+    """Alerts of a stream that meets a static table of language labels."""
+    labels = read_table(spark, sf_dir, "conversations").where("turn % 2 = 0").selectExpr(
+        "concat('c', conv_id, '-', turn) AS id", "array(named_struct('code', 'de', 'score', 0.9D)) AS candidates")
+    results = _conversation_stream(spark, sf_dir, detector=REMOTE_DETECTOR, candidates=labels)
+    return _run(alert_stream(results, (*CONVERSATION_KEY, "language")), "alerts").select(
+        *CONVERSATION_KEY, "language", "place", "alert")
+
+
+def stream_alerts_jsonl(spark, sf_dir):
+    """Alerts of a stream of JSON lines."""
+    raw = read_message_stream(spark, _message_lines(spark, sf_dir))
+    return _run(alert_stream(process_message_stream(raw)), "alerts").select("id", "place", "alert")
+
+
 def stream_digest_items(spark, sf_dir):
     items = _run(digest_item_stream(_conversation_stream(spark, sf_dir), CONVERSATION_KEY), "items")
     return items.selectExpr(
@@ -307,6 +431,15 @@ def stream_daily_counts(spark, sf_dir):
     return closed.selectExpr("date_format(window_start, 'yyyy-MM-dd') AS day", "messages", "immediate", "batched")
 
 
+def stream_undated(spark, sf_dir):
+    return _run(undated_stream(_conversation_stream(spark, sf_dir), CONVERSATION_KEY), "undated")
+
+
+def stream_refused(spark, sf_dir):
+    return _run(refused_message_stream(_raw_conversation_stream(spark, sf_dir)), "refused").select(
+        *CONVERSATION_KEY, "id", "source", "reason")
+
+
 QUERIES = {
     "normalize_messages": normalized,
     "accepted_sources": accepted,
@@ -340,6 +473,19 @@ QUERIES = {
     "stream_report": stream_report,
     "toxicity_precision_recall": toxicity_precision_recall,
     "daily_digest_counts": daily_digest_counts,
+    "digest_of_a_day": digest_of_a_day,
+    "redacted_spans": redacted_spans,
+    "phrase_language": phrase_language,
+    "remote_requests": requests,
+    "jsonl_lines": jsonl_lines,
+    "jsonl_rejects": jsonl_rejects,
+    "job_text_report": job_text_report,
+    "job_json_results": job_json_results,
+    "job_refused": job_refused,
+    "stream_alerts_remote": stream_alerts_remote,
+    "stream_alerts_jsonl": stream_alerts_jsonl,
+    "stream_undated": stream_undated,
+    "stream_refused": stream_refused,
     "jsonl_round_trip": jsonl_round_trip,
     "stream_alerts": stream_alerts,
     "stream_digest_items": stream_digest_items,

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenward.functions.text import quote
-from lumenward.sources.tables import as_raw_messages, spread
-from workload.phrases import PHRASES
+from lumenward.sources.tables import as_raw_messages
+from workload.phrases import PHRASES, SHORT_TEXTS
 
 SOURCES = ("family-link", "screen-time", "youtube-data-api", "comment-moderation-api", "android-accessibility",
            "device-notification", "manual", "scraping", "")
@@ -25,6 +25,18 @@ def _dressed(key: str) -> str:
     return f"concat({front}, ' ', text, '. ', {back})"
 
 
+def _conversation_time() -> str:
+    """The message's time in one of the forms that turn up, or none."""
+    at = "timestampadd(MINUTE, conv_id * 90 + turn, TIMESTAMP_NTZ'2024-01-01 00:00:00')"
+    seconds = "(1704067200 + (conv_id * 90 + turn) * 60)"
+    text = """date_format({}, "yyyy-MM-dd'T'HH:mm:ss")"""
+    ahead = text.format(f"timestampadd(HOUR, 2, {at})")
+    forms = ("NULL", "'yesterday'", f"cast({seconds} AS string)", f"cast({seconds} * 1000 AS string)",
+             f"concat({ahead}, '+02:00')", text.format(at), "'2999-01-01T00:00:00Z'")
+    cases = " ".join(f"WHEN {i} THEN {form}" for i, form in enumerate(forms))
+    return f"CASE (conv_id * 5 + turn) % 17 {cases} ELSE concat({text.format(at)}, 'Z') END"
+
+
 # SQL expressions of the message fields, by table; the oracle has its own.
 DOCUMENT_FIELDS = {
     "id": "if(doc_id % 11 = 0, NULL, concat('d', doc_id))",
@@ -43,10 +55,11 @@ CONVERSATION_FIELDS = {
     "direction": "if(role = 'user', 'outgoing', 'incoming')",
     "senderRelationship": _pick(("mutual", "not-mutual", "unknown"), "conv_id % 3"),
     "platform": "'chat'",
-    "source": "'family-link'",
-    "timestamp": "concat(date_format(timestampadd(MINUTE, conv_id * 90 + turn, TIMESTAMP_NTZ'2024-01-01 00:00:00'),"
-                 """ "yyyy-MM-dd'T'HH:mm:ss"), 'Z')""",
+    "source": "if((conv_id * 3 + turn) % 13 = 0, 'scraping', 'family-link')",
+    "timestamp": _conversation_time(),
 }
+# A short message for each document, by its number.
+PHRASE_FIELDS = {"text": _pick((*PHRASES, *SHORT_TEXTS), f"doc_id % {len(PHRASES) + len(SHORT_TEXTS)}")}
 
 DOCUMENT_KEY = ("doc_id",)
 CONVERSATION_KEY = ("conv_id", "turn")
@@ -58,26 +71,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without anything put around them."""
-    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
 
 
 def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    table = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return as_raw_messages(table, DOCUMENT_FIELDS, DOCUMENT_KEY)
 
 
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spread(read_table(spark, sf_dir, "conversations"))
+    table = read_table(spark, sf_dir, "conversations")
     return as_raw_messages(table, CONVERSATION_FIELDS, CONVERSATION_KEY)
 
 
 def label_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language labels for the documents in ``labels``, none for those of low quality."""
+    """Language labels for the documents in ``labels``, none for those of low quality.
+
+    Every third document has a second row of candidates, some codes are empty or
+    null, and some rows have no id."""
     table = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     rated = table.join(read_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return rated.selectExpr(
-        "concat('d', doc_id) AS id",
+    first = rated.selectExpr(
+        "if(doc_id % 29 = 0, NULL, concat('d', doc_id)) AS id",
         """if(quality = 0, cast(array() AS array<struct<code:string,score:double>>), array(
              named_struct('code', 'pt-BR', 'score', (doc_id % 100) / 100D),
              named_struct('code', upper(lang), 'score', (n_chars % 97) / 100D),
              named_struct('code', concat(lang, '-XX'), 'score', (doc_id % 100) / 100D))) AS candidates""")
+    second = rated.where("doc_id % 3 = 0").selectExpr(
+        "concat('d', doc_id) AS id",
+        """array(named_struct('code', case doc_id % 4 when 0 then '' when 1 then cast(null as string) else 'it-IT' end,
+             'score', (doc_id % 89) / 100D)) AS candidates""")
+    return first.unionByName(second)
