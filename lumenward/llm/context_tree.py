@@ -12,7 +12,8 @@ follows each context in the training texts.
 The tree is kept in bounds by frequency: a context is a node of its own if it is
 at least one in :data:`CONTEXT_SHARE` of all places.  At most that many contexts
 of one depth can be, whatever the size of the corpus, which bounds what the
-driver and the workers hold; a node's rarer contexts are pooled in one leaf, so no
+driver and the workers hold (a kept context takes about 5 KB on the driver while the
+tree is weighed, and 1 KB on a worker); a node's rarer contexts are pooled in one leaf, so no
 count is dropped.  The prediction after a context follows its path as far as
 counts reach.
 
@@ -32,32 +33,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenward.llm.words import LOWER, mix64, slices, text_buffer
+from lumenward.llm.words import LOWER, slices, text_buffer
 from lumenward.storage import Scratch
 
 DEPTH = 5
 CONTEXT_SHARE = 1 << 16
 END = 0xFF
+#: Contexts weighed together on the driver.
+CHUNK = 2048
 _U64 = np.uint64
 
 
 def _padded(data: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """All texts with ``depth`` end marks before each and after the last; places of the symbols to predict."""
+    """All texts with ``depth`` end marks before each and after the last; for each
+    place from ``depth`` on, whether its symbol is to be predicted, which of the
+    marks between two texts only the first is."""
     n = len(bounds) - 1
-    shift = np.repeat(np.arange(1, n + 1) * depth, np.diff(bounds))
     out = np.full(len(data) + (n + 1) * depth, END, np.uint8)
-    out[np.arange(len(data)) + shift] = data
-    known = np.zeros(len(out), bool)
-    known[np.arange(len(data)) + shift] = True
-    known[bounds[1:] + np.arange(1, n + 1) * depth] = True  # the first end mark after each text
-    return out, np.flatnonzero(known)
-
-
-def _grams(padded: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """Each place's context and byte as one integer, the oldest byte highest."""
-    key = np.zeros(len(places), _U64)
-    for back in range(depth, -1, -1):
-        key = (key << _U64(8)) | padded[places - back].astype(_U64)
+    marks = (bounds[:, None] + np.arange(n + 1)[:, None] * depth + np.arange(depth)).ravel()
+    is_text = np.ones(len(out), bool)
+    is_text[marks] = False
+    out[is_text] = data
+    is_text[bounds[1:] + np.arange(1, n + 1) * depth] = True
+    return out, is_text[depth:]
+
+
+def _grams(padded: np.ndarray, depth: int) -> np.ndarray:
+    """For each symbol from place ``depth`` on, the symbols up to it as one integer, the oldest highest."""
+    n = len(padded) - depth
+    key = padded[:n].astype(_U64)
+    for later in range(1, depth + 1):
+        key <<= _U64(8)
+        key |= padded[later:later + n]
     return key
 
 
@@ -78,7 +85,8 @@ def _counted(depth: int, most: int = 2_000_000):
         parts, held = [], 0
         for part in slices(batches, "text"):
             data, bounds = text_buffer(part.column(0))
-            keys, counts = np.unique(_grams(*_padded(LOWER[data], bounds, depth), depth), return_counts=True)
+            padded, wanted = _padded(LOWER[data], bounds, depth)
+            keys, counts = np.unique(_grams(padded, depth)[wanted], return_counts=True)
             parts.append((keys, counts.astype(np.int64)))
             held += len(keys)
             if held > most:
@@ -117,6 +125,11 @@ def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tree[:, 2::2][:, :255], tree[:, 3::2][:, :255]
 
 
+def _share(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """The estimate that the decision is a one; nan where nothing was seen."""
+    return np.where(n0 + n1 > 0, (n1 + 0.5) / (n0 + n1 + 1.0), np.nan)
+
+
 @dataclass
 class ContextTree:
     """For each kept context, shortest first, the log10 probability of each byte
@@ -129,35 +142,39 @@ class ContextTree:
     @classmethod
     def build(cls, depth: int, contexts: list[np.ndarray], counts: list[np.ndarray]) -> ContextTree:
         """From sorted contexts and their byte counts by depth; the root is depth 0."""
-        own, weights, rests = [None] * (depth + 1), [None] * (depth + 1), [None] * (depth + 1)
+        own, weights, rests = ([np.empty((len(c), 255), np.float32) for c in contexts] for _ in range(3))
         weighted = None
         for d in range(depth, -1, -1):
-            n0, n1 = _decisions(counts[d])
-            estimate = log_kt(n0, n1)
-            own[d] = np.where(n0 + n1 > 0, (n1 + 0.5) / (n0 + n1 + 1.0), np.nan)
-            if d == depth:
-                weights[d], rests[d], weighted = np.ones_like(estimate), np.full_like(estimate, np.nan), estimate
-                continue
-            rest, deeper = counts[d].astype(np.float64), np.zeros_like(estimate)
-            if len(contexts[d + 1]):
-                parent = np.searchsorted(contexts[d], contexts[d + 1] & _U64((1 << (8 * d)) - 1))
-                np.subtract.at(rest, parent, counts[d + 1])
-                np.add.at(deeper, parent, weighted)
-            r0, r1 = _decisions(rest)
-            deeper += log_kt(r0, r1)
-            weighted = np.logaddexp(estimate, deeper) - math.log(2)
-            weights[d] = np.exp(estimate - math.log(2) - weighted)
-            rests[d] = np.where(r0 + r1 > 0, (r1 + 0.5) / (r0 + r1 + 1.0), np.nan)
+            rest, deeper = None, None
+            if d < depth:
+                rest, deeper = counts[d].copy(), np.zeros((len(contexts[d]), 255))
+                if len(contexts[d + 1]):
+                    parent = np.searchsorted(contexts[d], contexts[d + 1] & _U64((1 << (8 * d)) - 1))
+                    np.subtract.at(rest, parent, counts[d + 1])
+                    np.add.at(deeper, parent, weighted)
+            weighted = np.empty((len(contexts[d]), 255))
+            for at in range(0, len(contexts[d]), CHUNK):
+                part = slice(at, at + CHUNK)
+                n0, n1 = _decisions(counts[d][part])
+                estimate = log_kt(n0, n1)
+                own[d][part] = _share(n0, n1)
+                if d == depth:
+                    weighted[part], weights[d][part], rests[d][part] = estimate, 1.0, np.nan
+                    continue
+                r0, r1 = _decisions(rest[part])
+                weighted[part] = np.logaddexp(estimate, deeper[part] + log_kt(r0, r1)) - math.log(2)
+                weights[d][part] = np.exp(estimate - math.log(2) - weighted[part])
+                rests[d][part] = _share(r0, r1)
         rows = [cls._row(d, contexts, own, weights, rests) for d in range(depth + 1)]
         slots = [cls._slots(contexts[d]) if d > 2 else None for d in range(depth + 1)]
         return cls(depth, contexts, np.concatenate(rows), slots)
 
     @staticmethod
-    def _row(d: int, contexts, own, weights, rests, chunk: int = 4096) -> np.ndarray:
+    def _row(d: int, contexts, own, weights, rests) -> np.ndarray:
         out = np.empty((len(contexts[d]), 256), np.float32)
-        for at in range(0, len(out), chunk):
-            keys = contexts[d][at:at + chunk]
-            p = rests[d][at:at + chunk]
+        for at in range(0, len(out), CHUNK):
+            keys = contexts[d][at:at + CHUNK]
+            p = rests[d][at:at + CHUNK].astype(np.float64)
             for a in range(d, -1, -1):
                 up = np.searchsorted(contexts[a], keys & _U64((1 << (8 * a)) - 1))
                 mine, trust = own[a][up], weights[a][up]
@@ -167,16 +184,16 @@ class ContextTree:
             for i in range(1, 256):
                 total[:, 2 * i] = total[:, i] + np.log10(1 - p[:, i - 1])
                 total[:, 2 * i + 1] = total[:, i] + np.log10(p[:, i - 1])
-            out[at:at + chunk] = total[:, 256:]
+            out[at:at + CHUNK] = total[:, 256:]
         return out
 
     @staticmethod
     def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """An open-addressing table of the keys, and the most steps a key is away from its place."""
         bits = max(4, int(len(keys) * 4).bit_length())
-        table, value = np.full(1 << bits, ~_U64(0)), np.zeros(1 << bits, np.int32)
+        table, value = np.full(1 << bits, ~_U64(0)), np.full(1 << bits, -1, np.int32)
         left, steps = np.arange(len(keys)), 0
-        home = (mix64(keys) >> _U64(64 - bits)).astype(np.int64)
+        home = _home(keys, bits)
         while len(left):
             place = (home[left] + steps) & ((1 << bits) - 1)
             free = table[place] == ~_U64(0)
@@ -191,48 +208,66 @@ class ContextTree:
     def rows_of(self, grams: np.ndarray) -> np.ndarray:
         """For each context and byte, the row of its longest kept context."""
         offset = np.concatenate([[0], np.cumsum([len(c) for c in self.contexts])])
-        row = np.zeros(len(grams), np.int64)
-        alive = np.arange(len(grams))
-        for d in range(1, self.depth + 1):
+        row = np.zeros(len(grams), np.int32)
+        short = min(2, self.depth)
+        if len(self.contexts[1]):
+            direct = np.zeros(1 << (8 * short), np.int32)
+            lowest = np.arange(len(direct)) & 0xFF
+            first = np.zeros(256, np.int32)
+            first[self.contexts[1].astype(np.int64)] = offset[1] + np.arange(len(self.contexts[1]))
+            direct[:] = first[lowest]
+            if short == 2:
+                direct[self.contexts[2].astype(np.int64)] = offset[2] + np.arange(len(self.contexts[2]))
+            row = direct[((grams >> _U64(8)) & _U64(len(direct) - 1)).astype(np.intp)]
+        alive = np.flatnonzero(row >= offset[2]) if short == 2 else np.zeros(0, np.intp)
+        held = grams[alive] >> _U64(8)
+        for d in range(3, self.depth + 1):
             if not len(self.contexts[d]) or not len(alive):
                 break
-            key = (grams[alive] >> _U64(8)) & _U64((1 << (8 * d)) - 1)
-            if d <= 2:
-                direct = np.full(1 << (8 * d), -1, np.int32)
-                direct[self.contexts[d].astype(np.int64)] = np.arange(len(self.contexts[d]))
-                found = direct[key.astype(np.int64)]
-            else:
-                table, value, steps = self.slots[d]
-                found = np.full(len(key), -1, np.int32)
-                place = (mix64(key) >> _U64(65 - len(table).bit_length())).astype(np.int64)
-                open_ = np.arange(len(key))
-                for _ in range(steps):
-                    seen = table[place[open_]]
-                    hit = seen == key[open_]
-                    found[open_[hit]] = value[place[open_[hit]]]
-                    open_ = open_[~hit & (seen != ~_U64(0))]
-                    if not len(open_):
-                        break
-                    place[open_] = (place[open_] + 1) & (len(table) - 1)
-            kept = found >= 0
-            alive = alive[kept]
-            row[alive] = offset[d] + found[kept]
+            found = self._find(held & _U64((1 << (8 * d)) - 1), *self.slots[d])
+            kept = np.flatnonzero(found >= 0)
+            alive, held = alive[kept], held[kept]
+            row[alive] = found[kept] + np.int32(offset[d])
         return row
 
-    def score(self, column: pa.Array, chunk: int = 1 << 20) -> np.ndarray:
+    @staticmethod
+    def _find(key: np.ndarray, table: np.ndarray, value: np.ndarray, steps: int) -> np.ndarray:
+        place = _home(key, len(table).bit_length() - 1)
+        seen = table[place]
+        found = np.where(seen == key, value[place], np.int32(-1))
+        open_ = np.flatnonzero((seen != key) & (seen != ~_U64(0)))
+        for _ in range(steps - 1):
+            if not len(open_):
+                break
+            place[open_] = (place[open_] + 1) & (len(table) - 1)
+            seen = table[place[open_]]
+            hit = seen == key[open_]
+            found[open_[hit]] = value[place[open_[hit]]]
+            open_ = open_[~hit & (seen != ~_U64(0))]
+        return found
+
+    def score(self, column: pa.Array, chunk: int = 1 << 19) -> np.ndarray:
         """log10 probability of each text of a column."""
         data, bounds = text_buffer(column)
-        padded, places = _padded(LOWER[data], bounds, self.depth)
-        out = np.zeros(len(bounds) - 1)
-        owner_end = bounds[1:] + np.arange(1, len(bounds))  # symbols up to and with each text's end mark
-        for at in range(0, len(places), chunk):
-            grams = _grams(padded, places[at:at + chunk], self.depth)
-            value = self.log10[self.rows_of(grams), (grams & _U64(0xFF)).astype(np.int64)].astype(np.float64)
-            owner = np.searchsorted(owner_end, np.arange(at, at + len(grams)), "right")
-            out += np.bincount(owner, value, len(out))
+        padded, wanted = _padded(LOWER[data], bounds, self.depth)
+        # Texts end with their first end mark; what is not predicted counts nothing.
+        begins = bounds[:-1] + np.arange(len(bounds) - 1) * self.depth
+        out, flat = np.zeros(len(bounds) - 1), self.log10.ravel()
+        for at in range(0, len(wanted), chunk):
+            grams = _grams(padded[at:at + chunk + self.depth], self.depth)
+            place = self.rows_of(grams).astype(np.intp) * 256
+            place += padded[at + self.depth:at + self.depth + len(grams)]
+            value = np.where(wanted[at:at + chunk], flat[place], np.float32(0)).astype(np.float64)
+            one, last = np.searchsorted(begins, at, "right") - 1, np.searchsorted(begins, at + len(grams), "left")
+            out[one:last] += np.add.reduceat(value, np.maximum(begins[one:last] - at, 0))
         return out
 
 
+def _home(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Each key's first place in a table of that many bits."""
+    return ((keys * _U64(0x9E3779B97F4A7C15)) >> _U64(64 - bits)).astype(np.intp)
+
+
 def train(texts: DataFrame, scratch: Scratch, depth: int = DEPTH, share: int = CONTEXT_SHARE,
           text: str = "text") -> ContextTree:
     """Count all training texts and weigh the tree.
