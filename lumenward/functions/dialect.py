@@ -90,8 +90,38 @@ def to_java(pattern: str, ignore_case: bool) -> str:
     return "".join(out)
 
 
+def check_entry(entry: Entry) -> None:
+    """Refuse an entry that the rewriting or the trigger words would not get right.
+
+    The lookahead for the first letter and the one-sided boundary hold for
+    patterns each of whose alternatives starts with a letter that must be there."""
+    if not entry.words and not entry.parts:
+        raise ValueError(f"no words or parts to look for: {entry.pattern}")
+    _check_start(entry.pattern, entry.pattern)
+
+
+def _check_start(part: str, pattern: str) -> None:
+    for alternative in alternatives(part):
+        start = alternative.removeprefix(r"\b")
+        if start.startswith("("):
+            depth = 0
+            for at, char in enumerate(start):
+                depth += (char == "(") - (char == ")")
+                if not depth:
+                    break
+            inside, after = start[1:at], start[at + 1:at + 2]
+            _check_start(inside, pattern)
+        else:
+            if not start[:1].isalpha():
+                raise ValueError(f"an alternative must start with a letter or a group of such: {pattern}")
+            after = start[1:2]
+        if after in ("?", "*", "{"):
+            raise ValueError(f"the start of an alternative must not be optional: {pattern}")
+
+
 @lru_cache(maxsize=None)
 def entry_regex(entry: Entry) -> str:
+    check_entry(entry)
     return to_java(entry.pattern, entry.ignore_case)
 
 

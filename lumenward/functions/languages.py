@@ -19,12 +19,13 @@ SCRIPTS = (
 
 # Function words by language; on equal counts the first wins.
 STOPWORDS = {
-    "en": "the and you to is of in that it for are your on do",
-    "es": "que de la el no en y los se un por con tu para eres",
-    "fr": "le la les et de un une je tu ne pas est que on chez toi moi avec vous ça où ton ta suis",
-    "pt": "que de não o a e um uma você com para os eu tá",
-    "de": "der die das und ist nicht du ich ein eine zu mit wie bist",
-    "it": "che di il la e non un per con sono ti sei ho",
+    "en": ("the", "and", "you", "to", "is", "of", "in", "that", "it", "for", "are", "your", "on", "do"),
+    "es": ("que", "de", "la", "el", "no", "en", "y", "los", "se", "un", "por", "con", "tu", "para", "eres"),
+    "fr": ("le", "la", "les", "et", "de", "un", "une", "je", "tu", "ne", "pas", "est", "que", "on", "chez", "toi",
+           "moi", "avec", "vous", "ça", "où", "ton", "ta", "suis"),
+    "pt": ("que", "de", "não", "o", "a", "e", "um", "uma", "você", "com", "para", "os", "eu", "tá"),
+    "de": ("der", "die", "das", "und", "ist", "nicht", "du", "ich", "ein", "eine", "zu", "mit", "wie", "bist"),
+    "it": ("che", "di", "il", "la", "e", "non", "un", "per", "con", "sono", "ti", "sei", "ho"),
 }
 
 # Display names.
@@ -43,7 +44,7 @@ LOCAL_SOURCE = "local-heuristic"
 REMOTE_DETECTOR = "aws-comprehend"
 
 # Words of one letter are too ambiguous to count.
-COUNTED_WORDS = {lang: [w for w in words.split() if len(w) > 1] for lang, words in STOPWORDS.items()}
+COUNTED_WORDS = {lang: [w for w in words if len(w) > 1] for lang, words in STOPWORDS.items()}
 ALL_COUNTED_WORDS = sorted({w for words in COUNTED_WORDS.values() for w in words})
 
 TOKEN = r"[\p{L}']+"

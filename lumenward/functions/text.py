@@ -18,6 +18,12 @@ def quote(value: str) -> str:
     return f"'{escaped}'"
 
 
+def check_literals(spark) -> None:
+    """String literals are written with backslash escapes; refuse a session that reads them otherwise."""
+    if spark.conf.get("spark.sql.parser.escapedStringLiterals", "false").lower() == "true":
+        raise RuntimeError("set spark.sql.parser.escapedStringLiterals to false")
+
+
 def quoted_list(values) -> str:
     return ", ".join(quote(v) for v in values)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from lumenward.functions.text import present, quote, quoted_list
+from lumenward.functions.text import check_literals, present, quote, quoted_list
 from lumenward.schema import RAW_FIELDS
 
 # The integrations messages may come from.
@@ -59,6 +59,7 @@ def normalize_messages(raw: DataFrame, keep=(), strict: bool = True) -> DataFram
     ``keep`` names columns carried along, such as an ordering key.  ``strict``
     makes an unsanctioned source fail the job; otherwise such rows are left out
     (:func:`refused_messages` lists them)."""
+    check_literals(raw.sparkSession)
     kept = [f"`{k}`" for k in keep if k not in RAW_FIELDS]
     known = [f"cast({f'`{f}`' if f in raw.columns else 'NULL'} AS string) AS {f}" for f in RAW_FIELDS]
     rows = raw.selectExpr(*kept, *known)

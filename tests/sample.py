@@ -1,5 +1,6 @@
 """The ten sample messages and what they give."""
 
+# The sample messages, and below what they come to.
 SAMPLE = [
     dict(id="m1", text="hey you're so mature for your age, don't tell your parents about this. let's talk on telegram instead",
          direction="incoming", senderRelationship="not-mutual", platform="instagram", source="android-accessibility"),

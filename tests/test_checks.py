@@ -8,7 +8,7 @@ IN, OUT = {"direction": "incoming"}, {"direction": "outgoing"}
 NM, MU = {"senderRelationship": "not-mutual"}, {"senderRelationship": "mutual"}
 MULTI = "you're so mature, don't tell your parents, add me on telegram"
 
-# text, fields, {category: confidence}
+# Text, fields, {category: confidence}
 CASES = [
     (MULTI, NM, {"grooming": 0.88}),
     ("what's your address?", {}, {"grooming": 0.50}),

@@ -4,6 +4,7 @@ The tables hold invented prose that matches almost nothing, so each text gets
 one phrase in front and one behind, chosen by its key.
 """
 
+# Fixed values, some of them known sample messages.
 PHRASES = (
     # one per lexicon entry, in lexicon order
     "send me a pic", "mándame unas fotos desnuda", "envoie-moi une photo de toi", "manda uma foto pelada",
