@@ -179,7 +179,9 @@ def _rare_shingle_pairs(nodes: DataFrame, texts: DataFrame, settings: Settings,
     A set that shares a given part of its shingles with another must share one of
     the few that are left out of that part, whichever they are; taking the rarest
     ones, a passage that many texts have in common brings none of them together.
-    Nothing is lost: this is a condition that every link meets."""
+    Nothing is lost: this is a condition that every link meets.  How many must be
+    shared, and so how far from the rarest one a shared one can be, follows from
+    the two sizes."""
     joined = texts.join(nodes.selectExpr("doc_id AS _node", "component"), F.col("doc_id") == F.col("_node"))
     sets = scratch.table(
         joined.select("doc_id", "text", "component").mapInArrow(
@@ -190,25 +192,34 @@ def _rare_shingle_pairs(nodes: DataFrame, texts: DataFrame, settings: Settings,
         F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("rarest"))
     needed = f"({settings.percent} * size(rarest) + 99) div 100"
     prefixes = scratch.table(
-        ranked.selectExpr("doc_id AS _doc", "size(rarest) AS n", f"inline(slice(rarest, 1, cast(size(rarest) - {needed} + 1 AS int)))")
-        .where("df > 1").join(sets.select("doc_id", "component"), F.col("_doc") == F.col("doc_id"))
-        .select("shingle", "doc_id", "n", "component"), "prefixes")
-    a = prefixes.selectExpr("shingle AS _s", "doc_id AS a", "n AS n_a", "component AS c_a")
-    b = prefixes.selectExpr("shingle", "doc_id AS b", "n AS n_b", "component AS c_b")
+        ranked.selectExpr("doc_id AS _doc", "size(rarest) AS n",
+                          f"posexplode(slice(rarest, 1, cast(size(rarest) - {needed} + 1 AS int))) AS (place, entry)")
+        .where("entry.df > 1").join(sets.select("doc_id", "component"), F.col("_doc") == F.col("doc_id"))
+        .selectExpr("entry.shingle AS shingle", "place", "doc_id", "n", "component"), "prefixes")
+    a = prefixes.selectExpr("shingle AS _s", "place AS p_a", "doc_id AS a", "n AS n_a", "component AS c_a")
+    b = prefixes.selectExpr("shingle", "place AS p_b", "doc_id AS b", "n AS n_b", "component AS c_b")
+    # What two sets of these sizes must share leaves each with so many others, and a shared one right after them.
+    shared = f"({settings.percent} * (n_a + n_b) + {99 + settings.percent}) div {100 + settings.percent}"
     return a.join(b, F.expr(
-        f"shingle = _s AND a < b AND c_a <> c_b AND 100 * least(n_a, n_b) >= {settings.percent} * greatest(n_a, n_b)"
+        f"shingle = _s AND a < b AND c_a <> c_b AND p_a <= n_a - {shared} AND p_b <= n_b - {shared}"
     )).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, a row for each row of ``docs``."""
     texts = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "coalesce(cast(text AS string), '') AS text")
-    signed = scratch.table(
+    with Scratch(scratch.spark) as inner:
+        return _near_duplicates(texts, settings, scratch, inner)
+
+
+def _near_duplicates(texts: DataFrame, settings: Settings, scratch: Scratch, inner: Scratch) -> DataFrame:
+    """``inner`` holds what the result does not read."""
+    signed = inner.table(
         texts.mapInArrow(_signed(settings), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"),
         "signed")
     sets = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     # A class is named by its smallest id; any of its rows has its bands.
-    classes = scratch.table(
+    classes = inner.table(
         sets.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("c")).selectExpr(
             "digest", "c.doc_id AS doc_id", "c.n_shingles AS n", "c.bands AS bands"),
         "classes")
@@ -216,35 +227,33 @@ def near_duplicates(docs: DataFrame, settings: Settings, scratch: Scratch) -> Da
     buckets = entries.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("s"), F.count("*").alias("c")).where(
         "c > 1").selectExpr("key AS _key", "s.doc_id AS first", "s.n AS n_first")
     fits = f"100 * least({{0}}, {{1}}) >= {settings.percent} * greatest({{0}}, {{1}})"
-    in_buckets = scratch.table(
+    in_buckets = inner.table(
         entries.join(buckets, F.col("key") == F.col("_key")).select("key", "doc_id", "n", "first", "n_first"), "buckets")
     stars = in_buckets.where(f"doc_id <> first AND {fits.format('n', 'n_first')}").selectExpr(
         "first AS a", "doc_id AS b").distinct()
     class_texts = texts.join(in_buckets.select(F.col("doc_id").alias("_c")).distinct(), F.col("doc_id") == F.col("_c"),
                              "left_semi")
-    class_texts = scratch.table(class_texts, "texts")
-    links = scratch.table(confirmed(stars, class_texts, settings), "links")
-    found = components(links, scratch)
+    class_texts = inner.table(class_texts, "texts")
+    links = inner.table(confirmed(stars, class_texts, settings), "links")
+    found = components(links, inner)
 
-    placed = scratch.table(in_buckets.join(found, F.col("doc_id") == F.col("node"), "left").selectExpr(
+    placed = inner.table(in_buckets.join(found, F.col("doc_id") == F.col("node"), "left").selectExpr(
         "key", "doc_id", "coalesce(component, doc_id) AS component"), "placed")
     # The only pair of a bucket of two has been compared.
     mixed = placed.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where(
         "lo <> hi AND c > 2").selectExpr("key AS _key")
     open_ = placed.join(mixed, F.col("key") == F.col("_key"), "left_semi").select("doc_id", "component").distinct()
-    across = _rare_shingle_pairs(open_, class_texts, settings, scratch)
-    more = scratch.table(confirmed(across, class_texts, settings), "more_links")
+    across = _rare_shingle_pairs(open_, class_texts, settings, inner)
+    more = inner.table(confirmed(across, class_texts, settings), "more_links")
     if more.limit(1).count():
-        found = components(links.unionByName(more), scratch)
-    found = scratch.table(found, "components")
-
-    named = classes.selectExpr("digest", "doc_id AS class_id").join(
+        found = components(links.unionByName(more), inner)
+    named = scratch.table(classes.selectExpr("digest", "doc_id AS class_id").join(
         found, F.col("class_id") == F.col("node"), "left").selectExpr(
-        "digest AS _digest", "coalesce(component, class_id) AS component_id")
-    members = signed.selectExpr("doc_id", "n_shingles", "if(doc_id IS NULL, NULL, digest) AS digest").join(
-        named, F.col("digest") == F.col("_digest"), "left")
-    return members.selectExpr(
+        "digest AS _digest", "coalesce(component, class_id) AS component_id"), "components")
+    members = scratch.table(signed.selectExpr(
+        "doc_id", "n_shingles", "if(doc_id IS NULL, NULL, digest) AS digest"), "members")
+    return members.join(named, F.col("digest") == F.col("_digest"), "left").selectExpr(
         "doc_id", "n_shingles", "coalesce(component_id, doc_id) AS component_id",
         "doc_id IS NULL OR coalesce(component_id, doc_id) = doc_id AS kept")
 
