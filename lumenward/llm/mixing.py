@@ -37,7 +37,8 @@ KNAPSACK_SUMS = 1 << 16
 RANGE_DOCUMENTS = 512
 
 
-def capped_targets(sizes: DataFrame, weights=WEIGHTS, most: float = MAX_REPEATS) -> DataFrame:
+def capped_targets(sizes: DataFrame, weights=WEIGHTS, most: float = MAX_REPEATS,
+                   scratch: Scratch | None = None) -> DataFrame:
     """Add ``target`` to a table of (source, source_size), a row for each source.
 
     Sources in code point order, null last, have the weights in turn and share
@@ -46,7 +47,7 @@ def capped_targets(sizes: DataFrame, weights=WEIGHTS, most: float = MAX_REPEATS)
     two sums over the sources; only those sums reach the driver."""
     ranked = with_row_numbers(
         sizes.selectExpr("source", "source_size", "source IS NULL AS _last", "coalesce(source, '') AS _name"),
-        ["_last", "_name"], "_rank")
+        ["_last", "_name"], "_rank", scratch)
     listed = ", ".join(f"{w}D" for w in weights)
     ranked = ranked.selectExpr("source", "source_size", f"array({listed})[cast((_rank - 1) % {len(weights)} AS int)] AS _weight",
                                f"{float(most)}D * source_size AS _cap")
@@ -150,7 +151,7 @@ def mix(sized: DataFrame, scratch: Scratch, seed: int = SEED, weights=WEIGHTS) -
                          f"xxhash64({int(seed)}L, doc_id) AS _draw"), "sized")
     by_length = scratch.table(drawn.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     sizes = by_length.groupBy("source").agg(F.sum(F.expr("size * n")).alias("source_size"))
-    targets = scratch.table(capped_targets(sizes, weights), "targets")
+    targets = scratch.table(capped_targets(sizes, weights, scratch=scratch), "targets")
     budgets = by_length.join(targets, by_length["source"].eqNullSafe(targets["source"])).select(
         by_length["source"], "size", "n", "source_size", "target")
     fitted = scratch.table(
