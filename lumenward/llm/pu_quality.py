@@ -34,7 +34,7 @@ from lumenward.storage import Scratch
 POSITIVES = 8192
 UNLABELLED = 16384
 #: Standardised measurements are held within this many deviations.
-CLIP = 4.0
+CLIP = 8.0
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[0x30:0x3A] = True

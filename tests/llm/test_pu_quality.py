@@ -68,7 +68,7 @@ def test_prior_and_risk_on_two_clouds():
     extra = lambda x: np.hstack([x, np.ones((len(x), 1))])
     assert abs(estimate_prior(extra(good), extra(mixed)) - 0.7) < 0.1
     model = fit(good, mixed)
-    score = np.clip((mixed - model.mean) / model.scale, -4, 4) @ model.weights + model.bias
+    score = np.clip((mixed - model.mean) / model.scale, -8, 8) @ model.weights + model.bias
     assert np.mean(score[:2100] > 0) > 0.95 and np.mean(score[2100:] < 0) > 0.85
 
 
