@@ -355,6 +355,8 @@ ORACLE_SQL = {
     "accepted_sources": f"WITH {_RAW_DOCUMENTS} SELECT doc_id, source FROM raw WHERE {_SANCTIONED}",
     "refused_sources": f"""WITH {_RAW_DOCUMENTS} SELECT doc_id, source, {_REFUSED} AS reason
         FROM raw WHERE NOT {_SANCTIONED}""",
+    "strict_guard": f"""WITH {_RAW_CONVERSATIONS} SELECT count(*) FILTER (WHERE {_SANCTIONED}) AS kept,
+        any_value({_REFUSED}) FILTER (WHERE NOT {_SANCTIONED}) AS reason FROM raw""",
     "script_detect": f"{_DOCUMENTS}, {_WORDS} SELECT doc_id, script, {_SCRIPT_NAME} AS script_name FROM scripted",
     "tokens": f"""{_DOCUMENTS}, {_WORDS} SELECT key[1] AS doc_id, len(words)::INTEGER AS n_words,
         md5(array_to_string(words, ' ')) AS words_md5 FROM words""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,18 @@ def refused(spark, sf_dir):
     return refused_messages(document_messages(spark, sf_dir)).select("doc_id", "source", "reason")
 
 
+def strict_guard(spark, sf_dir):
+    """What a strict run over all messages stops with, and what it keeps of the sanctioned ones."""
+    raw = conversation_messages(spark, sf_dir)
+    try:
+        normalize_messages(raw, CONVERSATION_KEY).write.format("noop").mode("overwrite").save()
+        reason = None
+    except SparkRuntimeException as refused:
+        reason = str(refused).partition("] ")[2].partition(" SQLSTATE")[0].splitlines()[0]
+    kept = normalize_messages(accepted_messages(raw), CONVERSATION_KEY)
+    return kept.agg(F.count("*").alias("kept")).withColumn("reason", F.lit(reason))
+
+
 # ---- language ----
 
 def script_detect(spark, sf_dir):
@@ -444,6 +457,7 @@ QUERIES = {
     "normalize_messages": normalized,
     "accepted_sources": accepted,
     "refused_sources": refused,
+    "strict_guard": strict_guard,
     "script_detect": script_detect,
     "tokens": tokens,
     "stopword_scores": stopword_scores,
