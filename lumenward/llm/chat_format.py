@@ -122,28 +122,52 @@ def loss_spans(formatted: str, role: str = LOSS_ROLE) -> list[tuple[int, int]]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+class _Rows:
+    """Rows gathered to batches of a bounded size."""
+
+    def __init__(self, schema: pa.Schema, most: int = 1000, most_chars: int = 4 << 20):
+        self.schema, self.most, self.most_chars = schema, most, most_chars
+        self.rows: list[tuple] = []
+        self.chars = 0
+
+    def add(self, row: tuple, chars: int = 0) -> bool:
+        """Whether the batch is full."""
+        self.rows.append(row)
+        self.chars += chars
+        return len(self.rows) >= self.most or self.chars >= self.most_chars
+
+    def batch(self) -> pa.RecordBatch:
+        columns = [pa.array(values, field.type) for values, field in zip(zip(*self.rows), self.schema)]
+        self.rows, self.chars = [], 0
+        return pa.RecordBatch.from_arrays(columns, schema=self.schema)
+
+
+_PIECE = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("formatted", pa.string()), ("loss_spans", _SPANS)])
+_DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
+                     ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[Turn] = []
+    rows, held = _Rows(_PIECE), []
     size, piece, current, seen = 0, 0, None, False
 
-    def record():
+    def row() -> tuple:
         formatted = render(held)
-        spans = [{"start": a, "end": b} for a, b in loss_spans(formatted)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([current], pa.int64()), pa.array([piece], pa.int64()), pa.array([formatted], pa.string()),
-             pa.array([spans], _SPANS)], names=["conv_id", "piece", "formatted", "loss_spans"])
+        return current, piece, formatted, [{"start": a, "end": b} for a, b in loss_spans(formatted)]
 
     for batch in batches:
         for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if seen and (conv != current or len(held) >= PIECE_TURNS or size >= PIECE_CHARS):
-                yield record()
+                if rows.add(row(), size):
+                    yield rows.batch()
                 piece = piece + 1 if conv == current else 0
                 held, size = [], 0
             current, seen = conv, True
             held.append((role, text))
             size += len(text)
     if held:
-        yield record()
+        rows.add(row())
+        yield rows.batch()
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -160,20 +184,17 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    state = None
+    rows, state = _Rows(_DIGEST), None
 
-    def record():
+    def row() -> tuple:
         conv, n, turns, chars, loss, total = state
-        return pa.RecordBatch.from_arrays(
-            [pa.array([conv], pa.int64()), pa.array([n], pa.int64()), pa.array([turns.hexdigest()]),
-             pa.array([chars], pa.int64()), pa.array([loss.hexdigest()]), pa.array([total], pa.int64())], names=names)
+        return conv, n, turns.hexdigest(), chars, loss.hexdigest(), total
 
     for batch in batches:
         for conv, piece, formatted, spans in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if piece == 0:
-                if state:
-                    yield record()
+                if state and rows.add(row()):
+                    yield rows.batch()
                 state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
             for role, text, _, _ in parse(formatted):
                 state[1] += 1
@@ -184,7 +205,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 state[4].update(text.encode())
             state[5] += len(formatted)
     if state:
-        yield record()
+        rows.add(row())
+        yield rows.batch()
 
 
 def read_back_digests(pieces: DataFrame) -> DataFrame:
