@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenward.llm.byte_bpe import round_trip_digests
-from lumenward.llm.common import DOCUMENT_COLUMNS
+from lumenward.llm.common import DOCUMENT_COLUMNS, with_package
 from lumenward.llm.minhash import Settings, keep_one_of_each
 from lumenward.llm.mixing import mixed_documents
 from lumenward.llm.op3_byte_bpe import VOCABULARY
@@ -38,22 +38,27 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*DOCUMENT_COLUMNS)
 
 
+@with_package
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return reject_low_quality(_documents(docs))
 
 
+@with_package
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_of_each(_documents(docs), NEAR, Scratch(spark))
 
 
+@with_package
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return redact_secrets(_documents(docs), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+@with_package
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(_documents(docs), Scratch(spark))
 
 
+@with_package
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return round_trip_digests(
         _documents(docs), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep=("doc_id", "source"))
@@ -68,6 +73,7 @@ STAGES = [
 ]
 
 
+@with_package
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents, each written and read again."""
     docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)

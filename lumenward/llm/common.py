@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import os
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -25,3 +32,19 @@ def unused_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def with_package(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query, run so that Python workers find this package.
+
+    They import it by name.  A session that was started in another folder does not
+    have this one on its workers' path; where the package is installed on all
+    machines this changes nothing."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, *rest) -> DataFrame:
+        environment = spark.sparkContext.environment
+        paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if _ROOT not in paths:
+            environment["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+        return query(spark, *rest)
+    return run

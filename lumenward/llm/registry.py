@@ -7,6 +7,7 @@ from lumenward.llm import (
     op1_itq_dedup, op2_mixing, op3_byte_bpe, op4_lm_scoring, op5_minhash, op6_url_filter, op7_pu_quality,
     op8_quality_rules, op9_secret_scan, op10_chat_format,
 )
+from lumenward.llm.common import with_package
 
 _MODULES = {
     "op1_itq_dedup": op1_itq_dedup,
@@ -21,5 +22,6 @@ _MODULES = {
     "op10_chat_format": op10_chat_format,
 }
 
-QUERIES = {**{name: module.query for name, module in _MODULES.items()}, "pipeline": corpus_pipeline.run}
+QUERIES = {name: with_package(query) for name, query in {
+    **{name: module.query for name, module in _MODULES.items()}, "pipeline": corpus_pipeline.run}.items()}
 ORACLE_SQL = {name: module.ORACLE_SQL for name, module in _MODULES.items() if getattr(module, "ORACLE_SQL", None)}

@@ -1,5 +1,9 @@
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 import tiktoken
@@ -87,3 +91,18 @@ def test_registered():
     assert {"pipeline", *(f"op{n}" for n in range(1, 11))} <= {n.split("_")[0] for n in names}
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in entry.oracle_sql()
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """A session started elsewhere, as by a tool that only puts the repository on its own path."""
+    root = str(Path(corpus_pipeline.__file__).parent)
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__
+print("rows", __spark_entry__.queries()["op8_quality_rules"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 200" in said.stdout, said.stderr[-500:]
