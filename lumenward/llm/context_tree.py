@@ -268,14 +268,17 @@ def _home(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((keys * _U64(0x9E3779B97F4A7C15)) >> _U64(64 - bits)).astype(np.intp)
 
 
-def train(texts: DataFrame, scratch: Scratch, depth: int = DEPTH, share: int = CONTEXT_SHARE,
-          text: str = "text") -> ContextTree:
+def train(texts: DataFrame, depth: int = DEPTH, share: int = CONTEXT_SHARE, text: str = "text") -> ContextTree:
     """Count all training texts and weigh the tree.
 
     The grams of full depth are summed over the corpus; those of a shorter
     context are sums of these.  A context's bytes, at most 256, are put together
     by it, and only the contexts frequent enough come to the driver."""
-    rows = texts.selectExpr(f"coalesce(cast(`{text}` AS string), '') AS text")
+    with Scratch(texts.sparkSession) as inner:
+        return _train(texts.selectExpr(f"coalesce(cast(`{text}` AS string), '') AS text"), inner, depth, share)
+
+
+def _train(rows: DataFrame, scratch: Scratch, depth: int, share: int) -> ContextTree:
     grams = scratch.table(
         rows.mapInArrow(_counted(depth), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     contexts, counts, least = [None] * (depth + 1), [None] * (depth + 1), None

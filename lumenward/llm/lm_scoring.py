@@ -82,7 +82,7 @@ def scores(docs: DataFrame, scratch: Scratch, training: str = "crc32(cast(doc_id
     sums = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = (sums.n or 0) + n_docs, sums.v + (n_docs > 0)
     common = frequent_words(vocabulary)
-    tree = train(lessons, scratch)
+    tree = train(lessons)
     shared = scratch.spark.sparkContext.broadcast((common, tree))
     end_gain, end_known = float(np.log10(n_docs + 1.0)), int(n_docs > 0)
 

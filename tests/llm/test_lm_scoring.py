@@ -102,9 +102,9 @@ def _texts(n, seed=13):
 
 @pytest.mark.parametrize("share", [20, 10 ** 6])
 @pytest.mark.parametrize("depth", [1, 4])
-def test_tree_against_recursion(spark, scratch, share, depth):
+def test_tree_against_recursion(spark, share, depth):
     texts = [*_texts(40).values(), "", None]
-    tree = train(spark.createDataFrame([(t,) for t in texts], "text string"), scratch, depth, share)
+    tree = train(spark.createDataFrame([(t,) for t in texts], "text string"), depth, share)
     plain = PlainTree(texts, depth, share)
     for d in range(depth + 1):
         assert {int(c).to_bytes(d, "big") for c in tree.contexts[d]} == {c for c in plain.kept if len(c) == d}
@@ -113,15 +113,15 @@ def test_tree_against_recursion(spark, scratch, share, depth):
     assert tree.score(pa.array(probes), chunk=3) == pytest.approx(tree.score(pa.array(probes)), rel=1e-9)
 
 
-def test_each_distribution_sums_to_one(spark, scratch):
-    tree = train(spark.createDataFrame([(t,) for t in _texts(60).values()], "text string"), scratch, 3, 100)
+def test_each_distribution_sums_to_one(spark):
+    tree = train(spark.createDataFrame([(t,) for t in _texts(60).values()], "text string"), 3, 100)
     assert np.allclose((10.0 ** tree.log10.astype(float)).sum(axis=1), 1, atol=1e-4)
     x = np.array([0.5, 1, 1.5, 10, 1e3, 1e8])
     assert np.allclose(log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12)
 
 
-def test_no_training_text(spark, scratch):
-    tree = train(spark.createDataFrame([], "text string"), scratch)
+def test_no_training_text(spark):
+    tree = train(spark.createDataFrame([], "text string"))
     assert tree.score(pa.array(["", "ab"])) == pytest.approx([-8 * math.log10(2), -24 * math.log10(2)], rel=1e-5)
     assert isinstance(tree, ContextTree)
 
