@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Intermediate tables are mostly texts, written once and read once or twice.
+COMPRESSION = "zstd"
+
+
 def check_shared_folder(spark: SparkSession) -> None:
     """Refuse a cluster session without a folder for intermediate tables, or with a
     folder of one machine."""
@@ -44,7 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     instead of a re-run, and each reader takes only the columns it needs."""
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", COMPRESSION).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,7 +77,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Like :func:`materialize`, the table being one of these."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("compression", COMPRESSION).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
