@@ -24,7 +24,7 @@ from lumenward.plans.job import run as run_job
 from lumenward.plans.stream import StreamReport, process_stream, report_lines
 from lumenward.sources.jsonl import POSITION, read_jsonl, read_jsonl_tagged, read_jsonl_with_rejects
 from lumenward.sources.tables import as_raw_messages
-from lumenward.storage import new_table_path
+from lumenward.storage import materialize, new_table_path
 from lumenward.streaming.alerts import (
     alert_stream, digest_count_stream, digest_item_stream, process_message_stream, read_message_stream,
     refused_message_stream, to_table, undated_stream,
@@ -206,7 +206,8 @@ def digest_item_lines(spark, sf_dir):
 
 
 def digest(spark, sf_dir):
-    return process_stream(document_messages(spark, sf_dir), DOCUMENT_KEY, "weekly", strict=False).summary
+    findings = materialize(batched_findings(_document_results(spark, sf_dir), DOCUMENT_KEY), "findings")
+    return digest_of_findings(findings, [*DOCUMENT_KEY, "rank"], "weekly")
 
 
 def digest_text(spark, sf_dir):
