@@ -84,12 +84,15 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
 def train(labelled: DataFrame) -> tuple[list[float], float]:
     """The weights of the slots and the bias, for the number of grams in each slot, from (url, label)."""
     parts = split_url("url")
-    count = f"transform(sequence(0, {SLOTS - 1}), s -> cast(size(filter(slots, x -> x = s)) AS double))"
+    count = f"transform(sequence(0, {SLOTS - 1}), s -> cast(size(slots) - size(array_remove(slots, s)) AS double))"
     rows = (
         labelled.selectExpr("label", f"{parts['host']} AS host", f"{parts['path']} AS path")
         .selectExpr("label", f"{gram_slots('host', 'path')} AS slots").selectExpr("label", f"{count} AS counts")
-        .coalesce(1).select("label", array_to_vector("counts").alias("features")))
-    model = LogisticRegression(regParam=0.01, standardization=False, maxIter=100).fit(rows)
+        .coalesce(1).select("label", array_to_vector("counts").alias("features")).persist())
+    try:  # the learner reads its small table more than once
+        model = LogisticRegression(regParam=0.01, standardization=False, maxIter=100).fit(rows)
+    finally:
+        rows.unpersist()
     return [float(x) for x in model.coefficients.toArray()], float(model.intercept)
 
 
