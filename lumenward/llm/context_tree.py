@@ -9,13 +9,12 @@ and half to the product of what lies deeper.  With counts at hand all of that ha
 closed forms, so training is counting: one pass gathers how often each byte
 follows each context in the training texts.
 
-The tree is kept in bounds by frequency: a context is a node of its own if it is
-at least one in :data:`CONTEXT_SHARE` of all places.  At most that many contexts
-of one depth can be, whatever the size of the corpus, which bounds what the
-driver and the workers hold (a kept context takes about 5 KB on the driver while the
-tree is weighed, and 1 KB on a worker); a node's rarer contexts are pooled in one leaf, so no
-count is dropped.  The prediction after a context follows its path as far as
-counts reach.
+:mod:`lumenward.llm.context_table` does this for a corpus, with a node for every
+context seen twice.  :class:`ContextTree` here is the same tree held in memory, for
+small ones: a context is a node of its own if it is at least one in
+:data:`CONTEXT_SHARE` of all places, a kept one taking about 5 KB while the tree is
+weighed.  A node's rarer contexts are pooled in one leaf, so no count is dropped.
+The prediction after a context follows its path as far as counts reach.
 
 A text is its bytes, A-Z in lower case, and an end mark, the byte FF, which also
 stands before the text; FF occurs in no UTF-8 text.  Null and empty texts are an
@@ -76,7 +75,8 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _counted(depth: int, most: int = 2_000_000):
+def _counted(depth: int, most: int = 2_000_000, tagged: bool = False):
+    """Counts of grams; tagged ones end in a bit that says whether their text is ``held_out``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def record(part):
             return pa.RecordBatch.from_arrays(
@@ -86,7 +86,11 @@ def _counted(depth: int, most: int = 2_000_000):
         for part in slices(batches, "text"):
             data, bounds = text_buffer(part.column(0))
             padded, wanted = _padded(LOWER[data], bounds, depth)
-            keys, counts = np.unique(_grams(padded, depth)[wanted], return_counts=True)
+            grams = _grams(padded, depth)
+            if tagged:
+                held_out = part.column(1).to_numpy(zero_copy_only=False).astype(_U64)
+                grams = (grams << _U64(1)) | np.repeat(held_out, np.diff(bounds) + depth)
+            keys, counts = np.unique(grams[wanted], return_counts=True)
             parts.append((keys, counts.astype(np.int64)))
             held += len(keys)
             if held > most:
