@@ -7,7 +7,9 @@ Two kinds of findings come out of one pass over the texts:
 * the *token-efficiency test*: a run of key characters that a public vocabulary
   needs unusually many tokens for is no word of any language.  Runs that are a
   digest of a known length, a UUID, a number or an identifier made of words are
-  left alone by the test.
+  left alone by the test.  What lies between plain words of a run, and each part
+  between separators, is tested too, so words do not hide a key beside them; a
+  long part is taken for a word only if it is as few tokens as words are.
 
 Spans are (kind, start, end) in code points, the end exclusive.
 
@@ -36,11 +38,20 @@ _HEX = re.compile(rf"[0-9a-f]{{{MIN_HEX},}}")
 #: Words an assignment needs one of; looking for them first is cheap.
 _NAMES = re.compile(r"passw|secret|token|api_?key", re.A | re.I)
 
-#: The token test looks at runs of this length or more with a digit and a letter in them...
+#: The token test looks at runs, and stretches of them, of this length or more with a letter in them...
 MIN_RANDOM = 20
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}")
 #: ...which the vocabulary needs a token for fewer characters than this.
 MAX_CHARS_PER_TOKEN = 2.0
+#: Letters with a capital among them, as in names of classes, take more tokens than words do:
+#: for these the limit is this share of it.
+CAPITALS_SHARE = 0.9
+#: Letters that repeat with a period of at most this are not random.
+MAX_PERIOD = 16
+#: A word that divides a run: letters only, this many or more, and this many to a token.
+MIN_PLAIN, MIN_PLAIN_PER_TOKEN = 4, 3.0
+_SEPARATORS = "_/=+-"
+_PART = re.compile(rf"[^{_SEPARATORS}]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Lengths of the hexadecimal forms of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 _DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
@@ -73,14 +84,65 @@ def is_known(run: str) -> bool:
     return bool(_UUID.fullmatch(run) or _IDENTIFIER.fullmatch(run)) or not any(c.isalpha() for c in run)
 
 
+def _has_digit(run: str) -> bool:
+    return any(c.isdigit() for c in run)
+
+
+def _is_identifier(run: str) -> bool:
+    """Words between separators, which may also stand around them if there is no digit."""
+    return bool(_IDENTIFIER.fullmatch(run if _has_digit(run) else run.strip(_SEPARATORS)))
+
+
+def _is_random(run: str, count_tokens: Callable[[str], int], limit: float) -> bool:
+    if not _has_digit(run):
+        if any(run[period:] == run[:-period] for period in range(1, min(MAX_PERIOD, len(run) // 3) + 1)):
+            return False
+        if not run.islower():
+            limit *= CAPITALS_SHARE
+    return len(run) < limit * count_tokens(run)
+
+
+def _stretches(run: str, count_tokens: Callable[[str], int]) -> Iterator[tuple[int, int]]:
+    """What lies between plain words, without the separator next to each."""
+    start, held = 0, False
+    for m in _PART.finditer(run):
+        part = m[0]
+        if len(part) >= MIN_PLAIN and part.isalpha() and len(part) >= MIN_PLAIN_PER_TOKEN * count_tokens(part):
+            if held:
+                yield start, m.start() - 1
+            start, held = m.end() + 1, False
+        else:
+            held = True
+    if held:
+        yield start, len(run)
+
+
+def _random_in(run: str, count_tokens: Callable[[str], int], limit: float) -> Iterator[tuple[int, int]]:
+    """The run if it is random as a whole, else the stretches of it that are, else their parts."""
+    if not _is_identifier(run):
+        if is_known(run):
+            return
+        if _is_random(run, count_tokens, limit):
+            yield 0, len(run)
+            return
+    for start, end in _stretches(run, count_tokens):
+        stretch = run[start:end]
+        if end - start < MIN_RANDOM:
+            continue
+        if not _is_identifier(stretch) and not is_known(stretch) and _is_random(stretch, count_tokens, limit):
+            yield start, end
+            continue
+        for m in _PART.finditer(stretch):
+            part = m[0]
+            if len(part) >= MIN_RANDOM and (part.isalpha() or not is_known(part)) and _is_random(part, count_tokens, limit):
+                yield start + m.start(), start + m.end()
+
+
 def random_spans(text: str, count_tokens: Callable[[str], int], limit: float = MAX_CHARS_PER_TOKEN) -> list[Span]:
-    """Runs with few characters to a token."""
-    found = []
-    for m in _RUN.finditer(text):
-        run = m[0]
-        if any(c.isdigit() for c in run) and not is_known(run) and len(run) < limit * count_tokens(run):
-            found.append((RANDOM, m.start(), m.end()))
-    return found
+    """Runs, or stretches of them, with few characters to a token."""
+    return [
+        (RANDOM, m.start() + start, m.start() + end) for m in _RUN.finditer(text)
+        for start, end in _random_in(m[0], count_tokens, limit)]
 
 
 def joined(spans) -> str:
