@@ -34,6 +34,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +49,13 @@ SIZE = 2048
 END = 1
 #: Smaller gaps are left as padding rather than filled with cuttings.
 LEAST_GAP = 64
+#: Words that a worker remembers, and their longest; a full memory starts anew.
+WORD_MEMORY = 500_000
+MEMORY_CHARS = 64
 #: Characters that are encoded together, and pieces in a batch.
 STRETCH = 1 << 18
 BATCH_PIECES = 512
 
-_BEYOND_LATIN = re.compile("[^\x00-\u036f]").search
-
 
 # ---- the plan, from the histogram alone ----
 
@@ -195,12 +197,29 @@ def _in_powers(placement: Placement, total: int, free: int) -> Iterator[Placemen
 
 # ---- encoding ----
 
+def _ranges(kind: str) -> str:
+    """Body of a character class of the Latin blocks' letters or numbers."""
+    own = [c for c in range(_LATIN) if unicodedata.category(chr(c)).startswith(kind)]
+    return re.escape("".join(map(chr, own)))
+
+
+def _words_of(text: str) -> list[str]:
+    """What the vocabulary's own pattern cuts normalised Latin text into."""
+    return _WORD.findall(text)
+
+
+_LATIN = 0x180
+_BEYOND_LATIN = re.compile(f"[^\\x00-{chr(_LATIN - 1)}]").search
+_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_ranges('L')}]+|[{_ranges('N')}]|[^\t-\r \x85\xa0{_ranges('L')}{_ranges('N')}]+")
+
+
 class Encoder:
     """Ids of whole texts.
 
     The vocabulary drops white space and no token spans it, so a long text's ids
     are those of its stretches one after the other.  Text of the Latin blocks is
-    normalised (NFC, lower case) here, which is faster and gives the same."""
+    normalised (NFC, lower case) and cut into words here, whose ids are remembered;
+    that gives the same and is faster."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -209,16 +228,29 @@ class Encoder:
         self.normalised.normalizer = normalizers.Sequence([])
         for tokenizer in (self.whole, self.normalised):
             tokenizer.encode_special_tokens = True
+        self._words: dict[str, list[int]] = {}
 
     def _encode(self, tokenizer, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
+    def _latin(self, texts: list[str]) -> Iterator[np.ndarray]:
+        words = [_words_of(unicodedata.normalize("NFC", text).lower()) for text in texts]
+        known = self._words
+        if len(known) >= WORD_MEMORY:
+            known.clear()
+        new = [word for word in set(chain.from_iterable(words)) if word not in known]
+        known.update(zip(new, self._encode(self.normalised, new)))
+        for own in words:
+            yield np.fromiter(chain.from_iterable(map(known.__getitem__, own)), np.int32)
+        for word in new:
+            if len(word) > MEMORY_CHARS:
+                del known[word]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         latin = [not _BEYOND_LATIN(text) for text in texts]
-        fast = iter(self._encode(self.normalised, [
-            unicodedata.normalize("NFC", t).lower() for t, plain in zip(texts, latin) if plain]))
+        fast = iter(list(self._latin([t for t, plain in zip(texts, latin) if plain])))
         slow = iter(self._encode(self.whole, [t for t, plain in zip(texts, latin) if not plain]))
-        return [next(fast if plain else slow) for plain in latin]
+        return [next(fast) if plain else np.array(next(slow), np.int32) for plain in latin]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """One array for each text; only a few stretches are encoded at a time."""
@@ -227,11 +259,11 @@ class Encoder:
             if len(text) <= STRETCH:
                 held.append(text)
             if held and (len(text) > STRETCH or sum(map(len, held)) > STRETCH):
-                yield from (np.array(ids, np.int32) for ids in self.encode_all(held))
+                yield from self.encode_all(held)
                 held = []
             if len(text) > STRETCH:
-                yield np.concatenate([np.array(self.encode_all([part])[0], np.int32) for part in _stretches(text)])
-        yield from (np.array(ids, np.int32) for ids in self.encode_all(held))
+                yield np.concatenate([self.encode_all([part])[0] for part in _stretches(text)])
+        yield from self.encode_all(held)
 
 
 def _stretches(text: str) -> Iterator[str]:

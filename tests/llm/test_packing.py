@@ -112,6 +112,7 @@ def test_ids_of_texts(monkeypatch):
     texts = [t or "" for t in TEXTS]
     texts += ["".join(rng.choice([" ", "\n", "", "\t", "　"]) + rng.choice(odd) for _ in range(12)) for _ in range(400)]
     texts += ["".join(rng.choice([chr(rng.randrange(0x370)), " ", "a"]) for _ in range(40)) for _ in range(400)]
+    texts += [f"a{chr(c)}b {chr(c)} {chr(c)}'s 1{chr(c)}1" for c in range(0x370)]
     want = [_ids(t) for t in texts]
     for stretch in (1 << 18, 7):
         monkeypatch.setattr(packing, "STRETCH", stretch)
