@@ -60,6 +60,22 @@ def two_places(value: str) -> str:
     return f"format_string('%.2f', {value})"
 
 
+def number_text(value: str) -> str:
+    """A double that is not zero as ECMAScript writes it: the fewest digits that give it back, as
+    an integer below 10^21, with an exponent from there on and below 10^-6."""
+    shape = "concat('%.', p, 'e')"
+    shortest = f"get(filter(transform(sequence(0, 16), p -> format_string({shape}, abs({value}))), s -> cast(s AS double) = abs({value})), 0)"
+    # n is the place of the decimal point, counted from the first of the digits d.
+    plain = ("CASE WHEN n > 21 OR n < -5 THEN concat(left(d, 1), if(length(d) > 1, concat('.', substring(d, 2)), ''),"
+             " 'e', if(n > 0, '+', '-'), abs(n - 1))"
+             " WHEN n >= length(d) THEN rpad(d, n, '0') WHEN n > 0 THEN concat(left(d, n), '.', substring(d, n + 1))"
+             " ELSE concat('0.', repeat('0', -n), d) END")
+    point = let("n", "cast(split_part(s, 'e', 2) AS int) + 1", plain)
+    digits = let("d", "replace(split_part(s, 'e', 1), '.', '')", point)
+    finite = let("s", shortest, digits)
+    return (f"concat(if({value} < 0D, '-', ''), if(abs({value}) = double('Infinity'), 'Infinity', {finite}))")
+
+
 def lookup(pairs, key: str) -> str:
     """Value of ``key`` in a small fixed table, null where it has none."""
     table = ", ".join(f"{quote(k)}, {quote(v)}" for k, v in pairs)

@@ -1,17 +1,19 @@
 """Messages from files of one JSON value per line.
 
-A line is a message whatever it holds: the fields of an object, or no field at
-all for any other JSON value.  A field that is null, false, zero or an empty
-string counts as missing; other numbers and booleans are their text, objects and
-arrays their JSON.  A blank line is none.  A line that is not JSON, or that has a
-key twice, is bad.
+Lines end at a line feed and nowhere else, and white space of any kind around
+them, a byte order mark included, doesn't count.  A line is a message whatever it
+holds: the fields of an object, or no field at all for any other JSON value.  Of a
+key that occurs twice the last one counts.  A field that is null, false, zero or an
+empty string counts as missing; other booleans are their text, numbers are doubles
+in their shortest form, objects and arrays their JSON.  A blank line is none.  A
+line that is not JSON is bad.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenward.functions.text import is_blank, let, quote
+from lumenward.functions.text import WHITESPACE, is_blank, let, number_text, quote, trim_all
 from lumenward.schema import RAW_FIELDS
 
 POSITION = "input_position"
@@ -22,6 +24,15 @@ _PLACE = ("struct(_metadata.file_path AS file, _metadata.file_block_start AS blo
           f" monotonically_increasing_id() & {(1 << 33) - 1}L AS row) AS {POSITION}")
 
 
+#: The variant parser refuses a key that occurs twice unless told otherwise.
+_REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def trimmed(line: str) -> str:
+    """The line without white space at its ends; most lines have none, and are left alone."""
+    return f"if(concat(left({line}, 1), right({line}, 1)) RLIKE {quote(f'[{WHITESPACE}]')}, {trim_all(line)}, {line})"
+
+
 def parsed(line: str) -> str:
     """The line as a variant, null if it is not exactly one JSON value.
 
@@ -40,12 +51,16 @@ def field_text(value: str, name: str) -> str:
     kind = "schema_of_variant(x)"
     body = (f"CASE WHEN x IS NULL OR is_variant_null(x) THEN NULL WHEN {kind} = 'BOOLEAN' THEN nullif({text}, 'false')"
             f" WHEN {kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {kind} LIKE 'DECIMAL%'"
-            f" THEN if(cast({text} AS double) = 0D, NULL, {text}) ELSE nullif({text}, '') END")
+            f" THEN {let('d', f'cast({text} AS double)', f'if(d = 0D, NULL, {number_text(chr(100))})')}"
+            f" ELSE nullif({text}, '') END")
     return let("x", found, body)
 
 
 def _values(lines: DataFrame) -> DataFrame:
-    return lines.where(f"NOT {is_blank(LINE)}").selectExpr("*", f"{parsed(LINE)} AS {_VALUE}")
+    lines.sparkSession.conf.set(_REPEATED_KEYS, "true")
+    others = [f"`{c}`" for c in lines.columns]
+    return lines.where(f"NOT {is_blank(LINE)}").selectExpr("*", f"{trimmed(LINE)} AS _trimmed").selectExpr(
+        *others, f"{parsed('_trimmed')} AS {_VALUE}")
 
 
 def _fields() -> list[str]:
@@ -66,7 +81,7 @@ def bad_lines(lines: DataFrame) -> DataFrame:
 
 def placed_lines(spark: SparkSession, path) -> DataFrame:
     """All lines with their place in the input."""
-    return spark.read.text(path).selectExpr(_PLACE, LINE)
+    return spark.read.text(path, lineSep="\n").selectExpr(_PLACE, LINE)
 
 
 def read_jsonl(spark: SparkSession, path) -> DataFrame:

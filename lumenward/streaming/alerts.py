@@ -26,7 +26,7 @@ def read_line_stream(spark: SparkSession, path: str, max_files: int | None = Non
     reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(path)
+    return reader.text(path, lineSep="\n")
 
 
 def read_message_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:

@@ -18,14 +18,25 @@ LINES = [
     ('{"text": false, "content": "kill yourself"}', "kill yourself"), ('{"text": 0, "content": "a"}', "a"),
     ('{"text": -0.0, "content": "a"}', "a"), ('{"text": "0", "content": "a"}', "0"), ('{"text": 7}', "7"),
     ('{"text": true}', "true"), ('{"text": null}', None or ""), ('{"text": ""}', ""), ('{"text": [1, "x"]}', '[1,"x"]'),
+    ("\ufeff{\"text\": \"marked\"}", "marked"), ('\u00a0{"text": "kept"}\u2003\u00a0\u2028', "kept"),
+    ('{"text":"one\\rmessage"}\r', "one\rmessage"), ('{"text":\r"carriage return"\r}', "carriage return"),
+    ('{"text":"a","id":1,"text":"the last"}', "the last"), ('{"text":"a","text":null,"content":"c"}', "c"),
     ("[]", ""), ("[{}, {}]", ""), ("5", ""), ("null", ""), ('"text"', ""), ('  {"text": "trimmed"}\t', "trimmed"),
 ]
-BAD = ["{", '{"a":1} x', '{"a":1},{"b":2}', "[1", "1]", '1} {"a":2', "nope", '{"text":"a","text":"b"}']
+BAD = ["{", '{"a":1} x', '{"a":1},{"b":2}', "[1", "1]", '1} {"a":2', "nope", '{"text":"a"}\ufeff{"text":"b"}', "{'text':'a'}"]
+# A number and its text.
+NUMBERS = [
+    ("1e3", "1000"), ("1.50", "1.5"), ("-7", "-7"), ("12.0", "12"), ("0.1", "0.1"), ("1e-6", "0.000001"), ("1E-7", "1e-7"), ("-1.25e-9", "-1.25e-9"),
+    ("1e20", "100000000000000000000"), ("1e21", "1e+21"), ("123456789012345678901234567890", "1.2345678901234568e+29"),
+    ("12345678901234567890", "12345678901234567000"), ("9007199254740993", "9007199254740992"), ("5e-324", "5e-324"),
+    ("1.7976931348623157e308", "1.7976931348623157e+308"), ("123456.789", "123456.789"), ("0.30000000000000004", "0.30000000000000004"),
+    ("5.684341886080802e-14", "5.684341886080802e-14"), ("2e-3", "0.002"), ("1.5e300", "1.5e+300"), ("99999999999999990000", "99999999999999980000"),
+]
 
 
 def _write(tmp_path, lines):
     path = tmp_path / "in.jsonl"
-    path.write_text("\n".join(lines) + "\n\n  \n")
+    path.write_bytes(("\n".join(lines) + "\n\n  \n\ufeff\n\u00a0\r\n").encode())
     return str(path)
 
 
@@ -37,6 +48,12 @@ def test_each_line_is_one_message(spark, tmp_path):
     assert [r.batch[0].category for r in hits] == ["harassment"]
 
 
+def test_numbers_are_doubles_in_their_shortest_form(spark, tmp_path):
+    path = _write(tmp_path, [f'{{"id": {i + 1}, "text": {n}}}' for i, (n, _) in enumerate(NUMBERS)])
+    got = {r.id: r.text for r in read_jsonl(spark, path).select("id", "text").collect()}
+    assert got == {str(i + 1): t for i, (_, t) in enumerate(NUMBERS)}
+
+
 def test_bad_lines_have_a_place(spark, tmp_path):
     lines = [x for bad in BAD for x in ('{"text": "good"}', bad)]
     path = _write(tmp_path, lines)

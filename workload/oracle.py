@@ -83,7 +83,7 @@ _RAW_CONVERSATIONS = f"""raw AS (
     ['mutual', 'not-mutual', 'unknown'][conv_id % 3 + 1] AS relationship,
     'chat' AS platform, CASE WHEN (conv_id * 3 + turn) % 13 = 0 THEN 'scraping' ELSE 'family-link' END AS source,
     CASE WHEN {_FORM} NOT IN (0, 1, 6)
-      THEN TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id * 90 + turn AS BIGINT)) END AS ts,
+      THEN TIMESTAMP '2024-01-01' + to_minutes(CAST((conv_id * 90 + turn) % 720000 AS BIGINT)) END AS ts,
     CASE {_FORM} WHEN 0 THEN 'missing' WHEN 1 THEN 'unreadable' WHEN 6 THEN 'future' END AS undated,
     CASE WHEN {_FORM} = 6 THEN TIMESTAMP '2999-01-01' ELSE ts END AS given_ts
   FROM conversations)"""
@@ -338,14 +338,16 @@ def _span_excerpt(context: int, most: int) -> str:
 
 
 _RAW_PHRASES = f"""raw AS (
-  SELECT doc_id, [doc_id] AS key, NULL AS id, coalesce({_list((*PHRASES, *SHORT_TEXTS))}[doc_id % {len(PHRASES) + len(SHORT_TEXTS)} + 1], '')
-    AS text, 'incoming' AS direction, 'unknown' AS relationship, NULL AS platform, NULL AS source, '' AS ts
+  SELECT doc_id, [doc_id] AS key, NULL AS id, coalesce({_list((*PHRASES, *SHORT_TEXTS))}[doc_id % {len(PHRASES) + len(SHORT_TEXTS)} + 1]
+    || ' ' || CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '\\p{{L}}+', '', 'g')
+      ELSE regexp_replace(text, '[^ \\n]+', ' ', 'g') END, '') AS text, 'incoming' AS direction, 'unknown' AS relationship, NULL AS platform, NULL AS source, '' AS ts
   FROM documents)"""
 
 # What each odd line comes to: whether it is bad, its id, whether it holds the text, its platform.
 _ODD = """odd(form, bad, has_id, has_text) AS (VALUES (0, false, 0, 1), (1, false, 1, 1), (2, false, 1, 1), (3, false, 1, 1),
   (4, false, 0, 0), (5, false, 0, 0), (6, false, 0, 0), (7, false, 0, 0), (8, false, 1, 2), (9, false, 2, 1),
-  (10, true, 0, 0), (11, true, 0, 0), (12, true, 0, 0), (13, true, 0, 0))"""
+  (10, true, 0, 0), (11, true, 0, 0), (12, true, 0, 0), (13, true, 0, 0), (16, false, 1, 1), (17, false, 1, 1),
+  (18, false, 1, 1), (19, false, 1, 1), (20, false, 3, 1), (21, true, 0, 0))"""
 
 _STREAM_ALERTS = "(tier_rank - 1)::INTEGER AS place, alert FROM texts WHERE tier = 'immediate'"
 
@@ -426,16 +428,17 @@ ORACLE_SQL = {
           SELECT doc_id, regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g') AS text FROM msg)
         SELECT doc_id, md5(text) AS text_md5, least(length(text), 5000)::INTEGER AS sent_chars FROM sent WHERE text <> ''""",
     "jsonl_lines": f"""WITH {_RAW_CONVERSATIONS}, {_ODD}, lines AS (
-          SELECT o.*, text, conv_id * 10 + turn AS n FROM raw JOIN odd o ON o.form = (conv_id * 10 + turn) % 16)
-        SELECT bad, CASE has_id WHEN 1 THEN n::VARCHAR WHEN 2 THEN n || '.5' END AS id,
+          SELECT o.*, text, conv_id * 10 + turn AS n FROM raw JOIN odd o ON o.form = (conv_id * 10 + turn) % 22)
+        SELECT bad, CASE has_id WHEN 1 THEN n::VARCHAR WHEN 2 THEN n || '.5' WHEN 3 THEN (n * 100 + 50)::VARCHAR END AS id,
           md5(CASE has_text WHEN 1 THEN text WHEN 2 THEN '0' ELSE '' END) AS text_md5,
           NULL::VARCHAR AS platform, NULL::VARCHAR AS direction, count(*) AS lines
         FROM lines GROUP BY ALL""",
     "jsonl_rejects": f"""WITH {_RAW_CONVERSATIONS}, kinds AS (
-          SELECT (conv_id * 10 + turn) % 16 AS form, conv_id * 10 + turn AS n, to_json(text)::VARCHAR AS t FROM raw),
+          SELECT (conv_id * 10 + turn) % 22 AS form, conv_id * 10 + turn AS n, to_json(text)::VARCHAR AS t FROM raw),
         bad AS (SELECT CASE form WHEN 10 THEN '{{"id":"' || n || '","text":' || t
             WHEN 11 THEN '{{"id":"' || n || '","text":' || t || '}} x'
-            WHEN 12 THEN '{{"id":"' || n || '","text":' || t || '}},{{"id":"y"}}' WHEN 13 THEN 'not json' END AS line FROM kinds)
+            WHEN 12 THEN '{{"id":"' || n || '","text":' || t || '}},{{"id":"y"}}' WHEN 13 THEN 'not json'
+            WHEN 21 THEN '{{"id":"' || n || '"}},{{"text":' || t || '}}' || chr(65279) END AS line FROM kinds)
         SELECT line, count(*) AS lines, count(*) AS places FROM bad WHERE line IS NOT NULL GROUP BY 1""",
     "toxicity_precision_recall": f"""WITH {_RAW_PLAIN}, {_MESSAGES}, {_LOCAL}, {_GATED}, {_FINDINGS},
         flagged AS (SELECT DISTINCT key[1] AS doc_id FROM findings WHERE category = 'harassment'),

@@ -297,8 +297,8 @@ def redacted_spans(spark, sf_dir):
 
 
 def phrase_language(spark, sf_dir):
-    """Languages of short messages, among them blank ones, some without letters, and nine scripts."""
-    raw = as_raw_messages(read_table(spark, sf_dir, "documents").select("doc_id"), PHRASE_FIELDS, DOCUMENT_KEY)
+    """Languages of phrases of all kinds in front of whole texts, of texts without letters, and of blanks."""
+    raw = as_raw_messages(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PHRASE_FIELDS, DOCUMENT_KEY)
     return with_language(normalize_messages(raw, DOCUMENT_KEY)).selectExpr(
         "doc_id", "language", "languageName", "languageConfidence")
 
@@ -323,6 +323,11 @@ _ODD_LINES = (
     """concat('{"id":"', n, '","text":"0"}')""", """concat('{"id":', n, '.5,"text":', t, '}')""",
     """concat('{"id":"', n, '","text":', t)""", """concat('{"id":"', n, '","text":', t, '} x')""",
     """concat('{"id":"', n, '","text":', t, '},{"id":"y"}')""", "'not json'", "' '", "''",
+    # a byte order mark in front, white space of other kinds behind, carriage returns between
+    # tokens, a key twice, numbers in other forms
+    """concat('\\uFEFF{"id":"', n, '","text":', t, '}')""", """concat('{"id":"', n, '","text":', t, '}\\u00A0\\u2003')""",
+    """concat('{"id":\\r"', n, '",\\r"text":', t, '}\\r')""", """concat('{"id":"x","text":"kill yourself","id":"', n, '","text":', t, '}')""",
+    """concat('{"id":', n, '.50e2,"text":', t, '}')""", """concat('{"id":"', n, '"},{"text":', t, '}\\uFEFF')""",
 )
 
 

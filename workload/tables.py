@@ -25,10 +25,14 @@ def _dressed(key: str) -> str:
     return f"concat({front}, ' ', text, '. ', {back})"
 
 
+# Minutes from the beginning of 2024 on; all messages lie in the past, whatever their number.
+MINUTE = "(conv_id * 90 + turn) % 720000"
+
+
 def _conversation_time() -> str:
     """The message's time in one of the forms that turn up, or none."""
-    at = "timestampadd(MINUTE, conv_id * 90 + turn, TIMESTAMP_NTZ'2024-01-01 00:00:00')"
-    seconds = "(1704067200 + (conv_id * 90 + turn) * 60)"
+    at = f"timestampadd(MINUTE, {MINUTE}, TIMESTAMP_NTZ'2024-01-01 00:00:00')"
+    seconds = f"(1704067200 + ({MINUTE}) * 60)"
     text = """date_format({}, "yyyy-MM-dd'T'HH:mm:ss")"""
     ahead = text.format(f"timestampadd(HOUR, 2, {at})")
     forms = ("NULL", "'yesterday'", f"cast({seconds} AS string)", f"cast({seconds} * 1000 AS string)",
@@ -58,8 +62,11 @@ CONVERSATION_FIELDS = {
     "source": "if((conv_id * 3 + turn) % 13 = 0, 'scraping', 'family-link')",
     "timestamp": _conversation_time(),
 }
-# A short message for each document, by its number.
-PHRASE_FIELDS = {"text": _pick((*PHRASES, *SHORT_TEXTS), f"doc_id % {len(PHRASES) + len(SHORT_TEXTS)}")}
+# A short message of each kind before a whole text, the text without its letters, or its blanks.
+_KIND = _pick((*PHRASES, *SHORT_TEXTS), f"doc_id % {len(PHRASES) + len(SHORT_TEXTS)}")
+PHRASE_FIELDS = {
+    "text": f"concat({_KIND}, ' ', CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '\\\\p{{L}}+', '')"
+            " ELSE regexp_replace(text, '[^ \\\\n]+', ' ') END)"}
 
 DOCUMENT_KEY = ("doc_id",)
 CONVERSATION_KEY = ("conv_id", "turn")
