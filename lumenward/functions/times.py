@@ -45,3 +45,21 @@ def day_of(time: str, zone: str = UTC) -> str:
     """The calendar day of an instant in a zone, whatever the session's zone is."""
     utc = f"timestampadd(MICROSECOND, unix_micros({time}), TIMESTAMP_NTZ'1970-01-01 00:00:00')"
     return f"to_date(convert_timezone('UTC', {quote(zone)}, {utc}))"
+
+
+DAILY, WEEKLY = "daily", "weekly"
+_PERIOD_DAYS = {DAILY: 1, WEEKLY: 7}
+
+
+def period_start(time: str, zone: str = UTC, period: str = DAILY) -> str:
+    """The first day of the day or the week, beginning on Monday, that an instant lies in."""
+    days = _PERIOD_DAYS[period]
+    day = day_of(time, zone)
+    return day if days == 1 else f"date_sub({day}, weekday({day}))"
+
+
+def period_end(start: str, zone: str = UTC, period: str = DAILY) -> str:
+    """The instant at which the period beginning on a day is over in a zone."""
+    midnight = f"cast(date_add({start}, {_PERIOD_DAYS[period]}) AS timestamp_ntz)"
+    utc = f"convert_timezone({quote(zone)}, 'UTC', {midnight})"
+    return f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {utc}))"

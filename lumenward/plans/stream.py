@@ -48,20 +48,15 @@ class StreamReport:
         self.close()
 
 
-def report_on(results: DataFrame, order_by, period: str = "daily") -> StreamReport:
-    """Alerts, digest and counts of results that are already a table."""
-    return StreamReport(results, order_by, period)
-
-
 def process_stream(raw: DataFrame, order_by, period: str = "daily", strict: bool = True,
-                   detector: str | None = None, candidates: DataFrame | None = None) -> StreamReport:
+                   detector: str | None = None, candidates: DataFrame | None = None, keep=()) -> StreamReport:
     """Process all messages once and report on them.
 
     ``order_by`` names the columns that give the messages their order and are
     unique together; rows of a table have none by themselves.  ``period`` is a
     label.  The results are written to the shared folder first, so that the
-    matching runs once for all four outputs."""
-    results = process_messages(raw, tuple(order_by), strict, detector, candidates)
+    matching runs once for all four outputs; ``keep`` names columns that go with them."""
+    results = process_messages(raw, (*order_by, *keep), strict, detector, candidates)
     scratch = Scratch(raw.sparkSession)
     try:
         return StreamReport(scratch.table(results, "results"), order_by, period, scratch)

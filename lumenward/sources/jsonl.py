@@ -79,6 +79,12 @@ def bad_lines(lines: DataFrame) -> DataFrame:
     return _values(lines).where(f"{_VALUE} IS NULL").selectExpr(*others, f"{LINE} AS line")
 
 
+def tagged_lines(lines: DataFrame) -> DataFrame:
+    """Every line once: the line if it is bad, else its fields."""
+    others = [f"`{c}`" for c in lines.columns if c != LINE]
+    return _values(lines).selectExpr(*others, f"if({_VALUE} IS NULL, {LINE}, NULL) AS bad_line", *_fields())
+
+
 def placed_lines(spark: SparkSession, path) -> DataFrame:
     """All lines with their place in the input."""
     return spark.read.text(path, lineSep="\n").selectExpr(_PLACE, LINE)
@@ -93,9 +99,8 @@ def read_jsonl(spark: SparkSession, path) -> DataFrame:
 
 
 def read_jsonl_tagged(spark: SparkSession, path) -> DataFrame:
-    """Every line once: its place, the line if it is bad, else its fields."""
-    return _values(placed_lines(spark, path)).selectExpr(
-        POSITION, f"if({_VALUE} IS NULL, {LINE}, NULL) AS bad_line", *_fields())
+    """Every line of files once: its place, the line if it is bad, else its fields."""
+    return tagged_lines(placed_lines(spark, path))
 
 
 def read_jsonl_with_rejects(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:

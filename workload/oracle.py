@@ -317,14 +317,33 @@ _REPORT = f"""{_digest('DAILY')},
     UNION ALL SELECT 2, key[1], key[2], tier_rank, chr(10) || alert FROM texts WHERE tier = 'immediate'
     UNION ALL SELECT 3, NULL, NULL, line_no, CASE WHEN line_no = 0 THEN chr(10) ELSE '' END || line FROM digest)"""
 
-# The items of one day of Tokyo, numbered anew.
-_DAY_DIGEST = f"""today AS (
-  SELECT item, row_number() OVER (ORDER BY t.key, t.rank) AS no FROM texts t
-  WHERE tier = 'review' AND CAST(given_ts + INTERVAL 9 HOUR AS DATE) = DATE '2024-01-03')
-SELECT no::BIGINT AS line_no, '  ' || no || item AS line FROM today
-UNION ALL SELECT 0::BIGINT, CASE WHEN count(*) = 0 THEN {_q('DAILY' + DIGEST_EMPTY)}
-  ELSE {_q('DAILY' + DIGEST_HEAD[0])} || count(*) || {_q(DIGEST_HEAD[1])} END FROM today
-UNION ALL SELECT count(*) + 1, {_q(DIGEST_FOOT)} FROM today HAVING count(*) > 0"""
+def _digests(items: str, days: str, label: str = "DAILY", day: str = "period") -> str:
+    """A digest for each of ``days``, of ``items`` with (day, item, key, rank)."""
+    return f"""days AS ({days}), items AS ({items}),
+numbered AS (SELECT day, item, row_number() OVER (PARTITION BY day ORDER BY key, rank) AS no FROM items SEMI JOIN days USING (day)),
+sizes AS (SELECT d.day, count(n.no) AS n FROM days d LEFT JOIN numbered n USING (day) GROUP BY 1)
+SELECT day::VARCHAR AS {day}, no::BIGINT AS line_no, '  ' || no || item AS line FROM numbered
+UNION ALL SELECT day::VARCHAR, 0, CASE WHEN n = 0 THEN {_q(label + DIGEST_EMPTY)}
+  ELSE {_q(label + DIGEST_HEAD[0])} || n || {_q(DIGEST_HEAD[1])} END FROM sizes
+UNION ALL SELECT day::VARCHAR, n + 1, {_q(DIGEST_FOOT)} FROM sizes WHERE n > 0"""
+
+
+_TOKYO_DAY = "CAST(ts + INTERVAL 9 HOUR AS DATE)"
+_WEEK = "CAST(date_trunc('week', ts) AS DATE)"
+
+
+def _period_digests(period: str, label: str) -> str:
+    return _digests(f"SELECT {period} AS day, item, key, rank FROM texts WHERE tier = 'review' AND ts IS NOT NULL",
+                    f"SELECT DISTINCT {period} AS day FROM lang WHERE ts IS NOT NULL", label)
+
+
+# Messages that come in two goes; a day is closed an hour after its end, by the latest message.
+_ARRIVED = """arrived AS (
+  SELECT key, CAST(ts AS DATE) AS day, (key[1] + key[2]) % 5 = 0 AS second, ts FROM lang),
+closed AS (SELECT *, max(ts) FILTER (NOT second) OVER () - INTERVAL 1 HOUR AS w1, max(ts) OVER () - INTERVAL 1 HOUR AS w2 FROM arrived),
+fated AS (
+  SELECT key, day, ts, CASE WHEN ts IS NULL THEN 'undated' WHEN second AND day + INTERVAL 1 DAY <= w1 THEN 'late' ELSE 'counted' END AS fate,
+    day + INTERVAL 1 DAY <= w2 AS over FROM closed)"""
 
 
 def _span_excerpt(context: int, most: int) -> str:
@@ -417,7 +436,21 @@ ORACLE_SQL = {
     "job_json_results": f"""{_CONV_FINDINGS} SELECT id, language, immediate_categories, alerts
         FROM ({_per_message().replace('l.doc_id, ', '')})""",
     "job_refused": f"WITH {_RAW_CONVERSATIONS} SELECT id, source, {_REFUSED} AS reason FROM raw WHERE NOT {_SANCTIONED}",
-    "digest_of_a_day": f"{_CONV_FINDINGS}, {_DAY_DIGEST}",
+    "daily_digests": f"{_CONV_FINDINGS}, {_period_digests(_TOKYO_DAY, 'DAILY')}",
+    "weekly_digests": f"{_CONV_FINDINGS}, {_period_digests(_WEEK, 'WEEKLY')}",
+    "stream_daily_digest": f"{_CONV_FINDINGS}, {_ARRIVED}, " + _digests(
+        """SELECT f.day, item, t.key, rank FROM texts t JOIN fated f ON f.key = t.key WHERE tier = 'review' AND fate = 'counted'""",
+        "SELECT DISTINCT day FROM fated WHERE fate = 'counted' AND over", "DAILY", "day"),
+    "stream_late": f"""{_CONV_FINDINGS}, {_ARRIVED} SELECT f.key[1] AS conv_id, f.key[2] AS turn, l.id, f.day::VARCHAR AS day,
+          count(t.tier) FILTER (WHERE t.tier = 'immediate')::INTEGER AS immediate,
+          count(t.tier) FILTER (WHERE t.tier = 'review')::INTEGER AS batched,
+          coalesce(string_agg(t.category, ',' ORDER BY t.rank) FILTER (WHERE t.tier = 'review'), '') AS categories
+        FROM fated f JOIN lang l ON l.key = f.key LEFT JOIN texts t ON t.key = f.key WHERE fate = 'late' GROUP BY ALL""",
+    "stream_fates": f"""{_CONV_FINDINGS.replace('FROM conversations)', 'FROM conversations WHERE (conv_id * 10 + turn) % 9 <> 0)')}, {_ARRIVED}
+        SELECT fate, count(DISTINCT f.key) AS messages, count(t.tier) FILTER (WHERE t.tier = 'immediate') AS immediate,
+          count(t.tier) FILTER (WHERE t.tier = 'review') AS batched FROM fated f LEFT JOIN texts t ON t.key = f.key GROUP BY 1
+        UNION ALL SELECT 'refused', count(*), 0, 0 FROM raw WHERE NOT {_SANCTIONED} HAVING count(*) > 0
+        UNION ALL SELECT 'bad', count(*), 0, 0 FROM conversations WHERE (conv_id * 10 + turn) % 9 = 0 HAVING count(*) > 0""",
     "redacted_spans": f"""WITH spans AS (SELECT doc_id, text, doc_id * 37 % (length(text) + 20) - 5 AS first,
           doc_id * 37 % (length(text) + 20) - 5 + doc_id % 40 - 3 AS last FROM documents)
         SELECT doc_id, {_span_excerpt(22, 70)} AS excerpt, {_span_excerpt(60, 70)} AS wide, {_span_excerpt(60, 1000)} AS long

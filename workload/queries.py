@@ -10,9 +10,9 @@ from lumenward.functions.languages import COUNTED_WORDS, LOCAL_DETECTOR, REMOTE_
 from lumenward.functions.scoring import final_confidence, noisy_or, sender_adjusted, tier
 from lumenward.functions.redaction import redact_excerpt
 from lumenward.functions.text import lookup
-from lumenward.functions.times import day_of, usable_event_time
+from lumenward.functions.times import WEEKLY, day_of, usable_event_time
 from lumenward.functions.wording import alert_text, context_line, digest_item, suggested_action
-from lumenward.operators.digest import days_of_findings, digest_of_findings, digest_pages, message_digest
+from lumenward.operators.digest import digest_of_findings, digest_pages, digests_by, findings_by_period, message_digest
 from lumenward.operators.findings import with_buckets
 from lumenward.operators.language import remote_requests, with_language, with_stopword_counts, with_words
 from lumenward.operators.matching import triggered_messages, with_hits
@@ -29,6 +29,7 @@ from lumenward.streaming.alerts import (
     alert_stream, digest_count_stream, digest_item_stream, process_message_stream, read_message_stream,
     refused_message_stream, to_table, undated_stream,
 )
+from lumenward.streaming.run import StreamRun, read_placed_line_stream
 from workload.tables import (
     CONVERSATION_FIELDS, CONVERSATION_KEY, DOCUMENT_KEY, PHRASE_FIELDS, conversation_messages, document_messages,
     documents, label_candidates, read_table,
@@ -214,10 +215,22 @@ def digest_text(spark, sf_dir):
     return digest_pages(_conversation_report(spark, sf_dir).summary, 100)
 
 
-def digest_of_a_day(spark, sf_dir):
-    """The digest of one day of Tokyo, from batch results."""
-    findings = days_of_findings(_conversation_report(spark, sf_dir).results, CONVERSATION_KEY, "Asia/Tokyo")
-    return digest_of_findings(findings.where("day = DATE'2024-01-03'"), [*CONVERSATION_KEY, "rank"])
+def _digests(spark: SparkSession, sf_dir: str, **period) -> DataFrame:
+    raw = conversation_messages(spark, sf_dir).withColumn("sent", F.expr(usable_event_time("timestamp")))
+    results = process_stream(raw, CONVERSATION_KEY, strict=False, keep=("sent",)).results
+    findings, periods = findings_by_period(results, CONVERSATION_KEY, "sent", **period)
+    label = period.get("period", "daily")
+    return digests_by(findings, periods, "period", [*CONVERSATION_KEY, "rank"], label).selectExpr(
+        "cast(period AS string) AS period", "line_no", "line")
+
+
+def daily_digests(spark, sf_dir):
+    """The digests of all days of Tokyo."""
+    return _digests(spark, sf_dir, zone="Asia/Tokyo")
+
+
+def weekly_digests(spark, sf_dir):
+    return _digests(spark, sf_dir, period=WEEKLY)
 
 
 def digest_per_message(spark, sf_dir):
@@ -459,6 +472,46 @@ def stream_refused(spark, sf_dir):
         *CONVERSATION_KEY, "id", "source", "reason")
 
 
+def _arriving(spark: SparkSession, sf_dir: str) -> StreamRun:
+    """A run over messages that come in two goes, every fifth of them in the second."""
+    source, out, offsets = (new_table_path(spark, name) for name in ("arriving", "run", "run-offsets"))
+    raw = conversation_messages(spark, sf_dir)
+    run = None
+    for go in ("<>", "="):
+        raw.where(f"(conv_id + turn) % 5 {go} 0").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(raw.schema).parquet(source)
+        run = StreamRun(stream, out, CONVERSATION_KEY, delay="1 hour")
+        run.writer(offsets).trigger(availableNow=True).start().awaitTermination()
+    return run
+
+
+def stream_daily_digest(spark, sf_dir):
+    """Digests written as days close."""
+    return _arriving(spark, sf_dir).digests().selectExpr("cast(period AS string) AS day", "line_no", "line")
+
+
+def stream_late(spark, sf_dir):
+    """Messages that came after their day was closed."""
+    return _arriving(spark, sf_dir).late().selectExpr(
+        *CONVERSATION_KEY, "id", "cast(period AS string) AS day", "immediate", "batched",
+        "array_join(transform(findings, f -> f.category), ',') AS categories")
+
+
+def stream_fates(spark, sf_dir):
+    """What becomes of the lines of a stream, each once, and what they hold."""
+    source, out, offsets = (new_table_path(spark, name) for name in ("arriving", "run", "run-offsets"))
+    message = "to_json(struct(id, text, direction, senderRelationship, platform, source, timestamp))"
+    lines = conversation_messages(spark, sf_dir).selectExpr(
+        "(conv_id + turn) % 5 = 0 AS second", f"if((conv_id * 10 + turn) % 9 = 0, concat({message}, ','), {message}) AS value")
+    run = None
+    for go in ("NOT second", "second"):
+        lines.where(go).select("value").write.mode("append").text(source)
+        run = StreamRun(read_placed_line_stream(spark, source), out, delay="1 hour")
+        run.writer(offsets).trigger(availableNow=True).start().awaitTermination()
+    return run.messages().groupBy("fate").agg(
+        F.count("*").alias("messages"), F.sum(F.size("immediate")).alias("immediate"), F.sum(F.size("batch")).alias("batched"))
+
+
 QUERIES = {
     "normalize_messages": normalized,
     "accepted_sources": accepted,
@@ -493,7 +546,8 @@ QUERIES = {
     "stream_report": stream_report,
     "toxicity_precision_recall": toxicity_precision_recall,
     "daily_digest_counts": daily_digest_counts,
-    "digest_of_a_day": digest_of_a_day,
+    "daily_digests": daily_digests,
+    "weekly_digests": weekly_digests,
     "redacted_spans": redacted_spans,
     "phrase_language": phrase_language,
     "remote_requests": requests,
@@ -510,4 +564,7 @@ QUERIES = {
     "stream_alerts": stream_alerts,
     "stream_digest_items": stream_digest_items,
     "stream_daily_counts": stream_daily_counts,
+    "stream_daily_digest": stream_daily_digest,
+    "stream_late": stream_late,
+    "stream_fates": stream_fates,
 }
