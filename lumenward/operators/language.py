@@ -77,13 +77,17 @@ def best_candidate(candidates: str) -> str:
     return f"array_max({ranked})"
 
 
+def label_of(best: str) -> str:
+    """A label that is there, though its candidates may be none."""
+    return f"coalesce({best}, named_struct('score', 0D, 'place', 0, 'code', '{UNDETERMINED}'))"
+
+
 def merged_labels(candidates: DataFrame) -> DataFrame:
     """One row per id, (_label_id, _label), from any table of candidates; none without id."""
-    none = f"named_struct('score', 0D, 'place', 0, 'code', '{UNDETERMINED}')"
     return (
         candidates.where("id IS NOT NULL").selectExpr("id AS _label_id", f"{best_candidate('candidates')} AS _best")
         .groupBy("_label_id").agg(F.max("_best").alias("_best"))
-        .selectExpr("_label_id", f"coalesce(_best, {none}) AS _label"))
+        .selectExpr("_label_id", f"{label_of('_best')} AS _label"))
 
 
 def with_remote_language(messages: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -108,6 +112,11 @@ def with_remote_language(messages: DataFrame, candidates: DataFrame) -> DataFram
     number = f"xxhash64({others})" if messages.isStreaming else "monotonically_increasing_id()"
     keyed = messages.selectExpr("*", f"coalesce(concat('id ', id), concat('no id ', {number})) AS _key")
     joined = keyed.join(labels, (F.col("_key") == F.col("_label_id")) & F.col("id").isNotNull(), "left")
+    return labelled_language(joined).drop("_key")
+
+
+def labelled_language(joined: DataFrame) -> DataFrame:
+    """The language columns of messages that were joined with (_label_id, _label), null where there is none."""
     code = f"split_part(coalesce(nullif(_label.code, ''), '{UNDETERMINED}'), '-', 1)"
     decided = joined.selectExpr(
         "*", f"if(_blank, '{UNDETERMINED}', {code}) AS _code", "_label IS NULL AND NOT _blank AS _is_local",
@@ -118,4 +127,4 @@ def with_remote_language(messages: DataFrame, candidates: DataFrame) -> DataFram
         "languageConfidence": "if(_is_local, languageConfidence, _score)",
         "languageSource": f"if(_is_local, '{LOCAL_SOURCE}', '{REMOTE_DETECTOR}')",
         "fallback": f"if(_is_local, '{REMOTE_DETECTOR} unavailable: no label for this message', NULL)",
-    }).drop("_blank", "_key", "_label_id", "_label", "_code", "_is_local", "_score")
+    }).drop("_blank", "_label_id", "_label", "_code", "_is_local", "_score")

@@ -39,7 +39,10 @@ def _or_none(candidates: DataFrame | None, messages: DataFrame) -> DataFrame:
 
 def match_messages(messages: DataFrame, detector: str | None = None,
                    candidates: DataFrame | None = None, pinned: bool = True) -> DataFrame:
-    """Add the language columns and ``hits`` to normalized messages."""
+    """Add the language columns and ``hits`` to normalized messages.
+
+    ``candidates`` is a table of labels, or labels that arrive beside a stream of
+    messages (``ArrivingLabels``)."""
     if detector is None:
         return with_hits(with_language(messages, pinned=False), pinned=pinned)
     if check_detector(detector) == LOCAL_DETECTOR:
@@ -53,7 +56,8 @@ def match_messages(messages: DataFrame, detector: str | None = None,
     narrow = with_columns(tried.selectExpr(*others, "text AS _text", "hits AS _hits", *LANGUAGE_COLUMNS), {
         **{c: c for c in LANGUAGE_COLUMNS}, "hits": "_hits", "_blank": is_blank("_text"),
         "text": "if(size(_hits) > 0, _text, NULL)"}).drop("_text", "_hits")
-    labelled = with_remote_language(narrow, candidates)
+    arriving = getattr(candidates, "language_of", None)
+    labelled = arriving(narrow) if arriving else with_remote_language(narrow, candidates)
     return with_columns(labelled, {
         **{c: c for c in LANGUAGE_COLUMNS}, "hits": gated_hits("hits", "language", "languageConfidence"),
     }, pinned)

@@ -45,7 +45,8 @@ def process_message_stream(raw: DataFrame, keep=(), strict: bool = False, zone:
     A source that is refused would stop the query for good, so such messages
     are left out unless ``strict`` says otherwise; :func:`refused_message_stream`
     has them.  ``zone`` is that of timestamps without offset.  ``candidates`` is a
-    static table of language labels."""
+    static table of language labels, or ``ArrivingLabels``, whose arrival time has
+    to be in ``keep``."""
     given = raw.columns
     timed = raw.selectExpr(
         "*", *([] if "timestamp" in given else ["cast(NULL AS string) AS timestamp"])).selectExpr(

@@ -495,6 +495,13 @@ ORACLE_SQL = {
             CASE WHEN turn % 2 = 0 THEN 'German' ELSE language_name END AS language_name,
             CASE WHEN turn % 2 = 0 THEN 0.9::DOUBLE ELSE language_conf END AS language_conf) FROM local_lang),
         {_GATED}, {_FINDINGS} SELECT key[1] AS conv_id, key[2] AS turn, language, {_STREAM_ALERTS}""",
+    "stream_alerts_late_labels": f"""{_CONVERSATIONS}, {_LANGUAGE}, lang AS (
+          SELECT * REPLACE (CASE WHEN timely THEN 'de' ELSE language END AS language,
+            CASE WHEN timely THEN 'German' ELSE language_name END AS language_name,
+            CASE WHEN timely THEN 0.9::DOUBLE ELSE language_conf END AS language_conf,
+            CASE WHEN timely THEN '{REMOTE_DETECTOR}' ELSE '{LOCAL_SOURCE}' END AS language_source)
+          FROM (SELECT *, (conv_id + turn) % 4 IN (1, 2) AS timely FROM local_lang)),
+        {_GATED}, {_FINDINGS} SELECT key[1] AS conv_id, key[2] AS turn, language, language_source AS "languageSource", {_STREAM_ALERTS}""",
     "stream_undated": f"""{_CONV_FINDINGS} SELECT key[1] AS conv_id, key[2] AS turn, id, reason,
           immediate::INTEGER AS immediate, batched::INTEGER AS batched FROM (
         SELECT l.key, l.id, l.undated AS reason, count(t.tier) FILTER (WHERE t.tier = 'immediate') AS immediate,

@@ -29,9 +29,10 @@ from lumenward.streaming.alerts import (
     alert_stream, digest_count_stream, digest_item_stream, process_message_stream, read_message_stream,
     refused_message_stream, to_table, undated_stream,
 )
+from lumenward.streaming.labels import ArrivingLabels
 from lumenward.streaming.run import StreamRun, read_placed_line_stream
 from workload.tables import (
-    CONVERSATION_FIELDS, CONVERSATION_KEY, DOCUMENT_KEY, PHRASE_FIELDS, conversation_messages, document_messages,
+    CONVERSATION_FIELDS, CONVERSATION_KEY, DOCUMENT_KEY, MINUTE, PHRASE_FIELDS, conversation_messages, document_messages,
     documents, label_candidates, read_table,
 )
 
@@ -444,6 +445,31 @@ def stream_alerts_remote(spark, sf_dir):
         *CONVERSATION_KEY, "language", "place", "alert")
 
 
+def stream_alerts_late_labels(spark, sf_dir):
+    """Alerts of a stream whose labels arrive beside it: before a message, after it, too late, or never."""
+    messages, labels, out, offsets = (new_table_path(spark, name) for name in ("arriving", "labels", "alerts", "alerts-offsets"))
+    at = f"timestampadd(MINUTE, {MINUTE}, TIMESTAMP'2024-01-01 00:00:00')"
+    raw = conversation_messages(spark, sf_dir).withColumn("arrived", F.expr(at))
+    named = raw.selectExpr(
+        "id", "array(named_struct('code', 'de', 'score', 0.9D)) AS candidates",
+        "timestampadd(MINUTE, element_at(array(-5, 5, 60), cast((conv_id + turn) % 4 AS int)), arrived) AS arrived", "conv_id", "turn").where(
+        "(conv_id + turn) % 4 > 0").drop("conv_id", "turn")
+    # What arrives long after says that the time of all others is up.
+    end = "timestampadd(DAY, 1000, arrived) AS arrived"
+    for last in (False, True):
+        for table, path in ((raw, messages), (named, labels)):
+            others = [f"concat('end ', id) AS id" if c == "id" else c for c in table.columns if c != "arrived"]
+            (table.selectExpr(*others, end) if last else table).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(raw.schema).parquet(messages)
+        arriving = ArrivingLabels(spark.readStream.schema(named.schema).parquet(labels), "arrived")
+        results = process_message_stream(
+            stream, (*CONVERSATION_KEY, "arrived"), detector=REMOTE_DETECTOR, candidates=arriving)
+        alerts = alert_stream(results, (*CONVERSATION_KEY, "language", "languageSource"))
+        to_table(alerts, out, offsets).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(alerts.schema).parquet(out).where("id NOT LIKE 'end %'").select(
+        *CONVERSATION_KEY, "language", "languageSource", "place", "alert")
+
+
 def stream_alerts_jsonl(spark, sf_dir):
     """Alerts of a stream of JSON lines."""
     raw = read_message_stream(spark, _message_lines(spark, sf_dir))
@@ -557,6 +583,7 @@ QUERIES = {
     "job_json_results": job_json_results,
     "job_refused": job_refused,
     "stream_alerts_remote": stream_alerts_remote,
+    "stream_alerts_late_labels": stream_alerts_late_labels,
     "stream_alerts_jsonl": stream_alerts_jsonl,
     "stream_undated": stream_undated,
     "stream_refused": stream_refused,
