@@ -91,12 +91,10 @@ def to_java(pattern: str, ignore_case: bool) -> str:
 
 
 def check_entry(entry: Entry) -> None:
-    """Refuse an entry that the rewriting or the trigger words would not get right.
+    """Refuse an entry that the rewriting would not get right.
 
     The lookahead for the first letter and the one-sided boundary hold for
     patterns each of whose alternatives starts with a letter that must be there."""
-    if not entry.words and not entry.parts:
-        raise ValueError(f"no words or parts to look for: {entry.pattern}")
     _check_start(entry.pattern, entry.pattern)
 
 

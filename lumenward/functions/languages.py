@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from lumenward.functions.text import lookup, quote, quoted_list, round2
 
 # A character of a script decides the language; first one wins.
@@ -63,6 +65,11 @@ def maybe_script(text: str) -> str:
     return f"(octet_length({text}) <> length({text}) AND {text} RLIKE '{_MAYBE_SCRIPT}')"
 
 
+def in_scripts(parts) -> bool:
+    """Whether each part holds a character that :func:`maybe_script` sees."""
+    return all(re.search(_MAYBE_SCRIPT, part) for part in parts)
+
+
 def script_language(text: str) -> str:
     """Language code by script, null for Latin text."""
     ordered = " ".join(

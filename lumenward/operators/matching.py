@@ -5,7 +5,8 @@
    split once, and one lookup per word finds the few that matter.
 2. *Hits*: the regexes of the set bits only, with the span of the first match.
 
-Nothing is shuffled and the lexicon is part of the plan, not a joined table.
+Nothing is shuffled and the lexicon is part of the plan, not a joined table.  A
+lexicon of more entries than a bit set holds is worked off in groups.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from lumenward.functions.dialect import before_match, entry_regex, match_after_one
-from lumenward.functions.languages import maybe_script
+from lumenward.functions.languages import in_scripts, maybe_script
 from lumenward.functions.lexicon import ALWAYS_LANGUAGE, ANY_LANGUAGE, ENTRIES, OUTGOING_ONLY_CATEGORY, Entry
 from lumenward.functions.scoring import is_unsure
 from lumenward.functions.text import empty_array, let, quote, quoted_list
@@ -21,56 +22,71 @@ from lumenward.operators.pinning import with_columns
 from lumenward.schema import HIT_TYPE, LANGUAGE_COLUMNS
 
 NON_WORD = r"\W+"
+#: Entries to a bit set.
+GROUP = 62
 _EVERYWHERE = (ANY_LANGUAGE, ALWAYS_LANGUAGE)
 _TRIGGERED = "_triggered"
 _HITS_TYPE = f"array<{HIT_TYPE}>"
 
 
 def _mask(entries) -> str:
-    return f"{sum(1 << e.ord for e in entries)}L"
+    return f"{sum(1 << e.ord % GROUP for e in entries)}L"
 
 
-def trigger_words(text: str) -> str:
+def _groups(entries) -> list:
+    return [entries[at:at + GROUP] for at in range(0, len(entries), GROUP)]
+
+
+def _triggered_name(group: int) -> str:
+    return f"{_TRIGGERED}_{group}" if group else _TRIGGERED
+
+
+def trigger_words(text: str, entries=ENTRIES) -> str:
     """The words of the text that some entry needs, as runs of ASCII word
     characters in lower case.
 
     The two replaced characters are the only others with an ASCII letter as
     their lower case, which the patterns do not take them for."""
-    needed = sorted({word for entry in ENTRIES for word in entry.words.split()})
+    needed = sorted({word for entry in entries for word in entry.words.split()})
     no_lookalikes = f"replace(replace({text}, '{chr(0x212A)}', ' '), '{chr(0x130)}', ' ')"
     words = f"split(lower({no_lookalikes}), {quote(NON_WORD)})"
     return f"filter({words}, w -> w IN ({quoted_list(needed)}))"
 
 
-def triggered_bits(text: str, has_script: str) -> str:
-    """Bit set of the entries whose words or parts the text holds.
+def triggered_bits(text: str, has_script: str, entries=ENTRIES) -> str:
+    """Bit set of the entries whose words or parts the text holds, and of those that have neither.
 
     ``has_script`` is false only for text without characters of any script that
-    the parts are written in."""
+    the parts are written in; parts of other characters are looked for everywhere."""
     by_word: dict[str, list[Entry]] = {}
-    for entry in ENTRIES:
+    for entry in entries:
         for word in entry.words.split():
             by_word.setdefault(word, []).append(entry)
-    bits = ", ".join(f"{quote(word)}, {_mask(entries)}" for word, entries in sorted(by_word.items()))
-    by_words = f"aggregate({trigger_words(text)}, 0L, (bits, w) -> bits | element_at(map({bits}), w))"
-    by_parts = " | ".join(
-        f"if({' OR '.join(f'contains(lowered, {quote(part)})' for part in e.parts)}, {_mask([e])}, 0L)"
-        for e in ENTRIES if e.parts)
-    return f"({by_words} | if({has_script}, {let('lowered', f'lower({text})', by_parts)}, 0L))"
-
-
-def applicable_bits(direction: str, language: str | None, confidence: str | None) -> str:
+    bits = ", ".join(f"{quote(word)}, {_mask(own)}" for word, own in sorted(by_word.items()))
+    found = [_mask(e for e in entries if not e.words and not e.parts)]
+    if by_word:
+        found.append(f"aggregate({trigger_words(text, entries)}, 0L, (bits, w) -> bits | element_at(map({bits}), w))")
+    for own, wrap in (([e for e in entries if e.parts and in_scripts(e.parts)], f"if({has_script}, %s, 0L)"),
+                      ([e for e in entries if e.parts and not in_scripts(e.parts)], "%s")):
+        if own:
+            by_parts = " | ".join(
+                f"if({' OR '.join(f'contains(lowered, {quote(part)})' for part in e.parts)}, {_mask([e])}, 0L)" for e in own)
+            found.append(wrap.replace("%s", let("lowered", f"lower({text})", by_parts)))
+    return f"({' | '.join(found)})"
+
+
+def applicable_bits(direction: str, language: str | None, confidence: str | None, entries=ENTRIES) -> str:
     """Bit set of the entries that apply to a message; with no language given,
     to a message of any language."""
-    everywhere = _mask(e for e in ENTRIES if e.lang in _EVERYWHERE)
-    by_language = _mask(ENTRIES)
+    everywhere = _mask(e for e in entries if e.lang in _EVERYWHERE)
+    by_language = _mask(entries)
     if language is not None:
-        languages = sorted({e.lang for e in ENTRIES} - set(_EVERYWHERE))
-        cases = " ".join(f"WHEN '{lang}' THEN {_mask(e for e in ENTRIES if e.lang == lang)}" for lang in languages)
-        by_language = (f"if({is_unsure(confidence)}, {by_language},"
-                       f" {everywhere} | CASE {language} {cases} ELSE 0L END)")
-    incoming = _mask(e for e in ENTRIES if e.category != OUTGOING_ONLY_CATEGORY)
-    return f"({by_language} & if({direction} = 'outgoing', {_mask(ENTRIES)}, {incoming}))"
+        languages = sorted({e.lang for e in entries} - set(_EVERYWHERE))
+        cases = " ".join(f"WHEN {quote(lang)} THEN {_mask(e for e in entries if e.lang == lang)}" for lang in languages)
+        own = f"CASE {language} {cases} ELSE 0L END" if cases else "0L"
+        by_language = f"if({is_unsure(confidence)}, {by_language}, {everywhere} | {own})"
+    incoming = _mask(e for e in entries if e.category != OUTGOING_ONLY_CATEGORY)
+    return f"({by_language} & if({direction} = 'outgoing', {_mask(entries)}, {incoming}))"
 
 
 def first_match(entry: Entry, text: str) -> str:
@@ -85,40 +101,46 @@ def first_match(entry: Entry, text: str) -> str:
     length = f"length(regexp_extract({rest}, {quote(match_after_one(regex))}, 1))"
     signal = quote(entry.signal) if entry.signal else "cast(NULL AS string)"
     hit = (
-        f"named_struct('ord', {entry.ord}, 'category', '{entry.category}', 'signal', {signal},"
-        f" 'lang', '{entry.lang}', 'weight', {entry.weight}D, 'start', start, 'end', start + chars)")
+        f"named_struct('ord', {entry.ord}, 'category', {quote(entry.category)}, 'signal', {signal},"
+        f" 'lang', {quote(entry.lang)}, 'weight', {entry.weight}D, 'start', start, 'end', start + chars)")
     return let("start", start, let("chars", length, f"if(chars > 0, {hit}, NULL)"))
 
 
-def triggered_messages(messages: DataFrame) -> DataFrame:
+def triggered_messages(messages: DataFrame, entries=ENTRIES) -> DataFrame:
     """Only the messages that some entry might match, in any language.
 
     Where nothing but findings is wanted, the other messages, which are nearly
     all, then need no language.  The bits are kept for :func:`with_hits`."""
-    bits = triggered_bits("text", maybe_script("text"))
-    return with_columns(messages, {_TRIGGERED: bits}).where(f"{_TRIGGERED} <> 0")
+    bits = {_triggered_name(i): triggered_bits("text", maybe_script("text"), own) for i, own in enumerate(_groups(entries))}
+    return with_columns(messages, bits).where(" OR ".join(f"{name} <> 0" for name in bits) or "false")
 
 
-def with_hits(messages: DataFrame, any_language: bool = False, pinned: bool = True) -> DataFrame:
+def with_hits(messages: DataFrame, any_language: bool = False, pinned: bool = True, entries=ENTRIES) -> DataFrame:
     """Add ``hits``, in lexicon order.
 
     Entries are chosen by the message's language, unless ``any_language`` asks
     for all of them, to be narrowed by :func:`gated_hits` once it is known."""
     chosen = (None, None) if any_language else ("language", "languageConfidence")
-    tried = ", ".join(f"if(_bits & {1 << e.ord}L <> 0, {first_match(e, 'text')}, NULL)" for e in ENTRIES)
-    if _TRIGGERED in messages.columns:
-        triggered = _TRIGGERED
-    else:
-        # Such a character decides the local language, so the language tells.
-        scripts = quoted_list(sorted({e.lang for e in ENTRIES if e.parts}))
-        triggered = triggered_bits("text", maybe_script("text") if any_language else f"language IN ({scripts})")
-    matched = messages.selectExpr("*", f"{triggered} & {applicable_bits('direction', *chosen)} AS _bits")
+    groups = _groups(entries)
+    bits, tried = [], []
+    for i, own in enumerate(groups):
+        name = _triggered_name(i)
+        if name in messages.columns:
+            triggered = name
+        else:
+            # Such a character decides the local language, so the language tells, as far as it has one of that script.
+            scripts = quoted_list(sorted({e.lang for e in own if e.parts}))
+            by_language = entries is ENTRIES and not any_language
+            triggered = triggered_bits("text", f"language IN ({scripts})" if by_language else maybe_script("text"), own)
+        bits.append(f"{triggered} & {applicable_bits('direction', *chosen, own)} AS _bits{i}")
+        tried += [f"if(_bits{i} & {1 << e.ord % GROUP}L <> 0, {first_match(e, 'text')}, NULL)" for e in own]
+    matched = messages.selectExpr("*", *bits)
     seen = {} if any_language else {c: c for c in LANGUAGE_COLUMNS}
-    return with_columns(matched, {
-        **seen,
-        "hits": f"if(_bits = 0, {empty_array(_HITS_TYPE)},"
-                f" cast(filter(array({tried}), h -> h IS NOT NULL) AS {_HITS_TYPE}))",
-    }, pinned).drop("_bits", _TRIGGERED)
+    none = empty_array(_HITS_TYPE)
+    nothing = " AND ".join(f"_bits{i} = 0" for i in range(len(groups))) or "true"
+    found = f"cast(filter(array({', '.join(tried)}), h -> h IS NOT NULL) AS {_HITS_TYPE})" if tried else none
+    return with_columns(matched, {**seen, "hits": f"if({nothing}, {none}, {found})"}, pinned).drop(
+        *[f"_bits{i}" for i in range(len(groups))], *[_triggered_name(i) for i in range(len(groups))])
 
 
 def gated_hits(hits: str, language: str, confidence: str) -> str:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import argparse
 
 from lumenward.functions.languages import LOCAL_DETECTOR, REMOTE_DETECTOR
+from lumenward.functions.lexicon import ENTRIES
 from lumenward.operators.normalize import is_sanctioned, refused_messages
 from lumenward.plans.stream import process_stream
 from lumenward.schema import CANDIDATES_SCHEMA
 from lumenward.session import build_session
 from lumenward.sources.jsonl import POSITION, read_jsonl, read_jsonl_tagged
+from lumenward.sources.lexicon import read_lexicon
 from lumenward.sources.sinks import write_report_json, write_report_text
 from lumenward.storage import Scratch
 
@@ -23,6 +25,7 @@ def parse_options(argv=None) -> argparse.Namespace:
     parser.add_argument("--detector", choices=(LOCAL_DETECTOR, REMOTE_DETECTOR),
                         help="where languages come from")
     parser.add_argument("--candidates", help="parquet table of language labels by message id")
+    parser.add_argument("--lexicon", help="parquet table of lexicon entries, in place of the built-in ones")
     parser.add_argument("--quarantine", help="folder for bad lines and refused messages; without it they fail the job")
     options = parser.parse_args(argv)
     if options.candidates and options.detector != REMOTE_DETECTOR:
@@ -35,6 +38,7 @@ def run(spark, options: argparse.Namespace) -> None:
     candidates = None
     if options.candidates:
         candidates = spark.read.schema(CANDIDATES_SCHEMA).parquet(options.candidates)
+    entries = read_lexicon(spark.read.parquet(options.lexicon)) if options.lexicon else ENTRIES
     with Scratch(spark) as scratch:
         if options.quarantine:
             # Each line is parsed once and written by its fate, which is read back apart.
@@ -49,7 +53,8 @@ def run(spark, options: argparse.Namespace) -> None:
             raw = lines.where("fate = 'accepted'").drop("fate", "bad_line")
         else:
             raw = read_jsonl(spark, options.file)
-        with process_stream(raw, (POSITION,), options.period, detector=options.detector, candidates=candidates) as report:
+        with process_stream(raw, (POSITION,), options.period, detector=options.detector, candidates=candidates,
+                            entries=entries) as report:
             write = write_report_json if options.json else write_report_text
             write(report, options.output)
 

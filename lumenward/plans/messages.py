@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from lumenward.functions.languages import LOCAL_DETECTOR, LOCAL_SOURCE
+from lumenward.functions.lexicon import ENTRIES
 from lumenward.functions.text import is_blank
 from lumenward.operators.findings import exploded_findings, with_findings
 from lumenward.operators.language import check_detector, with_language, with_remote_language
@@ -38,20 +39,20 @@ def _or_none(candidates: DataFrame | None, messages: DataFrame) -> DataFrame:
 
 
 def match_messages(messages: DataFrame, detector: str | None = None,
-                   candidates: DataFrame | None = None, pinned: bool = True) -> DataFrame:
+                   candidates: DataFrame | None = None, pinned: bool = True, entries=ENTRIES) -> DataFrame:
     """Add the language columns and ``hits`` to normalized messages.
 
     ``candidates`` is a table of labels, or labels that arrive beside a stream of
     messages (``ArrivingLabels``)."""
     if detector is None:
-        return with_hits(with_language(messages, pinned=False), pinned=pinned)
+        return with_hits(with_language(messages, pinned=False), pinned=pinned, entries=entries)
     if check_detector(detector) == LOCAL_DETECTOR:
-        return match_messages(messages, pinned=pinned).selectExpr(
+        return match_messages(messages, pinned=pinned, entries=entries).selectExpr(
             "*", f"'{LOCAL_SOURCE}' AS languageSource", "cast(NULL AS string) AS fallback")
     candidates = _or_none(candidates, messages)
     # The language is not known before the join, so all entries are tried here
     # and the text goes through the shuffle only where one of them matched.
-    tried = with_hits(with_language(messages, pinned=False), any_language=True, pinned=False)
+    tried = with_hits(with_language(messages, pinned=False), any_language=True, pinned=False, entries=entries)
     others = [f"`{c}`" for c in tried.columns if c not in ("text", "hits", *LANGUAGE_COLUMNS)]
     narrow = with_columns(tried.selectExpr(*others, "text AS _text", "hits AS _hits", *LANGUAGE_COLUMNS), {
         **{c: c for c in LANGUAGE_COLUMNS}, "hits": "_hits", "_blank": is_blank("_text"),
@@ -64,28 +65,28 @@ def match_messages(messages: DataFrame, detector: str | None = None,
 
 
 def classify_messages(messages: DataFrame, detector: str | None = None,
-                      candidates: DataFrame | None = None) -> DataFrame:
+                      candidates: DataFrame | None = None, entries=ENTRIES) -> DataFrame:
     """Normalized messages with their language and ``findings``, without the text.
 
     ``detector`` is "local" or the remote labels' name, which then come from
     ``candidates``; both add where the language came from.  None is local too,
-    without the extra columns."""
-    return with_findings(match_messages(messages, detector, candidates, pinned=False)).drop("text")
+    without the extra columns.  ``entries`` is the lexicon (``read_lexicon``)."""
+    return with_findings(match_messages(messages, detector, candidates, False, entries)).drop("text")
 
 
 def find_risks(messages: DataFrame, detector: str | None = None,
-               candidates: DataFrame | None = None) -> DataFrame:
+               candidates: DataFrame | None = None, entries=ENTRIES) -> DataFrame:
     """One row per finding of normalized messages, best first within a message.
 
     Messages without any trigger word are dropped before their language is
     looked at."""
-    return exploded_findings(classify_messages(triggered_messages(messages), detector, candidates))
+    return exploded_findings(classify_messages(triggered_messages(messages, entries), detector, candidates, entries))
 
 
 def process_messages(raw: DataFrame, keep=(), strict: bool = True, detector: str | None = None,
-                     candidates: DataFrame | None = None) -> DataFrame:
+                     candidates: DataFrame | None = None, entries=ENTRIES) -> DataFrame:
     """One nested result row per raw message."""
-    classified = classify_messages(normalize_messages(raw, keep, strict), detector, candidates)
+    classified = classify_messages(normalize_messages(raw, keep, strict), detector, candidates, entries)
     source = [] if detector is None else ["languageSource", "fallback"]
     return with_routes(classified).selectExpr(
         *[f"`{k}`" for k in keep],

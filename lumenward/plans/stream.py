@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenward.functions.lexicon import ENTRIES
 from lumenward.operators.digest import digest_lines
 from lumenward.operators.routing import immediate_alerts, stream_counts
 from lumenward.plans.messages import process_messages
@@ -49,14 +50,15 @@ class StreamReport:
 
 
 def process_stream(raw: DataFrame, order_by, period: str = "daily", strict: bool = True,
-                   detector: str | None = None, candidates: DataFrame | None = None, keep=()) -> StreamReport:
+                   detector: str | None = None, candidates: DataFrame | None = None, keep=(), entries=ENTRIES) -> StreamReport:
     """Process all messages once and report on them.
 
     ``order_by`` names the columns that give the messages their order and are
     unique together; rows of a table have none by themselves.  ``period`` is a
     label.  The results are written to the shared folder first, so that the
-    matching runs once for all four outputs; ``keep`` names columns that go with them."""
-    results = process_messages(raw, (*order_by, *keep), strict, detector, candidates)
+    matching runs once for all four outputs; ``keep`` names columns that go with them.
+    ``entries`` is the lexicon (``read_lexicon``)."""
+    results = process_messages(raw, (*order_by, *keep), strict, detector, candidates, entries)
     scratch = Scratch(raw.sparkSession)
     try:
         return StreamReport(scratch.table(results, "results"), order_by, period, scratch)

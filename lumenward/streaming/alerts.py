@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from lumenward.functions.lexicon import ENTRIES
 from lumenward.functions.times import UTC, day_of, undated_reason, usable_event_time
 from lumenward.operators.normalize import refused_messages
 from lumenward.plans.messages import process_messages
@@ -39,7 +40,7 @@ def read_bad_line_stream(spark: SparkSession, path: str, max_files: int | None =
 
 
 def process_message_stream(raw: DataFrame, keep=(), strict: bool = False, zone: str = UTC,
-                           detector: str | None = None, candidates: DataFrame | None = None) -> DataFrame:
+                           detector: str | None = None, candidates: DataFrame | None = None, entries=ENTRIES) -> DataFrame:
     """The batch plan over a stream, plus the event time and, without one, the reason.
 
     A source that is refused would stop the query for good, so such messages
@@ -51,7 +52,7 @@ def process_message_stream(raw: DataFrame, keep=(), strict: bool = False, zone:
     timed = raw.selectExpr(
         "*", *([] if "timestamp" in given else ["cast(NULL AS string) AS timestamp"])).selectExpr(
         "*", f"{usable_event_time('timestamp', zone)} AS {EVENT_TIME}", f"{undated_reason('timestamp', zone)} AS {UNDATED}")
-    results = process_messages(timed, (*keep, EVENT_TIME, UNDATED), strict, detector, candidates)
+    results = process_messages(timed, (*keep, EVENT_TIME, UNDATED), strict, detector, candidates, entries)
     return results.withColumn(UNDATED, F.expr(f"if({EVENT_TIME} IS NULL, {UNDATED}, NULL)"))
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from lumenward.functions.lexicon import ENTRIES
 from lumenward.functions.times import DAILY, UTC, period_end, period_start, undated_reason, usable_event_time
 from lumenward.operators.digest import digests_by
 from lumenward.operators.normalize import is_sanctioned, refusal_reason
@@ -73,6 +74,7 @@ class StreamRun:
     zone: str = UTC
     detector: str | None = None
     candidates: DataFrame | None = None
+    entries: tuple = ENTRIES
     _schema: object = field(default=None, init=False)
 
     def __post_init__(self):
@@ -111,7 +113,8 @@ class StreamRun:
             *[f"`{c}`" for c in fated.columns if c not in ("text", "content", "source")],
             *[f"if(refused IS NULL, {c}, NULL) AS {c}" for c in ("text", "content", "source")])
         return process_messages(
-            blanked, (*self.keys, FATE, PERIOD, EVENT_TIME, UNDATED, "bad_line", "refused"), True, self.detector, self.candidates)
+            blanked, (*self.keys, FATE, PERIOD, EVENT_TIME, UNDATED, "bad_line", "refused"), True, self.detector, self.candidates,
+            self.entries)
 
     def _root(self, name: str) -> str:
         return f"{self.folder.rstrip('/')}/{name}"
