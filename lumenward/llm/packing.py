@@ -32,9 +32,9 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +49,9 @@ SIZE = 2048
 END = 1
 #: Smaller gaps are left as padding rather than filled with cuttings.
 LEAST_GAP = 64
-#: Words that a worker remembers, and their longest; a full memory starts anew.
-WORD_MEMORY = 500_000
-MEMORY_CHARS = 64
+#: Words that a worker remembers, and their characters; a full memory starts anew.
+MEMORY_WORDS = 600_000
+MEMORY_CHARS = 16 << 20
 #: Characters that are encoded together, and pieces in a batch.
 STRETCH = 1 << 18
 BATCH_PIECES = 512
@@ -213,6 +213,40 @@ _BEYOND_LATIN = re.compile(f"[^\\x00-{chr(_LATIN - 1)}]").search
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_ranges('L')}]+|[{_ranges('N')}]|[^\t-\r \x85\xa0{_ranges('L')}{_ranges('N')}]+")
 
 
+class Memory(dict):
+    """Words by the order in which they came, with their ids one word after the other."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.chars = 0
+        self.ids, self.bounds = array("i"), array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+    def learn(self, encode) -> None:
+        """Ids of the words that came since the last time."""
+        for own in encode(self.new):
+            self.ids.extend(own)
+            self.bounds.append(len(self.ids))
+        self.chars += sum(map(len, self.new))
+        self.new = []
+
+    def full(self) -> bool:
+        return len(self) >= MEMORY_WORDS or self.chars >= MEMORY_CHARS
+
+    def gather(self, words: np.ndarray) -> np.ndarray:
+        """The ids of the words with these numbers."""
+        ids, bounds = np.frombuffer(self.ids, np.int32), np.frombuffer(self.bounds, np.int64)
+        starts = bounds[words]
+        counts = bounds[words + 1] - starts
+        before = np.cumsum(counts) - counts
+        return ids[np.arange(counts.sum()) + np.repeat(starts - before, counts)]
+
+
 class Encoder:
     """Ids of whole texts.
 
@@ -228,23 +262,19 @@ class Encoder:
         self.normalised.normalizer = normalizers.Sequence([])
         for tokenizer in (self.whole, self.normalised):
             tokenizer.encode_special_tokens = True
-        self._words: dict[str, list[int]] = {}
+        self._memory = Memory()
 
     def _encode(self, tokenizer, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _latin(self, texts: list[str]) -> Iterator[np.ndarray]:
-        words = [_words_of(unicodedata.normalize("NFC", text).lower()) for text in texts]
-        known = self._words
-        if len(known) >= WORD_MEMORY:
-            known.clear()
-        new = [word for word in set(chain.from_iterable(words)) if word not in known]
-        known.update(zip(new, self._encode(self.normalised, new)))
-        for own in words:
-            yield np.fromiter(chain.from_iterable(map(known.__getitem__, own)), np.int32)
-        for word in new:
-            if len(word) > MEMORY_CHARS:
-                del known[word]
+        if self._memory.full():
+            self._memory = Memory()
+        memory = self._memory
+        numbers = [np.fromiter(map(memory.__getitem__, _words_of(unicodedata.normalize("NFC", text).lower())), np.int64)
+                   for text in texts]
+        memory.learn(lambda words: self._encode(self.normalised, words))
+        return map(memory.gather, numbers)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         latin = [not _BEYOND_LATIN(text) for text in texts]
