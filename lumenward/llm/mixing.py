@@ -1,9 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Each source has a budget of words.  Whole passes over the source come first; for
-the rest of the budget, documents are counted by their exact length, most of it
-is shared out over the lengths in proportion, and a bounded knapsack over the
-lengths left (dynamic programming on reachable sums) closes the gap.  Which
+the rest of the budget, documents are counted by their exact length, all of it but
+a reserve is shared out over the lengths in proportion, and a bounded knapsack over
+all documents left (dynamic programming on reachable sums) closes the gap.  Which
 documents of a length are taken is decided by a seeded hash of their ids.
 
 Only counts by (source, length) are brought together, one source to a task;
@@ -19,6 +19,8 @@ one.  Columns other than id, source and text are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,8 +33,9 @@ WORD = r"[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
 SEED = 20240
-#: Budgets up to this are a knapsack throughout; of larger ones, half of it is.
-KNAPSACK_SUMS = 1 << 16
+#: Words of a budget that are left to the knapsack: this many, or this often the longest document.
+RESERVE_SUMS = 1 << 17
+RESERVE_LONGEST = 8
 #: Documents of one (source, length) to a hash range; only one range of each is ranked.
 RANGE_DOCUMENTS = 512
 
@@ -64,13 +67,16 @@ def capped_targets(sizes: DataFrame, weights=WEIGHTS, most: float = MAX_REPEATS,
     return ranked.selectExpr("source", "source_size", f"least(_cap, _weight * {share!r}D) AS target")
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
     """How many documents of each length to take, for a sum as near to ``budget`` as found.
 
-    A large budget is first shared out over the lengths in proportion, which
-    leaves less than one document of each, and filled up going down the lengths;
-    the knapsack then closes the gap that was left open for it, exactly if any
-    choice of the documents left does."""
+    All of the budget but a reserve, :data:`RESERVE_LONGEST` times the longest document or
+    :data:`RESERVE_SUMS` if that is more, is shared out over the lengths in
+    proportion.  What is no whole document is rounded, lengths taking turns in a
+    seeded order, so that the words rounded up and down stay within half of the longest
+    document.  The knapsack then chooses among all documents left for the rest of
+    the budget.  A budget within the reserve is all knapsack, and hit as nearly as any
+    choice of documents does."""
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     taken = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
@@ -78,26 +84,32 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return taken
     if budget >= total:
         return np.where(lengths > 0, counts, 0)
-    gap = budget
-    if budget > KNAPSACK_SUMS:
-        shared = budget - KNAPSACK_SUMS // 2
-        taken = np.where(lengths > 0, (counts.astype(object) * shared // total).astype(np.int64), 0)
-        gap -= int((lengths * taken).sum())
-        for i in np.argsort(-lengths, kind="stable"):
-            if lengths[i] > 0 and gap > KNAPSACK_SUMS // 2:
-                more = min(int(counts[i] - taken[i]), (gap - KNAPSACK_SUMS // 2) // int(lengths[i]))
-                taken[i] += more
-                gap -= more * int(lengths[i])
-    return taken + _knapsack(lengths, counts - taken, gap)
-
-
-def _bits(number: int, n: int) -> np.ndarray:
-    """Places of the ones among the lowest n bits."""
-    raw = np.frombuffer(number.to_bytes(n // 8 + 1, "little"), np.uint8)
-    return np.flatnonzero(np.unpackbits(raw, bitorder="little")[:n])
-
-
-def _knapsack(lengths: np.ndarray, left: np.ndarray, gap: int) -> np.ndarray:
+    order = [i for i in np.random.Generator(np.random.PCG64(seed)).permutation(len(lengths)).tolist()
+             if lengths[i] > 0 and counts[i] > 0]
+    shared = max(0, budget - max(RESERVE_SUMS, RESERVE_LONGEST * int(lengths[order].max())))
+    owed = 0.0  # words rounded down so far, less those rounded up
+    for i in order:
+        taken[i], left = divmod(int(counts[i]) * shared, total)
+        share = left / total * float(lengths[i])
+        if left and owed + share >= lengths[i] / 2:
+            taken[i] += 1
+            share -= float(lengths[i])
+        owed += share
+    gap = budget - int((lengths * taken).sum())
+    return taken + _knapsack(lengths, counts - taken, gap, order)
+
+
+def _mark(sums: int, n: int, part: int, via: np.ndarray) -> None:
+    """Note the part at the places of the ones among the lowest n bits."""
+    raw = np.frombuffer(sums.to_bytes(n // 8 + 1, "little"), np.uint8)
+    for at in range(0, len(raw), 1 << 17):
+        block = raw[at:at + (1 << 17)]
+        if block.any():
+            places = np.flatnonzero(np.unpackbits(block, bitorder="little")) + 8 * at
+            via[places[places < n]] = part
+
+
+def _knapsack(lengths: np.ndarray, left: np.ndarray, gap: int, order) -> np.ndarray:
     """Bounded knapsack: counts whose sum is the reachable one nearest to ``gap``.
 
     A length's count is split into parts of 1, 2, 4, ... documents.  The sums that
@@ -105,23 +117,26 @@ def _knapsack(lengths: np.ndarray, left: np.ndarray, gap: int) -> np.ndarray:
     remembers the part that reached it first, and the sum before it was reached by
     earlier parts only, so walking back uses no part twice."""
     out = np.zeros(len(lengths), np.int64)
-    usable = [i for i in np.argsort(-lengths, kind="stable") if lengths[i] > 0 and left[i] > 0]
+    usable = [i for i in order if left[i] > 0]
     if gap <= 0 or not usable:
         return out
     # The nearest sum may lie above the gap, by less than the longest document.
-    limit = gap + min(gap, int(lengths[usable[0]]))
-    reached, full, via, parts = 1, (1 << (limit + 1)) - 1, np.full(limit + 1, -1, np.int32), []
+    limit = gap + min(gap, int(lengths[usable].max()))
+    reached, full, most, parts = 1, (1 << (limit + 1)) - 1, 0, []
+    via = np.full(limit + 1, -1, np.int32)
     for i in usable:
         n, size = min(int(left[i]), limit // int(lengths[i])), 1
-        while n > 0 and not (reached >> gap) & 1:
+        while n > 0 and via[gap] < 0:
             size = min(size, n)
             weight = int(lengths[i]) * size
             new = (reached << weight) & full & ~reached
-            via[_bits(new, limit + 1)] = len(parts)
+            most = min(limit, most + weight)
+            _mark(new, most + 1, len(parts), via)
             parts.append((weight, i, size))
             reached |= new
             n, size = n - size, size * 2
-    sums = _bits(reached, limit + 1)
+    via[0] = 0
+    sums = np.flatnonzero(via >= 0)
     at = int(sums[np.argmin(np.abs(sums - gap))])
     while at > 0:
         weight, i, size = parts[via[at]]
@@ -130,16 +145,19 @@ def _knapsack(lengths: np.ndarray, left: np.ndarray, gap: int) -> np.ndarray:
     return out
 
 
-def _fit_source(counts: pd.DataFrame) -> pd.DataFrame:
-    target, size = float(counts["target"].iloc[0]), int(counts["source_size"].iloc[0])
-    counts = counts.sort_values("size", kind="stable")
-    budget = int(np.floor(target + 0.5))
-    passes = min(budget // size, MAX_REPEATS) if size else 0
-    rest = budget - passes * size if passes < MAX_REPEATS else 0
-    chosen = fit_counts(counts["size"].to_numpy(), counts["n"].to_numpy(), rest)
-    return pd.DataFrame({
-        "source": counts["source"], "size": counts["size"], "n": counts["n"], "source_size": size, "target": target,
-        "passes": passes, "chosen": chosen})
+def _fit_source(seed: int):
+    def run(counts: pd.DataFrame) -> pd.DataFrame:
+        target, size, source = float(counts["target"].iloc[0]), int(counts["source_size"].iloc[0]), counts["source"].iloc[0]
+        counts = counts.sort_values("size", kind="stable")
+        budget = int(np.floor(target + 0.5))
+        passes = min(budget // size, MAX_REPEATS) if size else 0
+        rest = budget - passes * size if passes < MAX_REPEATS else 0
+        own_seed = seed if pd.isna(source) else seed + zlib.crc32(source.encode()) + 1
+        chosen = fit_counts(counts["size"].to_numpy(), counts["n"].to_numpy(), rest, own_seed)
+        return pd.DataFrame({
+            "source": counts["source"], "size": counts["size"], "n": counts["n"], "source_size": size, "target": target,
+            "passes": passes, "chosen": chosen})
+    return run
 
 
 def mix(sized: DataFrame, scratch: Scratch, seed: int = SEED, weights=WEIGHTS) -> DataFrame:
@@ -156,7 +174,7 @@ def mix(sized: DataFrame, scratch: Scratch, seed: int = SEED, weights=WEIGHTS) -
         by_length["source"], "size", "n", "source_size", "target")
     fitted = scratch.table(
         budgets.groupBy("source").applyInPandas(
-            _fit_source, "source string, size bigint, n bigint, source_size bigint, target double, passes bigint, chosen bigint"),
+            _fit_source(int(seed)), "source string, size bigint, n bigint, source_size bigint, target double, passes bigint, chosen bigint"),
         "fitted")
 
     def on_length(docs: DataFrame, table: DataFrame) -> DataFrame:

@@ -33,6 +33,39 @@ def test_large_budgets_and_empty_ones():
     assert fit_counts(np.array([0]), np.array([5]), 10).tolist() == [0]
 
 
+def test_few_long_documents_against_brute_force():
+    rng = random.Random(31)
+    for _ in range(25):
+        lengths = sorted({*rng.sample(range(100_000, 1_500_000), rng.randrange(2, 12)), 1_400_000})
+        counts = [rng.choice([1, 1, 2]) for _ in lengths]
+        sums = {0}
+        for length, n in zip(lengths, counts):
+            sums = {s + length * k for s in sums for k in range(n + 1)}
+        budget = rng.randrange(1, 10_000_000)
+        got = int((fit_counts(np.array(lengths), np.array(counts), budget) * lengths).sum())
+        assert abs(got - budget) == min(abs(s - budget) for s in sums)
+    assert int((fit_counts(np.array([300_000, 400_000, 500_000]), np.ones(3, int), 700_000) * [300_000, 400_000, 500_000]).sum()) == 700_000
+
+
+def test_seeds_choose_among_all_lengths():
+    lengths = np.arange(40_000, 140_000, 500)
+    chosen = [fit_counts(lengths, np.ones(200, int), 1_000_000, seed) for seed in (1, 2, 3)]
+    assert all(int((c * lengths).sum()) == 1_000_000 for c in chosen)
+    assert len({tuple(c) for c in chosen}) == 3 and all(lengths[c > 0].min() < 90_000 < lengths[c > 0].max() for c in chosen)
+    # Beyond the reserve too: shares of all lengths, and the sum is hit.
+    many = np.full(200, 50)
+    for budget in (5_000_500, 123_456_000, int((lengths * many).sum()) - 40_000):
+        taken = fit_counts(lengths, many, budget, 4)
+        assert int((taken * lengths).sum()) == budget and (taken >= 0).all() and (taken <= many).all()
+    assert ((fit_counts(lengths, many, 450_000_000, 4) - 25) ** 2).mean() < 30
+
+
+def test_one_rule_around_the_reserve():
+    lengths, counts = np.arange(1, 400), np.full(399, 20)
+    for budget in range(mixing.RESERVE_SUMS - 3, mixing.RESERVE_SUMS + 700, 97):
+        assert int((fit_counts(lengths, counts, budget) * lengths).sum()) == budget
+
+
 @pytest.mark.parametrize("sizes", [
     {"a": 100, "b": 10, "c": 1}, {"a": 5, "b": 5, "c": 5, None: 5}, {"x": 0, "y": 9}, {"é": 1000, "z": 1, "Z": 3, None: 2},
     {"only": 7}, {"none": 0}])
