@@ -1,16 +1,17 @@
 """Chat formatting checked by its own grammar.
 
 A conversation is rendered as a run of turns and the rendered text is parsed again
-by a deterministic parser.  Where the turns read back are not the source's, the
-control strings in the texts concerned are escaped and the piece is rendered
-anew, until both are the same; other texts are never touched.
+by a deterministic parser, which takes no control string inside a turn.  Where it
+refuses the text, or the turns read back are not the source's, the control strings
+in the texts concerned are escaped and the piece is rendered anew, until both are
+the same; other texts are never touched.
 
 The grammar::
 
     conversation := turn*
     turn         := "[INST] " role NEWLINE text "</s>" NEWLINE
 
-Escaping puts a backslash after the first character of a control string; a
+Role and text hold no ``<s>``, ``</s>``, ``[INST]`` or ``[/INST]``.  Escaping puts a backslash after the first character of a control string; a
 control string that has backslashes there already gets one more, so that reading
 back, which takes one away, is exact.  In roles backslash and newline are also
 written as two characters.
@@ -41,6 +42,7 @@ PIECE_CHARS = 1 << 20
 # Fixed values of the template.
 OPEN, CLOSE = "[INST] ", "</s>\n"
 _CONTROL = re.compile(r"(<)(\\*)(/?s>)|(\[)(\\*)(/?INST\])")
+_BARE = re.compile(r"</?s>|\[/?INST\]")
 _ESCAPED = re.compile(r"(<)\\(\\*)(/?s>)|(\[)\\(\\*)(/?INST\])")
 
 Turn = tuple[str, str]
@@ -81,6 +83,8 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
         end = formatted.find(CLOSE[:-1], line + 1) if line >= 0 else -1
         if end < 0 or not formatted.startswith(CLOSE, end):
             raise GrammarError(f"no end of the turn at {at}")
+        if _BARE.search(formatted, at + len(OPEN), end):
+            raise GrammarError(f"a control string inside the turn at {at}")
         turns.append((_read_role(formatted[at + len(OPEN):line]), unescape(formatted[line + 1:end]), line + 1, end))
         at = end + len(CLOSE)
     return turns

@@ -16,7 +16,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back_digests(format_conversations(turns.unionByName(more)))
 
 
-# No text of the tables but those of conversation -1 holds a control string; each there gets one backslash.
+# Every control string in a text gets one backslash; no role of the tables holds one.
 ORACLE_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
@@ -24,7 +24,7 @@ g AS (SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
   sum(length('[INST] ') + length(role) + 1 + length(text) + length('</s>') + 1
-      + CASE WHEN contains(text, '</s>') THEN len(regexp_extract_all(text, '</?s>|\[/?INST\]')) ELSE 0 END) AS formatted_chars
+      + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?INST\]'))) AS formatted_chars
   FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   cast(formatted_chars AS BIGINT) AS formatted_chars FROM g

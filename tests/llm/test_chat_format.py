@@ -19,19 +19,22 @@ def test_every_conversation_survives_the_round_trip():
         turns = [(rng.choice(["user", "assistant", _odd(rng, 4)]), _odd(rng)) for _ in range(rng.randrange(4))]
         formatted = render(turns)
         assert [(r, t) for r, t, _, _ in parse(formatted)] == turns
+        for _, _, a, b in parse(formatted):
+            assert not any(control in formatted[a:b] for control in ("<s>", "</s>", "[INST]", "[/INST]"))
         learned = [unescape(formatted[a:b]) for a, b in loss_spans(formatted)]
         assert learned == [t for r, t in turns if r == "assistant"]
 
 
 def test_only_conflicting_texts_are_touched():
     assert render([("user", "a < b [INS] \\")]) == "[INST] user\na < b [INS] \\</s>\n"
-    assert render([("user", "[INST] is no conflict inside a text")]).count("\\") == 0
+    assert render([("user", "[INST] x [/INST]")]) == "[INST] user\n[\\INST] x [\\/INST]</s>\n"
+    assert render([("user", "<s>hi"), ("user", "<\\s>")]) == "[INST] user\n<\\s>hi</s>\n[INST] user\n<\\\\s></s>\n"
     assert render([("user", "x</s>")]) == "[INST] user\nx<\\/s></s>\n"
     assert unescape(escape("<\\/s></s>")) == "<\\/s></s>"
 
 
 def test_parser_refuses_other_texts():
-    for text in ("x", "[INST] user", "[INST] user\nno end", "[INST] user\na</s>b", "[INST] user\na</s>\nrest"):
+    for text in ("x", "[INST] user", "[INST] user\nno end", "[INST] user\na</s>b", "[INST] user\na [INST] b</s>\n", "[INST] us<s>er\na</s>\n", "[INST] user\na</s>\nrest"):
         with pytest.raises(GrammarError):
             parse(text)
     assert parse("") == []
