@@ -50,15 +50,25 @@ def match_messages(messages: DataFrame, detector: str | None = None,
         return match_messages(messages, pinned=pinned, entries=entries).selectExpr(
             "*", f"'{LOCAL_SOURCE}' AS languageSource", "cast(NULL AS string) AS fallback")
     candidates = _or_none(candidates, messages)
-    # The language is not known before the join, so all entries are tried here
-    # and the text goes through the shuffle only where one of them matched.
+    narrow = tried_messages(messages, entries)
+    arriving = getattr(candidates, "language_of", None)
+    labelled = arriving(narrow) if arriving else with_remote_language(narrow, candidates)
+    return decided_messages(labelled, pinned)
+
+
+def tried_messages(messages: DataFrame, entries=ENTRIES) -> DataFrame:
+    """Normalized messages with the local language and the hits of all entries, before their label is known.
+
+    Only messages with a hit keep their text."""
     tried = with_hits(with_language(messages, pinned=False), any_language=True, pinned=False, entries=entries)
     others = [f"`{c}`" for c in tried.columns if c not in ("text", "hits", *LANGUAGE_COLUMNS)]
-    narrow = with_columns(tried.selectExpr(*others, "text AS _text", "hits AS _hits", *LANGUAGE_COLUMNS), {
+    return with_columns(tried.selectExpr(*others, "text AS _text", "hits AS _hits", *LANGUAGE_COLUMNS), {
         **{c: c for c in LANGUAGE_COLUMNS}, "hits": "_hits", "_blank": is_blank("_text"),
         "text": "if(size(_hits) > 0, _text, NULL)"}).drop("_text", "_hits")
-    arriving = getattr(candidates, "language_of", None)
-    labelled = arriving(narrow) if arriving else with_remote_language(narrow, candidates)
+
+
+def decided_messages(labelled: DataFrame, pinned: bool = True) -> DataFrame:
+    """Such messages once their language is known, with the hits that apply to it."""
     return with_columns(labelled, {
         **{c: c for c in LANGUAGE_COLUMNS}, "hits": gated_hits("hits", "language", "languageConfidence"),
     }, pinned)
@@ -86,7 +96,11 @@ def find_risks(messages: DataFrame, detector: str | None = None,
 def process_messages(raw: DataFrame, keep=(), strict: bool = True, detector: str | None = None,
                      candidates: DataFrame | None = None, entries=ENTRIES) -> DataFrame:
     """One nested result row per raw message."""
-    classified = classify_messages(normalize_messages(raw, keep, strict), detector, candidates, entries)
+    return routed_messages(classify_messages(normalize_messages(raw, keep, strict), detector, candidates, entries), keep, detector)
+
+
+def routed_messages(classified: DataFrame, keep=(), detector: str | None = None) -> DataFrame:
+    """The nested result rows of classified messages."""
     source = [] if detector is None else ["languageSource", "fallback"]
     return with_routes(classified).selectExpr(
         *[f"`{k}`" for k in keep],

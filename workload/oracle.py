@@ -405,6 +405,7 @@ ORACLE_SQL = {
     "redacted_excerpts": f"""{_DOC_FINDINGS} SELECT key[1] AS doc_id, category, excerpt,
         length(excerpt)::INTEGER AS excerpt_chars FROM findings""",
     "classify_remote": f"{_DOC_REMOTE} SELECT {_FINDING_COLUMNS} FROM findings",
+    "classify_stored": f"{_DOC_REMOTE} SELECT {_FINDING_COLUMNS} FROM findings",
     "route_tiers": f"{_DOC_FINDINGS} SELECT category, tier, count(*) AS findings FROM findings GROUP BY 1, 2",
     "suggested_actions": f"{_DOC_FINDINGS} SELECT key[1] AS doc_id, category, action, context FROM texts",
     "formatted_alerts": f"""{_DOC_FINDINGS} SELECT key[1] AS doc_id, tier_rank::INTEGER AS rank, alert

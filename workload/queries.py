@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from lumenward.functions.text import lookup
 from lumenward.functions.times import WEEKLY, day_of, usable_event_time
 from lumenward.functions.wording import alert_text, context_line, digest_item, suggested_action
 from lumenward.operators.digest import digest_of_findings, digest_pages, digests_by, findings_by_period, message_digest
-from lumenward.operators.findings import with_buckets
+from lumenward.operators.findings import exploded_findings, with_buckets
 from lumenward.operators.language import remote_requests, with_language, with_stopword_counts, with_words
 from lumenward.operators.matching import triggered_messages, with_hits
 from lumenward.operators.normalize import accepted_messages, normalize_messages, refused_messages
@@ -21,6 +23,7 @@ from lumenward.operators.routing import batched_findings, immediate_alerts, stre
 from lumenward.plans.messages import find_risks, label_messages, match_messages, process_messages
 from lumenward.plans.job import parse_options
 from lumenward.plans.job import run as run_job
+from lumenward.plans.stored import MessageStore
 from lumenward.plans.stream import StreamReport, process_stream, report_lines
 from lumenward.sources.jsonl import POSITION, read_jsonl, read_jsonl_tagged, read_jsonl_with_rejects
 from lumenward.sources.tables import as_raw_messages
@@ -176,6 +179,14 @@ def classify_remote(spark, sf_dir):
     return found.selectExpr(*_FINDING)
 
 
+def classify_stored(spark, sf_dir):
+    """Findings of stored messages by stored labels; only the tables of the join are read."""
+    store = MessageStore(spark, f"messages_{uuid.uuid4().hex}", new_table_path(spark, "store"), buckets=16)
+    store.write_messages(document_messages(spark, sf_dir), DOCUMENT_KEY, strict=False)
+    store.write_labels(label_candidates(spark, sf_dir), "given")
+    return exploded_findings(store.classified("given")).selectExpr(*_FINDING)
+
+
 # ---- routing, alerts, digest ----
 
 def route_tiers(spark, sf_dir):
@@ -557,6 +568,7 @@ QUERIES = {
     "findings_ranked": findings_ranked,
     "redacted_excerpts": redacted_excerpts,
     "classify_remote": classify_remote,
+    "classify_stored": classify_stored,
     "route_tiers": route_tiers,
     "suggested_actions": suggested_actions,
     "formatted_alerts": formatted_alerts,
