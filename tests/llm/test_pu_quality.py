@@ -1,11 +1,18 @@
+import math
 import random
+import re
+import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from lumenward.llm import op7_pu_quality
-from lumenward.llm.pu_quality import FEATURES, estimate_prior, features, fit, score_quality
+from lumenward.llm import op7_pu_quality, pu_quality
+from lumenward.llm.pu_quality import (
+    FEATURES, ArrayRows, TableRows, estimate_prior, features, fit, loss_sums, score_quality, standardised,
+)
 
 
 def _good(rng):
@@ -65,13 +72,98 @@ def test_prior_and_risk_on_two_clouds():
     rng = np.random.default_rng(15)
     good = rng.normal(0, 1, (2000, 3))
     mixed = np.vstack([rng.normal(0, 1, (2100, 3)), rng.normal(3, 1, (900, 3))])
-    extra = lambda x: np.hstack([x, np.ones((len(x), 1))])
-    assert abs(estimate_prior(extra(good), extra(mixed)) - 0.7) < 0.1
-    model = fit(good, mixed)
+    assert abs(estimate_prior(good, ArrayRows(mixed), good.mean(axis=0), good.std(axis=0)) - 0.7) < 0.1
+    model = fit(good, ArrayRows(mixed))
     score = np.clip((mixed - model.mean) / model.scale, -8, 8) @ model.weights + model.bias
     assert np.mean(score[:2100] > 0) > 0.95 and np.mean(score[2100:] < 0) > 0.85
 
 
+def test_fit_ends_where_the_plain_gradient_vanishes():
+    rng = np.random.default_rng(16)
+    good, mixed = rng.normal(0, 1, (300, 2)), np.vstack([rng.normal(0, 1, (350, 2)), rng.normal(2, 1, (150, 2))])
+    model = fit(good, ArrayRows(mixed), 0.4)
+    weights = [*model.weights, model.bias]
+
+    def plain(row):
+        return [*(max(-8.0, min(8.0, (v - m) / s)) for v, m, s in zip(row, model.mean, model.scale)), 1.0]
+
+    def score(row):
+        return sum(w * v for w, v in zip(weights, plain(row)))
+
+    for k in range(3):
+        unlabelled = sum(plain(r)[k] / (1 + math.exp(-score(r))) for r in mixed) / len(mixed)
+        positive = sum(plain(r)[k] for r in good) / len(good)
+        assert abs(unlabelled - 0.4 * positive + 1e-4 * weights[k]) < 1e-4
+    rest = sum(math.log1p(math.exp(score(r))) for r in mixed) / len(mixed) - 0.4 * sum(math.log1p(math.exp(score(r))) for r in good) / len(good)
+    assert rest >= 0
+
+
+def test_the_remainder_stays_above_zero():
+    # With too large a prior the unbiased risk has no lower bound worth reaching: steps stop at the edge.
+    rng = np.random.default_rng(17)
+    good, mixed = rng.normal(3, 1, (200, 2)), rng.normal(0, 1, (200, 2))
+    model = fit(good, ArrayRows(mixed), 0.95)
+    soft = lambda rows: np.logaddexp(0, standardised(rows, model.mean, model.scale) @ np.append(model.weights, model.bias)).mean()
+    assert soft(mixed) - 0.95 * soft(good) >= 0
+
+
+def test_sums_of_a_table_are_those_of_its_rows(spark):
+    rng = np.random.default_rng(18)
+    rows = rng.normal(1, 3, (777, len(FEATURES)))
+    table = spark.createDataFrame([(r.tolist(),) for r in rows], "features array<double>").repartition(5)
+    mean, scale = rows.mean(axis=0), rows.std(axis=0)
+    weights = [rng.normal(0, 1, len(FEATURES) + 1) for _ in range(3)]
+    for got, want in zip(TableRows(table).sums(mean, scale, weights), ArrayRows(rows).sums(mean, scale, weights)):
+        assert np.allclose(got, want, atol=1e-6)
+    marks = np.sort(rng.normal(0, 2, 50))
+    assert (TableRows(table).above(mean, scale, weights[0], marks) == ArrayRows(rows).above(mean, scale, weights[0], marks)).all()
+    z = [sum(w * v for w, v in zip(weights[0], row)) for row in standardised(rows, mean, scale)]
+    assert np.isclose(loss_sums(standardised(rows, mean, scale), weights[0])[1], sum(max(x, 0) + math.log1p(math.exp(-abs(x))) for x in z))
+
+
+def test_every_unlabelled_row_counts(spark, documents, scratch):
+    """Beyond any sample: a kind of text that is rare, and by hash not among the first, moves the scores."""
+    docs, labels, _ = _tables(spark, documents, 200)
+    more = documents([(10_000 + i, "&&& " * 40) for i in range(60)])
+    a = {r.doc_id: r.score for r in score_quality(docs, labels, scratch).collect()}
+    b = {r.doc_id: r.score for r in score_quality(docs.union(more), labels, scratch).collect()}
+    assert any(abs(a[i] - b[i]) > 1e-6 for i in a) and not hasattr(pu_quality, "UNLABELLED")
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _plain_features(text):
+    """By the definitions, one at a time."""
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    seen, dup = set(), 0
+    for line in lines:
+        dup += line in seen
+        seen.add(line)
+    windows = Counter(tuple(words[i:i + 3]) for i in range(len(words) - 2))
+    repeated = {j for i in range(len(words) - 2) if windows[tuple(words[i:i + 3])] > 1 for j in range(i, i + 3)}
+    solid = [b for b in text.encode() if b not in b" \t\n\x0b\x0c\r"]
+    n, size = max(len(words), 1), max(len(solid), 1)
+    letters = [c for c in text if c.isascii() and c.isalpha()]
+    counts = Counter(words)
+    return [math.log1p(len(words)), sum(map(len, words)) / n, sum(c in "#*$%&|<>" for c in text) / n, dup / max(len(lines), 1),
+            len(repeated) / n, sum(c.isupper() for c in letters) / max(len(letters), 1), sum(48 <= b <= 57 for b in solid) / size,
+            sum(chr(b) in string.punctuation for b in solid) / size, sum(b >= 128 for b in solid) / size, len(counts) / n,
+            max(counts.values(), default=0) / n, math.log1p(len(words) / max(len(lines), 1)), float(not words)]
+
+
+def test_features_against_plain_code():
+    rng = random.Random(19)
+    texts = [None, "", "a", "A B\nA B\n", "1234 !!", "é" * 50, _good(rng), *(_bad(rng) for _ in range(6)),
+             *("".join(rng.choice(["a", "B", " ", "\n", "é", "7", "#", "the ", ".", "x y z "]) for _ in range(60)) for _ in range(40))]
+    got = features(pa.array(texts))
+    for text, row in zip(texts, got):
+        want = dict(zip(FEATURES, _plain_features(text)))
+        assert dict(zip(FEATURES, row.tolist())) == pytest.approx(want, abs=1e-9), text
+
+
 def test_features_are_finite():
     found = features(pa.array([None, "", "a", "A B\nA B\n", "1234 !!", "é" * 50]))
     assert found.shape == (6, len(FEATURES)) and np.isfinite(found).all()
