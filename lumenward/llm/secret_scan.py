@@ -15,6 +15,8 @@ Spans are (kind, start, end) in code points, the end exclusive.
 
 Defined results: null and empty texts have no spans; very long texts are scanned
 whole; repeated rows give repeated rows; an empty table gives an empty one.
+Columns that are not kept play no part; kept ones must not have the names of the
+results.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ _HEX = re.compile(rf"[0-9a-f]{{{MIN_HEX},}}")
 _NAMES = re.compile(r"passw|secret|token|api_?key", re.A | re.I)
 
 #: The token test looks at runs, and stretches of them, of this length or more with a letter in them...
-MIN_RANDOM = 20
-_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}")
+MIN_RANDOM = 16
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: ...which the vocabulary needs a token for fewer characters than this.
 MAX_CHARS_PER_TOKEN = 2.0
 #: Letters with a capital among them, as in names of classes, take more tokens than words do:
@@ -56,6 +58,16 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Lengths of the hexadecimal forms of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 _DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+#: Fewer different characters than this are a code of its own, such as bases of DNA.
+MIN_DIFFERENT = 6
+#: What names, dates and versions have between separators: numbers, a few letters, a few of both, words with a number.
+_SMALL = re.compile(
+    r"[0-9]{1,8}|[A-Za-z]{1,3}|(?:[A-Za-z]{1,3}[0-9]{1,4}){1,2}|[0-9]{1,4}[A-Za-z]{1,2}(?:[0-9]{1,2})?|[0-9a-f]{1,4}|[0-9A-F]{1,4}")
+_NUMBERED = re.compile(r"([A-Za-z]{3,})[0-9]{0,8}")
+#: Characters to a token of a word there, which is short and among others.
+MIN_NAMED_PER_TOKEN = 2.0
+#: Letters of one case need more of them, as words are such.
+MIN_ONE_CASE = 20
 #: Words, numbers and capitalised words between separators, such as names of files or functions.
 _IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*")
 
@@ -93,7 +105,26 @@ def _is_identifier(run: str) -> bool:
     return bool(_IDENTIFIER.fullmatch(run if _has_digit(run) else run.strip(_SEPARATORS)))
 
 
+def _is_name(run: str, count_tokens: Callable[[str], int]) -> bool:
+    """Two or more parts between separators, none of them more than a word, a number or a little of both."""
+    parts = _PART.findall(run)
+    if len(parts) < 2:
+        return False
+    for part in parts:
+        if not _SMALL.fullmatch(part):
+            numbered = _NUMBERED.fullmatch(part)
+            if not numbered or len(numbered[1]) < MIN_NAMED_PER_TOKEN * count_tokens(numbered[1]):
+                return False
+    return True
+
+
 def _is_random(run: str, count_tokens: Callable[[str], int], limit: float) -> bool:
+    if len(set(run.lower())) < MIN_DIFFERENT or _is_name(run, count_tokens):
+        return False
+    if sum(ord(b) - ord(a) == 1 for a, b in zip(run, run[1:])) > len(run) // 2:  # a stretch of the alphabet
+        return False
+    if len(run) < MIN_ONE_CASE and run.isalpha() and (run.islower() or run.isupper()):
+        return False
     if not _has_digit(run):
         if any(run[period:] == run[:-period] for period in range(1, min(MAX_PERIOD, len(run) // 3) + 1)):
             return False
@@ -117,7 +148,7 @@ def _stretches(run: str, count_tokens: Callable[[str], int]) -> Iterator[tuple[i
         yield start, len(run)
 
 
-def _random_in(run: str, count_tokens: Callable[[str], int], limit: float) -> Iterator[tuple[int, int]]:
+def _random_in(run: str, count_tokens: Callable[[str], int], limit: float, least: int) -> Iterator[tuple[int, int]]:
     """The run if it is random as a whole, else the stretches of it that are, else their parts."""
     if not _is_identifier(run):
         if is_known(run):
@@ -127,30 +158,31 @@ def _random_in(run: str, count_tokens: Callable[[str], int], limit: float) -> It
             return
     for start, end in _stretches(run, count_tokens):
         stretch = run[start:end]
-        if end - start < MIN_RANDOM:
+        if end - start < least:
             continue
         if not _is_identifier(stretch) and not is_known(stretch) and _is_random(stretch, count_tokens, limit):
             yield start, end
             continue
         for m in _PART.finditer(stretch):
             part = m[0]
-            if len(part) >= MIN_RANDOM and (part.isalpha() or not is_known(part)) and _is_random(part, count_tokens, limit):
+            if len(part) >= least and (part.isalpha() or not is_known(part)) and _is_random(part, count_tokens, limit):
                 yield start + m.start(), start + m.end()
 
 
-def random_spans(text: str, count_tokens: Callable[[str], int], limit: float = MAX_CHARS_PER_TOKEN) -> list[Span]:
-    """Runs, or stretches of them, with few characters to a token."""
+def random_spans(text: str, count_tokens: Callable[[str], int], limit: float = MAX_CHARS_PER_TOKEN,
+                 least: int = MIN_RANDOM) -> list[Span]:
+    """Runs of ``least`` characters or more, or stretches of them, with few characters to a token."""
     return [
-        (RANDOM, m.start() + start, m.start() + end) for m in _RUN.finditer(text)
-        for start, end in _random_in(m[0], count_tokens, limit)]
+        (RANDOM, m.start() + start, m.start() + end) for m in _RUN.finditer(text) if m.end() - m.start() >= least
+        for start, end in _random_in(m[0], count_tokens, limit, least)]
 
 
 def joined(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
-def all_spans(text: str, count_tokens: Callable[[str], int]) -> list[Span]:
-    return sorted(base_spans(text) + random_spans(text, count_tokens), key=_order)
+def all_spans(text: str, count_tokens: Callable[[str], int], least: int = MIN_RANDOM) -> list[Span]:
+    return sorted(base_spans(text) + random_spans(text, count_tokens, least=least), key=_order)
 
 
 def redacted(text: str, spans: list[Span], mark: str = "[REDACTED]") -> str:
@@ -163,8 +195,14 @@ def redacted(text: str, spans: list[Span], mark: str = "[REDACTED]") -> str:
     return "".join([*out, text[at:]]) if out else text
 
 
-def scan(docs: DataFrame, path: str, pattern: str, text: str = "text", keep=("doc_id",)) -> DataFrame:
-    """``keep``, ``spans`` and ``clean_text``, the text without them."""
+def scan(docs: DataFrame, path: str, pattern: str, text: str = "text", keep=("doc_id",), least: int = MIN_RANDOM) -> DataFrame:
+    """``keep``, ``spans`` and ``clean_text``, the text without them.
+
+    ``least`` is the floor of the token test: a lower one finds shorter keys and takes more
+    names for keys."""
+    clash = {"spans", "clean_text", "_scan_text"} & {k.lower() for k in keep}
+    if clash:
+        raise ValueError(f"columns of these names are made here: {sorted(clash)}")
     rows = docs.selectExpr(*[f"`{k}`" for k in keep], f"`{text}` AS _scan_text")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -175,7 +213,7 @@ def scan(docs: DataFrame, path: str, pattern: str, text: str = "text", keep=("do
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = part.column(part.num_columns - 1).to_pylist()
-                spans = [all_spans(t, lambda run: len(encode(run))) if t else [] for t in texts]
+                spans = [all_spans(t, lambda run: len(encode(run)), least) if t else [] for t in texts]
                 clean = [t if not s else redacted(t, s) for t, s in zip(texts, spans)]
                 listed = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans]
                 yield pa.RecordBatch.from_arrays(
