@@ -5,7 +5,7 @@ import zlib
 import pytest
 
 from lumenward.llm import op6_url_filter
-from lumenward.llm.url_filter import GRAM, RULES, SLOTS, filter_urls, labelled_urls, train
+from lumenward.llm.url_filter import ALLOWED_HOSTS, BLOCKED_HOSTS, GRAM, RULES, SLOTS, filter_urls, labelled_urls, train
 from tests.llm import brute
 
 URLS = [
@@ -75,6 +75,17 @@ def test_model_tells_hosts_apart(spark, model):
     assert filter_urls(table.limit(0), model).count() == 0
 
 
+def test_no_host_is_judged_by_its_own_label(spark, model):
+    """No labelled host is one of the given pages, and those are told apart all the same."""
+    known = {h.removesuffix(".test") for h in (*BLOCKED_HOSTS, *ALLOWED_HOSTS)}
+    rows = filter_urls(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), model).where("rule IS NULL AND host <> ''").collect()
+    names = [(r, set(r.host.split("."))) for r in rows]
+    assert not any(known & parts for _, parts in names)
+    bad = {"adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-far", "spam-farm"}
+    wrong = [r.host for r, parts in names if (r.verdict == "block") != bool(bad & parts or any(p.startswith(b) for p in parts for b in bad))]
+    assert len(wrong) <= 0.02 * len(rows), wrong
+
+
 def test_training_repeats_itself(spark, model):
     assert train(labelled_urls(spark)) == model
 
