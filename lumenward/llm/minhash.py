@@ -196,13 +196,26 @@ def _rare_shingle_pairs(nodes: DataFrame, texts: DataFrame, settings: Settings,
                           f"posexplode(slice(rarest, 1, cast(size(rarest) - {needed} + 1 AS int))) AS (place, entry)")
         .where("entry.df > 1").join(sets.select("doc_id", "component"), F.col("_doc") == F.col("doc_id"))
         .selectExpr("entry.shingle AS shingle", "place", "doc_id", "n", "component"), "prefixes")
-    a = prefixes.selectExpr("shingle AS _s", "place AS p_a", "doc_id AS a", "n AS n_a", "component AS c_a")
-    b = prefixes.selectExpr("shingle", "place AS p_b", "doc_id AS b", "n AS n_b", "component AS c_b")
     # What two sets of these sizes must share leaves each with so many others, and a shared one right after them.
     shared = f"({settings.percent} * (n_a + n_b) + {99 + settings.percent}) div {100 + settings.percent}"
-    return a.join(b, F.expr(
-        f"shingle = _s AND a < b AND c_a <> c_b AND p_a <= n_a - {shared} AND p_b <= n_b - {shared}"
-    )).select("a", "b").distinct()
+    return across_components(prefixes, scratch).where(f"p_a <= n_a - {shared} AND p_b <= n_b - {shared}").selectExpr(
+        "least(a, b) AS a", "greatest(a, b) AS b").distinct()
+
+
+def across_components(prefixes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of rows of (shingle, place, doc_id, n, component) with the same shingle and different components.
+
+    The rows of a shingle are first counted by component.  Where there is only one,
+    nothing is paired; else every row outside of the shingle's largest component
+    is paired with the others, so that a group of near copies never meets itself: at
+    most twice as many pairs are made as are kept."""
+    counted = prefixes.groupBy("shingle", "component").agg(F.count("*").alias("rows"))
+    largest = counted.groupBy("shingle").agg(F.count("*").alias("components"), F.max(F.struct("rows", "component")).alias("most")).where(
+        "components > 1").selectExpr("shingle AS _contested", "most.component AS largest")
+    held = scratch.table(prefixes.join(largest, F.col("shingle") == F.col("_contested")).drop("_contested"), "contested")
+    a = held.where("component <> largest").selectExpr("shingle AS _s", "place AS p_a", "doc_id AS a", "n AS n_a", "component AS c_a")
+    b = held.selectExpr("shingle", "place AS p_b", "doc_id AS b", "n AS n_b", "component AS c_b", "largest")
+    return a.join(b, F.expr("shingle = _s AND c_a <> c_b AND (c_b = largest OR a < b)")).select("a", "b", "p_a", "p_b", "n_a", "n_b")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:

@@ -6,7 +6,9 @@ import pytest
 
 from lumenward.llm import op5_minhash
 from lumenward.llm.components import components
-from lumenward.llm.minhash import Settings, keep_one_of_each, miss_probability, near_duplicates, shingle_sets, signatures
+from lumenward.llm.minhash import (
+    Settings, across_components, keep_one_of_each, miss_probability, near_duplicates, shingle_sets, signatures,
+)
 from tests.llm import brute
 
 
@@ -86,3 +88,21 @@ def test_rows_without_id_or_repeated_and_one_large_group(spark, scratch, documen
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 3, 10]
     assert near_duplicates(documents([]), Settings(), scratch).count() == 0
     assert keep_one_of_each(documents([]), Settings(), scratch).count() == 0
+
+
+def test_a_group_of_copies_never_meets_itself(spark, scratch):
+    """Of rows (shingle, place, doc_id, n, component): all pairs across components, and few others made."""
+    rng = random.Random(41)
+    rows = [(s, 0, d, 40, 1) for s in range(20) for d in range(800)] + [(s, 0, 5000, 40, 2) for s in range(20)]
+    rows += [(100 + s, 0, d, 40, d % 3) for s in range(5) for d in range(60)] + [(200, 0, d, 40, 7) for d in range(50)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "shingle bigint, place int, doc_id bigint, n int, component bigint")
+    found = across_components(table, scratch)
+    want = {(min(a[2], b[2]), max(a[2], b[2])) for s in {r[0] for r in rows} for own in [[r for r in rows if r[0] == s]]
+            for a in own for b in own if a[4] < b[4]}
+    got = [tuple(sorted((r.a, r.b))) for r in found.select("a", "b").collect()]
+    assert set(got) == want and len(got) == 20 * 800 + 5 * 3 * 20 * 20
+    # Rows of the larger side that meet a row outside of the largest component: what the join looks at.
+    met = sum(sum(1 for r in own if r[4] != big) * len(own) for s in {r[0] for r in rows} for own in [[r for r in rows if r[0] == s]]
+              for big in [max((sum(1 for r in own if r[4] == c), c) for c in {r[4] for r in own})[1]])
+    assert met <= 2 * len(got) + 20
