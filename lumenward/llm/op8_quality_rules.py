@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenward.llm.common import read_table, typed
-from lumenward.llm.quality_rules import BASE_RULES, judge, ledger, mask
+from lumenward.llm.quality_rules import BASE_RULES, BIT, LATEST, POLICIES, ablation, judge, ledger, mask
+from lumenward.storage import Scratch
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = ledger(typed(read_table(spark, sf_dir, "documents"), doc_id="bigint", text="string"))
-    return judge(entries).selectExpr(
+    """Every document's ledger entry, the verdict of each policy, and the latest policy's ablation: the rule
+    that alone rejects a document, and how many documents would be kept without it."""
+    texts = typed(read_table(spark, sf_dir, "documents"), doc_id="bigint", text="string")
+    entries = Scratch(spark).table(ledger(texts), "ledger")
+    for policy in POLICIES:
+        entries = judge(entries, policy, f"kept_v{policy}")
+    alone = " ".join(f"WHEN {BIT[rule]}L THEN '{rule}'" for rule in POLICIES[LATEST])
+    without = ablation(entries).selectExpr("rule AS _rule", "kept_without")
+    return entries.withColumn("sole_rule", F.expr(f"CASE failed & {mask(POLICIES[LATEST])}L {alone} END")).join(
+        F.broadcast(without), F.col("sole_rule") == F.col("_rule"), "left").selectExpr(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        f"(failed & {mask(BASE_RULES)}L) <> 0 AS base_failed", "kept", "failed AS failed_bits", "n_lines", "n_upper",
-        "n_letters")
+        f"(failed & {mask(BASE_RULES)}L) <> 0 AS base_failed", f"kept_v{LATEST} AS kept", "failed AS failed_bits", "n_lines", "n_upper",
+        "n_letters", "kept_v1", "kept_v2", "sole_rule", "kept_without AS sole_rule_documents")
 
 
 ORACLE_SQL = r"""
@@ -41,6 +51,10 @@ b AS (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END
         + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines THEN 32 ELSE 0 END
         + CASE WHEN n_letters > 0 AND 100 * n_upper > 60 * n_letters THEN 64 ELSE 0 END AS bits FROM m)
 SELECT doc_id, n_words, cast(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  bits & 3 <> 0 AS base_failed, bits = 0 AS kept, cast(bits AS BIGINT) AS failed_bits, n_lines, n_upper, n_letters
+  bits & 3 <> 0 AS base_failed, bits = 0 AS kept, cast(bits AS BIGINT) AS failed_bits, n_lines, n_upper, n_letters,
+  bits & 3 = 0 AS kept_v1, bits & 39 = 0 AS kept_v2,
+  CASE bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'short_words'
+    WHEN 16 THEN 'long_words' WHEN 32 THEN 'duplicate_lines' WHEN 64 THEN 'shouting' END AS sole_rule,
+  CASE WHEN bits IN (1, 2, 4, 8, 16, 32, 64) THEN count(*) OVER (PARTITION BY bits) END AS sole_rule_documents
 FROM b
 """

@@ -153,8 +153,11 @@ def _measured(keep: list[str]):
 def ledger(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:
     """``keep``, the measurements, and ``failed``: a bit for each rule that fails.
 
-    ``keep`` must not hold a name of :data:`MEASURES`; callers that carry such
-    columns rename them."""
+    ``keep`` must not hold a name of :data:`MEASURES`, or ``failed``; callers that
+    carry such columns rename them."""
+    clash = {*MEASURES, "failed"} & {k.lower() for k in keep}
+    if clash:
+        raise ValueError(f"columns of these names are made here: {sorted(clash)}")
     kept = [f"`{k}`" for k in keep]
     rows = docs.selectExpr(*kept, f"cast(`{text}` AS string) AS _rule_text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
