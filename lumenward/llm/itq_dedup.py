@@ -12,7 +12,9 @@ Where two signs differ in a coordinate, the coordinates lie on both sides of zer
 and the smaller one is at most half of their distance.  So if every vector is
 entered not only under its own code but under all codes that flip coordinates
 whose squares sum to at most (2 - 2c) / (4m), linked vectors meet in some table,
-each flipping the coordinates in which it is the smaller one.
+each flipping the coordinates in which it is the smaller one.  More tables mean
+fewer flips but shorter codes, which more vectors share by chance; how many tables
+make the least work of both is estimated from the sample.
 
 A vector so close to many zeros that it would need more than :data:`PROBES`
 entries in one table is compared with all vectors of its label instead, block
@@ -45,8 +47,10 @@ from lumenward.storage import Scratch
 
 SAMPLE = 4096
 CODE_BITS = 63
-TABLES = 3
+MOST_TABLES = 8
 PROBES = 4096
+#: Vectors that the number of tables is estimated on.
+ESTIMATE = 256
 ROUNDS = 40
 SEED = 11
 #: Vectors to a block where blocks are compared.
@@ -115,6 +119,27 @@ def flips(coordinates: np.ndarray, budget: float, most: int) -> tuple[np.ndarray
     return masks ^ code, masks
 
 
+def flip_budget(least: float, tables: int) -> float:
+    return (2 - 2 * least) / (4 * tables) * (1 + 1e-9) + 1e-12
+
+
+def choose_tables(codes: Codes, sample: np.ndarray, vectors: int, labels: int, least: float, probes: int) -> int:
+    """The number of tables with the fewest entries and chance meetings together, of so many
+    vectors with so many labels; ``sample`` are unit vectors."""
+    spots = codes.coordinates(sample[:ESTIMATE])
+    bits, best = spots.shape[1], None
+    for tables in range(1, min(MOST_TABLES, bits) + 1):
+        edges = np.linspace(0, bits, tables + 1).astype(int)
+        work = 0.0
+        for a, b in zip(edges, edges[1:]):
+            found = [flips(row[a:b], flip_budget(least, tables), probes) for row in spots]
+            each = vectors * float(np.mean([probes if f is None else len(f[0]) for f in found]))
+            work += each + each * each / (2 * max(labels, 1) * 2.0 ** int(b - a))
+        if best is None or work < best[0]:
+            best = work, tables
+    return best[1]
+
+
 def _digest(label: int, vector: np.ndarray) -> bytes:
     return hashlib.blake2b(np.int64(label).tobytes() + (vector + 0.0).tobytes(), digest_size=16).digest()
 
@@ -147,6 +172,8 @@ def _entered(codes: Codes, budget: float, tables: int, probes: int):
                 ids, labels = part.column(0).to_numpy(), part.column(1).to_numpy()
                 sizes = np.diff(part.column(2).offsets.to_numpy())
                 spots = codes.coordinates(units(_matrix(part.column(2), len(codes.mean))))
+                named = mix64(labels.astype(np.int64).view(np.uint64)) + sizes.astype(np.uint64)
+                salts = mix64(mix64(named)[:, None] + np.arange(1, tables + 1, dtype=np.uint64))
                 keys, masks, owners, heavy = [], [], [], []
                 for r in range(len(ids)):
                     own = [flips(spots[r, a:b], budget, probes) for a, b in zip(edges, edges[1:])]
@@ -154,8 +181,7 @@ def _entered(codes: Codes, budget: float, tables: int, probes: int):
                         heavy.append(ids[r])
                         continue
                     for table, (code, mask) in enumerate(own):
-                        salt = np.uint64(hash((int(labels[r]), int(sizes[r]), table)) & (2 ** 64 - 1))
-                        keys.append(mix64(code.astype(np.uint64) + mix64(salt.reshape(1))[0]).view(np.int64))
+                        keys.append(mix64(code.astype(np.uint64) + salts[r, table]).view(np.int64))
                         masks.append(mask)
                         owners.append(np.full(len(mask), ids[r]))
                 n_heavy = len(heavy)
@@ -221,7 +247,7 @@ def _against_all(heavy: DataFrame, classes: DataFrame, least: float) -> DataFram
         _blocks_compared(least), "a bigint, b bigint, n_a bigint, n_b bigint")
 
 
-def near_duplicates(vectors: DataFrame, least: float, scratch: Scratch, tables: int = TABLES, probes: int = PROBES,
+def near_duplicates(vectors: DataFrame, least: float, scratch: Scratch, tables: int | None = None, probes: int = PROBES,
                     sample: int = SAMPLE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of (vec_id, label, embedding), a row for each row."""
     rows = vectors.selectExpr("cast(vec_id AS bigint) AS vec_id", "cast(label AS bigint) AS label", "embedding AS vector")
@@ -233,11 +259,15 @@ def near_duplicates(vectors: DataFrame, least: float, scratch: Scratch, tables:
         F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     classes = scratch.table(named, "classes")
     picked = classes.orderBy(F.expr("xxhash64(digest)"), "digest").limit(sample).select("vector").toArrow()["vector"]
-    width = classes.agg(F.max(F.size("vector"))).first()[0]
+    about = classes.agg(F.max(F.size("vector")).alias("width"), F.count("*").alias("n"), F.countDistinct("label").alias("labels")).first()
+    width = about.width
     if width is None:
         return rows.selectExpr("vec_id", "0L AS n_links", "vec_id AS component_id", "true AS kept")
-    codes = Codes.fit(units(_matrix(picked.combine_chunks().cast(pa.list_(pa.float64())), width)))
-    budget = (2 - 2 * least) / (4 * tables) * (1 + 1e-9) + 1e-12
+    chosen = units(_matrix(picked.combine_chunks().cast(pa.list_(pa.float64())), width))
+    codes = Codes.fit(chosen)
+    if tables is None:
+        tables = choose_tables(codes, chosen, about.n, about.labels, least, probes)
+    budget = flip_budget(least, tables)
     entries = scratch.table(
         classes.select("id", "label", "vector").mapInArrow(
             _entered(codes, budget, tables, probes), "key bigint, mask bigint, id bigint"), "entries")

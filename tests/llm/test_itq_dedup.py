@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lumenward.llm import itq_dedup, op1_itq_dedup
-from lumenward.llm.itq_dedup import Codes, cosines, flips, near_duplicates, units
+from lumenward.llm.itq_dedup import Codes, choose_tables, cosines, flips, near_duplicates, units
 from tests.llm import brute
 
 
@@ -43,9 +43,9 @@ def _table(spark, rows):
     return spark.createDataFrame([(i, v, label, "x") for i, label, v in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("probes", [4096, 2])
-def test_query_against_all_pairs(spark, as_tables, monkeypatch, probes):
-    monkeypatch.setattr(near_duplicates, "__defaults__", (3, probes, 4096))
+@pytest.mark.parametrize("tables, probes", [(None, 4096), (3, 4096), (3, 2), (1, 50), (7, 4096)])
+def test_query_against_all_pairs(spark, as_tables, monkeypatch, tables, probes):
+    monkeypatch.setattr(near_duplicates, "__defaults__", (tables, probes, 4096))
     monkeypatch.setattr(itq_dedup, "BLOCK", 16)
     rows = _vectors(18)
     odd = [(2000, 0, None), (2001, 0, []), (2002, 0, [0.0] * 16), (2003, 0, [float("nan")] * 16), (2004, 0, [None] * 16),
@@ -81,3 +81,12 @@ def test_codes_are_balanced_and_flips_complete():
     _, masks = flips(spot, 0.02, 256)
     want = {m for m in range(256) if sum(spot[i] ** 2 for i in range(8) if m >> i & 1) <= 0.02}
     assert set(masks.tolist()) == want and flips(spot, 0.02, len(want) - 1) is None
+
+
+def test_more_vectors_get_longer_codes():
+    rng = np.random.default_rng(9)
+    sample = units(rng.normal(size=(1000, 64)))
+    codes = Codes.fit(sample)
+    chosen = [choose_tables(codes, sample, n, 10, 0.98, 4096) for n in (10 ** 4, 10 ** 6, 10 ** 9)]
+    assert chosen == sorted(chosen, reverse=True) and chosen[0] > chosen[-1] >= 1
+    assert choose_tables(Codes.fit(sample[:, :2]), sample[:, :2], 100, 1, 0.98, 4096) <= 2
