@@ -432,8 +432,10 @@ ORACLE_SQL = {
     "process_messages_remote": f"""{_DOC_REMOTE}
         {_per_message('l.language_source AS "languageSource"', 'l.fallback')}""",
     "stream_report": f"{_CONV_FINDINGS}, {_REPORT} SELECT * FROM report",
-    "job_text_report": f"""{_CONV_FINDINGS}, {_REPORT}, split AS (SELECT unnest(string_split(line, chr(10))) AS line FROM report)
-        SELECT line, count(*) AS lines FROM split GROUP BY 1""",
+    "job_text_report": f"""{_CONV_FINDINGS}, {_REPORT}, split AS (
+          SELECT section, conv_id, turn, line_no, unnest(parts) AS line, generate_subscripts(parts, 1) AS part
+          FROM (SELECT *, string_split(line, chr(10)) AS parts FROM report))
+        SELECT row_number() OVER (ORDER BY section, conv_id, turn, line_no, part) AS line_no, line FROM split""",
     "job_json_results": f"""{_CONV_FINDINGS} SELECT id, language, immediate_categories, alerts
         FROM ({_per_message().replace('l.doc_id, ', '')})""",
     "job_refused": f"WITH {_RAW_CONVERSATIONS} SELECT id, source, {_REFUSED} AS reason FROM raw WHERE NOT {_SANCTIONED}",

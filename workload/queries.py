@@ -19,6 +19,7 @@ from lumenward.operators.findings import exploded_findings, with_buckets
 from lumenward.operators.language import remote_requests, with_language, with_stopword_counts, with_words
 from lumenward.operators.matching import triggered_messages, with_hits
 from lumenward.operators.normalize import accepted_messages, normalize_messages, refused_messages
+from lumenward.operators.numbering import with_row_numbers
 from lumenward.operators.routing import batched_findings, immediate_alerts, stream_counts
 from lumenward.plans.messages import find_risks, label_messages, match_messages, process_messages
 from lumenward.plans.job import parse_options
@@ -402,9 +403,11 @@ def _job(spark: SparkSession, sf_dir: str, *more: str) -> tuple[str, str]:
 
 
 def job_text_report(spark, sf_dir):
-    """The lines of the job's text report, counted."""
+    """The lines of the job's text report, numbered as its part files follow one another by name."""
     output, _ = _job(spark, sf_dir)
-    return spark.read.text(output).groupBy("value").agg(F.count("*").alias("lines")).selectExpr("value AS line", "lines")
+    placed = spark.read.text(output, lineSep="\n").selectExpr(
+        "_metadata.file_name AS file", "monotonically_increasing_id() AS row", "value AS line")
+    return with_row_numbers(materialize(placed, "report"), ["file", "row"], "line_no").select("line_no", "line")
 
 
 def job_json_results(spark, sf_dir):
