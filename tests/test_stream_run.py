@@ -7,7 +7,9 @@ import pytest
 from lumenward.operators.digest import digest_of_findings
 from lumenward.plans.messages import process_messages
 from lumenward.schema import CANDIDATES_SCHEMA
+from lumenward.sources.lexicon import lexicon_table
 from lumenward.streaming import run as run_module
+from lumenward.streaming.job import parse_options, start
 from lumenward.streaming.run import StreamRun, read_placed_line_stream
 from tests.sample import SAMPLE
 
@@ -154,3 +156,18 @@ def test_no_input(spark, folder, tmp_path):
     lines_of(folder, "0.jsonl", [])
     got = outcome(drain(made(spark, folder, tmp_path), tmp_path))
     assert not any(got.values())
+
+
+def test_the_job(spark, folder, tmp_path, capsys):
+    lines_of(folder, "0.jsonl", BATCHES[0])
+    lines_of(folder, "1.jsonl", BATCHES[3])
+    lexicon_table(spark).where("category = 'harassment'").write.parquet(str(tmp_path / "lexicon"))
+    paths = ["--input", str(folder), "--output", str(tmp_path / "out"), "--checkpoint", str(tmp_path / "state")]
+    query, run = start(spark, parse_options([*paths, "--delay", "1 hour", "--period", "weekly", "--files", "1", "--lexicon", str(tmp_path / "lexicon")]))
+    query.awaitTermination()
+    got = outcome(run)
+    assert got["fates"] == [("bad", 1), ("counted", 2), ("refused", 1), ("undated", 2)]
+    assert run.messages().select("batch_id").distinct().count() == 2 and got["windows"] == []
+    with pytest.raises(SystemExit):
+        parse_options([*paths, "--candidates", "z"])
+    assert "--candidates needs --detector" in capsys.readouterr().err
