@@ -36,6 +36,8 @@ LEAST = 2
 #: Subtrees begin at contexts of this many bytes.
 ROOT = 3
 TOP_GRAMS = 1 << 20
+#: Contexts of the driver's part that are weighed together.
+TOP_CONTEXTS = 2048
 #: Grams weighed together, and valued together.
 CHUNK, PIECE = 200_000, 50_000
 _U64 = np.uint64
@@ -53,6 +55,15 @@ def _path(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, np.stack([(byte >> _U64(7 - k)) & _U64(1) for k in range(8)], axis=1).astype(bool)
 
 
+def _node_values(n0: np.ndarray, n1: np.ndarray, below: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Of contexts with these counts, above subtrees with these sums: the weighted code length, the share
+    of ones, the trust in it, and the share of what lies in no subtree."""
+    r0, r1 = n0 - below[1], n1 - below[2]
+    estimate = log_kt(n0, n1)
+    weighted = np.logaddexp(estimate, below[0] + log_kt(r0, r1)) - math.log(2)
+    return weighted, _share(n0, n1), np.exp(estimate - math.log(2) - weighted), _share(r0, r1)
+
+
 def _mixed(q: np.ndarray, mine: np.ndarray, trust: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(q), mine, trust * mine + (1 - trust) * q)
 
@@ -146,30 +157,68 @@ class Top:
             total = np.bincount(place, n, len(context))
             kept = total >= LEAST if d else np.ones(len(context), bool)
             self.contexts.append(context[kept] if d or len(context) else np.zeros(1, _U64))
-            counts.append(np.zeros((len(self.contexts[d]), 256)))
             mine = kept[place]
             row = (np.cumsum(kept) - 1)[place[mine]]
-            np.add.at(counts[d], (row, (key[mine] & _U64(0xFF)).astype(np.intp)), n[mine])
-        shape = (len(self.contexts[-1]), 255)
-        below = [np.zeros(shape) for _ in range(3)]
-        keys = sums["key"].to_numpy().astype(_U64)
-        row = np.searchsorted(self.contexts[-1], keys >> _U64(8))
-        for array, name in zip(below, ("weighted", "zeros", "ones")):
-            array[row, (keys & _U64(0xFF)).astype(np.intp) - 1] = sums[name].to_numpy()
+            if d < ROOT - 1:
+                counts.append(np.zeros((len(self.contexts[d]), 256)))
+                np.add.at(counts[d], (row, (key[mine] & _U64(0xFF)).astype(np.intp)), n[mine])
+            if d == ROOT - 1:
+                deepest = row, (key[mine] & _U64(0xFF)).astype(np.intp), n[mine]
         self.own, self.trust, self.rest = [None] * ROOT, [None] * ROOT, [None] * ROOT
-        for d in range(ROOT - 1, -1, -1):
+        below = self._weigh_deepest(deepest, sums)
+        for d in range(ROOT - 2, -1, -1):
             n0, n1 = _decisions(counts[d])
-            r0, r1 = n0 - below[1], n1 - below[2]
-            estimate = log_kt(n0, n1)
-            weighted = np.logaddexp(estimate, below[0] + log_kt(r0, r1)) - math.log(2)
-            self.own[d], self.rest[d] = _share(n0, n1), _share(r0, r1)
-            self.trust[d] = np.exp(estimate - math.log(2) - weighted)
+            weighted, self.own[d], self.trust[d], self.rest[d] = _node_values(n0, n1, below)
             if d:
                 up = np.searchsorted(self.contexts[d - 1], self.contexts[d] & _mask(d - 1))
                 below = [np.zeros((len(self.contexts[d - 1]), 255)) for _ in range(3)]
                 for array, of in zip(below, (weighted, n0, n1)):
                     np.add.at(array, up, of)
 
+    def _weigh_deepest(self, counted: tuple, sums: pa.Table) -> list[np.ndarray]:
+        """The contexts just above the subtrees, some at a time: of these there are up to 65,536 with 255
+        decisions each, of which only those seen are kept; the sums over them for their parents."""
+        contexts, d = self.contexts[-1], ROOT - 1
+        row, byte, n = counted
+        keys = sums["key"].to_numpy().astype(_U64)
+        sum_row, node = np.searchsorted(contexts, keys >> _U64(8)), (keys & _U64(0xFF)).astype(np.intp) - 1
+        of_sums = [sums[name].to_numpy() for name in ("weighted", "zeros", "ones")]
+        by_row, by_sum_row = np.argsort(row, kind="stable"), np.argsort(sum_row, kind="stable")
+        above = [np.zeros((len(self.contexts[d - 1]), 255)) for _ in range(3)]
+        up = np.searchsorted(self.contexts[d - 1], contexts & _mask(d - 1))
+        kept: list[list[np.ndarray]] = [[], [], [], []]
+        for at in range(0, len(contexts), TOP_CONTEXTS):
+            m = min(TOP_CONTEXTS, len(contexts) - at)
+            mine = by_row[slice(*np.searchsorted(row[by_row], [at, at + m]))]
+            counts = np.zeros((m, 256))
+            np.add.at(counts, (row[mine] - at, byte[mine]), n[mine])
+            below = [np.zeros((m, 255)) for _ in range(3)]
+            mine = by_sum_row[slice(*np.searchsorted(sum_row[by_sum_row], [at, at + m]))]
+            for array, values in zip(below, of_sums):
+                array[sum_row[mine] - at, node[mine]] = values[mine]
+            n0, n1 = _decisions(counts)
+            weighted, *values = _node_values(n0, n1, below)
+            live = np.flatnonzero((n0 + n1).ravel() > 0)
+            for column, array in zip(kept, (None, *values)):
+                column.append(live + at * 255 if array is None else array.ravel()[live].astype(np.float32))
+            for array, of in zip(above, (weighted, n0, n1)):
+                np.add.at(array, up[at:at + m], of)
+        # A decision that was never seen is an even one in every respect; it is found at the end.
+        self.seen = np.concatenate([np.zeros(0, np.int64), *kept[0]])
+        self.own[d], self.trust[d], self.rest[d] = (
+            np.concatenate([*column, np.full(1, 0.5, np.float32)]) for column in kept[1:])
+        return above
+
+    def _places(self, d: int, row: np.ndarray, nodes: np.ndarray):
+        """Where the values of decisions of contexts stand."""
+        if d < ROOT - 1:
+            return row[:, None], nodes
+        wanted = row[:, None] * 255 + nodes
+        place = np.searchsorted(self.seen, wanted)
+        found = place < len(self.seen)
+        found[found] = self.seen[place[found]] == wanted[found]
+        return np.where(found, place, len(self.seen))
+
     def log10(self, grams: np.ndarray, q: np.ndarray) -> np.ndarray:
         """The log10 probability of each gram's byte, given what its subtree has mixed."""
         nodes, ones = _path(grams)
@@ -180,7 +229,7 @@ class Top:
             context = (grams >> _U64(8)) & _mask(d)
             row = np.minimum(np.searchsorted(self.contexts[d], context), max(len(self.contexts[d]) - 1, 0))
             here = np.flatnonzero(self.contexts[d][row] == context) if len(self.contexts[d]) else np.zeros(0, np.intp)
-            at, bit = (row[here][:, None], nodes[here]), ones[here]
+            at, bit = self._places(d, row[here], nodes[here]), ones[here]
             p, mine = self.rest[d][at], self.own[d][at]
             before = np.where(live[here][:, None], q[here], np.where(bit, p, 1 - p))
             q[here] = _mixed(before, np.where(bit, mine, 1 - mine), self.trust[d][at])

@@ -6,9 +6,10 @@ other words of a text, a small part of it, are looked up by a join on the word.
 No word of that join is frequent, so none makes a large group.  The grams of the
 tree are looked up in the same way.
 
-Defined results: see :mod:`lumenward.llm.context_tree`; null and empty texts have
-one token, their end; repeated rows give repeated rows; an empty table gives an
-empty one, and without any training text no token is known.
+Defined results: see :mod:`lumenward.llm.context_tree`; very long texts are scored
+whole and extra columns are ignored; null and empty texts have one token, their end;
+repeated rows give repeated rows; an empty table gives an empty one, and without
+any training text no token is known.
 """
 
 from __future__ import annotations
@@ -78,7 +79,9 @@ def frequent_words(vocabulary: DataFrame, most: int = TOP_WORDS) -> pa.Table:
 
 
 def scores(docs: DataFrame, scratch: Scratch, training: str = "crc32(cast(doc_id AS string)) % 7 <> 2") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of (doc_id, text).
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of (doc_id, text).
+
+    The last is the code length of the text and its end mark for each byte of them.
 
     ``training`` says which rows are learned from; a row for which it is null is one of them."""
     docs = docs.selectExpr("doc_id", "text", f"NOT coalesce({training}, true) AS held_out")
@@ -114,14 +117,14 @@ def scores(docs: DataFrame, scratch: Scratch, training: str = "crc32(cast(doc_id
 
             score, others, of = model.score(part.column(2))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(counts.astype(np.int64) + 1), pa.array(known.astype(np.int64) + end_known),
+                [part.column(0), part.column(1), part.column(3), pa.array(counts.astype(np.int64) + 1), pa.array(known.astype(np.int64) + end_known),
                  pa.array(sums + end_gain), pa.array(score),
                  listed_by(owner[is_rare], words.filter(rare)), listed_by(of, pa.array(others.view(np.int64)))],
-                names=["doc_id", "held_out", "n_tokens", "known", "gain", "score", "rare", "grams"])
+                names=["doc_id", "held_out", "n_bytes", "n_tokens", "known", "gain", "score", "rare", "grams"])
 
     scored = scratch.table(
-        docs.selectExpr("doc_id", "held_out", "coalesce(text, '') AS text").mapInArrow(
-            run, "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, gain double, score double, rare array<string>, "
+        docs.selectExpr("doc_id", "held_out", "coalesce(text, '') AS text", "cast(coalesce(octet_length(text), 0) AS bigint) AS n_bytes").mapInArrow(
+            run, "doc_id bigint, held_out boolean, n_bytes bigint, n_tokens bigint, known bigint, gain double, score double, rare array<string>, "
                  "grams array<bigint>")
         .selectExpr("monotonically_increasing_id() AS _row", "*"), "scored")
     rare = scored.selectExpr("_row", "explode(rare) AS word").groupBy("word", "_row").count()
@@ -135,4 +138,5 @@ def scores(docs: DataFrame, scratch: Scratch, training: str = "crc32(cast(doc_id
         .selectExpr(
             "doc_id", "held_out", "n_tokens", "known + coalesce(_known, 0L) AS n_known", f"{n}L AS train_tokens",
             f"gain + coalesce(_gain, 0D) - n_tokens * log10({n + v + 1}D) AS base_score",
-            "score + coalesce(_value, 0D) AS score"))
+            "score + coalesce(_value, 0D) AS score",
+            "(score + coalesce(_value, 0D)) / (-log10(2D) * (n_bytes + 1)) AS bits_per_byte"))

@@ -148,6 +148,7 @@ def test_query_against_counting(spark, documents, as_tables, monkeypatch, top):
         assert r.n_known == sum(w in counts for w in ws) + 1
         base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws) + math.log10((n_docs + 1) / (n + v + 1))
         assert r.base_score == pytest.approx(base)
+        assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / (len((by_id[r.doc_id] or "").encode()) + 1))
     for r in got[:5]:
         assert r.score == pytest.approx(plain.score(by_id[r.doc_id]), rel=1e-4)
 
