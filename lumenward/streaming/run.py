@@ -147,9 +147,10 @@ class StreamRun:
             watermark = self._watermark(known)
             over = "false" if watermark is None else f"ends <= timestamp_micros({watermark}L)"
             closing = known.where(over)
-            lines = digests_by(self._item_table(spark), closing, PERIOD, (*self.order_by, "rank"), self.period, scratch)
-            self._write(lines, "digests", batch_id)
-            self._write(closing.drop("latest"), "windows", batch_id)
+            if closing.head(1) or not batch_id:  # most batches close nothing; the first one makes the folders
+                lines = digests_by(self._item_table(spark), closing, PERIOD, (*self.order_by, "rank"), self.period, scratch)
+                self._write(lines, "digests", batch_id)
+                self._write(closing.drop("latest"), "windows", batch_id)
             # The latest time outlives its period, in a row without one.
             latest = known.selectExpr("cast(NULL AS date) AS period", "cast(NULL AS timestamp) AS ends", "0L AS messages",
                                       "0L AS immediate", "0L AS batched", "max(latest) AS latest")
