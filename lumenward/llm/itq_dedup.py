@@ -16,6 +16,11 @@ each flipping the coordinates in which it is the smaller one.  More tables mean
 fewer flips but shorter codes, which more vectors share by chance; how many tables
 make the least work of both is estimated from the sample.
 
+Most vectors that meet do so by chance.  An entry therefore carries a *sketch*, a few of
+its vector's coordinates in steps of a byte; the distance in these, less what rounding
+can add to it, is at most that of the vectors, so a pair further apart there than
+linked vectors can be goes no further.
+
 A vector so close to many zeros that it would need more than :data:`PROBES`
 entries in one table is compared with all vectors of its label instead, block
 against block, the other vectors as usual.
@@ -53,6 +58,8 @@ PROBES = 4096
 ESTIMATE = 256
 ROUNDS = 40
 SEED = 11
+#: Coordinates in a sketch, and the step they are rounded to; they are held between -1 and 1, which brings none apart.
+SKETCH, SKETCH_STEP = 8, 2 / 256
 #: Vectors to a block where blocks are compared.
 BLOCK = 1024
 
@@ -123,6 +130,21 @@ def flip_budget(least: float, tables: int) -> float:
     return (2 - 2 * least) / (4 * tables) * (1 + 1e-9) + 1e-12
 
 
+def sketches(coordinates: np.ndarray) -> np.ndarray:
+    """One number for each row, a byte for each of the first coordinates."""
+    steps = np.floor((np.clip(coordinates[:, :SKETCH], -1, 1) + 1) / SKETCH_STEP)
+    steps = np.minimum(steps, 255).astype(np.uint64)
+    return (steps << (8 * np.arange(steps.shape[1], dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def sketches_near(a: str, b: str, least: float) -> str:
+    """False only for pairs with a cosine below ``least``."""
+    apart = [f"greatest(abs((shiftrightunsigned({a}, {8 * i}) & 255L) - (shiftrightunsigned({b}, {8 * i}) & 255L)) - 1L, 0L)"
+             for i in range(SKETCH)]
+    most = int((2 - 2 * least) * (1 + 1e-9) / SKETCH_STEP ** 2 + 1e-6)
+    return f"{' + '.join(f'{x} * {x}' for x in apart)} <= {most}L"
+
+
 def choose_tables(codes: Codes, sample: np.ndarray, vectors: int, labels: int, least: float, probes: int) -> int:
     """The number of tables with the fewest entries and chance meetings together, of so many
     vectors with so many labels; ``sample`` are unit vectors."""
@@ -174,7 +196,8 @@ def _entered(codes: Codes, budget: float, tables: int, probes: int):
                 spots = codes.coordinates(units(_matrix(part.column(2), len(codes.mean))))
                 named = mix64(labels.astype(np.int64).view(np.uint64)) + sizes.astype(np.uint64)
                 salts = mix64(mix64(named)[:, None] + np.arange(1, tables + 1, dtype=np.uint64))
-                keys, masks, owners, heavy = [], [], [], []
+                marks = sketches(spots)
+                keys, masks, owners, drawn, heavy = [], [], [], [], []
                 for r in range(len(ids)):
                     own = [flips(spots[r, a:b], budget, probes) for a, b in zip(edges, edges[1:])]
                     if any(x is None for x in own):
@@ -184,13 +207,15 @@ def _entered(codes: Codes, budget: float, tables: int, probes: int):
                         keys.append(mix64(code.astype(np.uint64) + salts[r, table]).view(np.int64))
                         masks.append(mask)
                         owners.append(np.full(len(mask), ids[r]))
+                        drawn.append(np.full(len(mask), marks[r]))
                 n_heavy = len(heavy)
                 empty = [np.zeros(0, np.int64)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([*(keys or empty), np.zeros(n_heavy, np.int64)])),
                      pa.array(np.concatenate([*(masks or empty), np.full(n_heavy, -1)])),
-                     pa.array(np.concatenate([*(owners or empty), np.array(heavy, np.int64)]).astype(np.int64))],
-                    names=["key", "mask", "id"])
+                     pa.array(np.concatenate([*(owners or empty), np.array(heavy, np.int64)]).astype(np.int64)),
+                     pa.array(np.concatenate([*(drawn or empty), np.zeros(n_heavy, np.int64)]))],
+                    names=["key", "mask", "id", "sketch"])
     return run
 
 
@@ -270,10 +295,11 @@ def near_duplicates(vectors: DataFrame, least: float, scratch: Scratch, tables:
     budget = flip_budget(least, tables)
     entries = scratch.table(
         classes.select("id", "label", "vector").mapInArrow(
-            _entered(codes, budget, tables, probes), "key bigint, mask bigint, id bigint"), "entries")
+            _entered(codes, budget, tables, probes), "key bigint, mask bigint, id bigint, sketch bigint"), "entries")
     light = entries.where("mask >= 0")
-    other = light.selectExpr("key AS _key", "mask AS _mask", "id AS b")
-    pairs = light.join(other, F.expr("key = _key AND id < b AND (mask & _mask) = 0")).selectExpr("id AS a", "b").distinct()
+    other = light.selectExpr("key AS _key", "mask AS _mask", "id AS b", "sketch AS _sketch")
+    meet = f"key = _key AND id < b AND (mask & _mask) = 0 AND {sketches_near('sketch', '_sketch', least)}"
+    pairs = light.join(other, F.expr(meet)).selectExpr("id AS a", "b").distinct()
     x = classes.selectExpr("id AS _a", "n AS n_a", "label AS l_a", "vector AS v_a")
     y = classes.selectExpr("id AS _b", "n AS n_b", "label AS l_b", "vector AS v_b")
     met = pairs.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b")).where(

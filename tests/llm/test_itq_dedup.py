@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lumenward.llm import itq_dedup, op1_itq_dedup
-from lumenward.llm.itq_dedup import Codes, choose_tables, cosines, flips, near_duplicates, units
+from lumenward.llm.itq_dedup import Codes, choose_tables, cosines, flips, near_duplicates, sketches, sketches_near, units
 from tests.llm import brute
 
 
@@ -90,3 +90,22 @@ def test_more_vectors_get_longer_codes():
     chosen = [choose_tables(codes, sample, n, 10, 0.98, 4096) for n in (10 ** 4, 10 ** 6, 10 ** 9)]
     assert chosen == sorted(chosen, reverse=True) and chosen[0] > chosen[-1] >= 1
     assert choose_tables(Codes.fit(sample[:, :2]), sample[:, :2], 100, 1, 0.98, 4096) <= 2
+
+
+def test_sketches_hold_no_link_off(spark):
+    rng = np.random.default_rng(10)
+    near = []
+    for least in (0.98, 0.9, 0.5):
+        x = units(rng.normal(size=(3000, 12)))
+        y = units(x + rng.normal(size=x.shape) * rng.uniform(0, 0.5, (3000, 1)))
+        codes = Codes.fit(np.vstack([x, y]))
+        a, b, cosine = sketches(codes.coordinates(x)), sketches(codes.coordinates(y)), cosines(x, y)
+        table = spark.createDataFrame([(int(p), int(q), float(c)) for p, q, c in zip(a, b, cosine)], "a bigint, b bigint, c double")
+        kept = table.selectExpr("c", f"{sketches_near('a', 'b', least)} AS near").collect()
+        assert all(r.near for r in kept if r.c >= least)
+        near.append(sum(r.near for r in kept if r.c < least) / max(1, sum(r.c < least for r in kept)))
+    assert near[0] < 0.8
+    far = units(rng.normal(size=(2000, 64)))
+    marks = sketches(Codes.fit(far).coordinates(far))
+    table = spark.createDataFrame([(int(p), int(q)) for p, q in zip(marks[:1000], marks[1000:])], "a bigint, b bigint")
+    assert table.where(sketches_near("a", "b", 0.98)).count() < 20
