@@ -150,7 +150,3 @@ def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Str
     np.cumsum(ends - starts, out=offsets[1:])
     values = np.ascontiguousarray(data[~BLANK[data]])
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(values))
-
-
-def kept_fields(batch: pa.RecordBatch, names) -> list[pa.Array]:
-    return [batch.column(batch.schema.get_field_index(name)) for name in names]
